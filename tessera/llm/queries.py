@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, bpe_count, simhash
+from . import bpe_codec, bpe_count, decontam, line_dedup, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,17 +16,37 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_quality_ledger": op6_quality_ledger,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can say the same; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_ledger": quality.ORACLE_SQL,
+    "op7_decontamination": decontam.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+}
