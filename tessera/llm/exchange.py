@@ -156,6 +156,21 @@ def at_blocks(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartitionById(n, F.expr(f"cast(pmod(shiftright(block, 24), {n}) as int)")).sortWithinPartitions("block", "kind", "seq")
 
 
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, int, list, list[bytes]]]:
+    """(block, payloads, chunk, ids, texts) for each chunk of the rows of ``at_blocks``."""
+    block, payloads = None, []
+    for batch in batches:
+        columns = [batch.column(i) for i in range(6)]
+        for i in range(batch.num_rows):
+            b, kind, seq, ids, head, body = (c[i].as_py() for c in columns)
+            if b != block:
+                block, payloads = b, []
+            if kind == 0:
+                payloads.append((head, body))
+            else:
+                yield block, payloads, seq, ids, unpack(body)
+
+
 def finished(rows: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """``finish(payloads, ids, texts)`` for each chunk of texts gives columns of the result.
 
@@ -168,18 +183,9 @@ def finished(rows: DataFrame, finish: Callable, schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        block, payloads = None, []
-        for batch in batches:
-            columns = [batch.column(i) for i in range(6)]
-            for i in range(batch.num_rows):
-                b, kind, _, ids, head, body = (c[i].as_py() for c in columns)
-                if b != block:
-                    block, payloads = b, []
-                if kind == 0:
-                    payloads.append((head, body))
-                else:
-                    got = finish(payloads, ids, unpack(body))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, arrow, strict=True)], schema=arrow)
+        for _, payloads, _, ids, texts in walk(batches):
+            got = finish(payloads, ids, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, arrow, strict=True)], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
