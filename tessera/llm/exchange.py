@@ -99,6 +99,37 @@ def unpack_array(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
 
 
+def press(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays, by byte planes, and byte strings in one frame."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays]
+    head = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+
+
+def expand(blob: bytes, *kinds) -> list:
+    """What ``press`` was given; kinds are the dtypes, or bytes."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:8], "little")
+    sizes = np.frombuffer(data, "<u8", n, 8).astype(np.int64)
+    ends = np.cumsum(sizes) + 8 * (n + 1)
+    parts = [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
+    return [p if k is bytes else np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(np.dtype(k).itemsize, -1).T).view(k).ravel() for p, k in zip(parts, kinds, strict=True)]
+
+
+def hash_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of 64-bit hashes; sorted hashes are in sorted buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted hashes, and the end."""
+    return np.searchsorted(hash_buckets(hashes, buckets), np.arange(buckets + 1))
+
+
+def deltas(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=np.uint64(0))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[bytes]]]:
     """(block id, document ids, texts as UTF-8) of a partition of (id, text) rows; a null text is empty."""
     home = TaskContext.get().partitionId() << 24
@@ -140,11 +171,11 @@ def block_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW_BLOCK, strict=True)], schema=_ARROW_BLOCK)
 
 
-def text_rows(docs: DataFrame) -> DataFrame:
+def text_rows(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """The texts of ``docs`` in block rows of kind 1."""
 
     def packed(batches):
-        for block, ids, texts in blocks(batches):
+        for block, ids, texts in blocks(batches, limit):
             for seq, (some, parts) in enumerate(chunks(ids, texts)):
                 yield block_rows([(block, 1, seq, some, None, pack(parts))])
 
@@ -156,7 +187,7 @@ def at_blocks(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartitionById(n, F.expr(f"cast(pmod(shiftright(block, 24), {n}) as int)")).sortWithinPartitions("block", "kind", "seq")
 
 
-def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, int, list, list[bytes]]]:
+def walk(batches: Iterator[pa.RecordBatch], open_body: Callable = unpack) -> Iterator[tuple[int, list, int, list, list[bytes]]]:
     """(block, payloads, chunk, ids, texts) for each chunk of the rows of ``at_blocks``."""
     block, payloads = None, []
     for batch in batches:
@@ -168,7 +199,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, int, li
             if kind == 0:
                 payloads.append((head, body))
             else:
-                yield block, payloads, seq, ids, unpack(body)
+                yield block, payloads, seq, ids, open_body(body)
 
 
 def finished(rows: DataFrame, finish: Callable, schema: str) -> DataFrame:

@@ -36,10 +36,10 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of the shared folder."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` as a table of the shared folder, partitioned by some columns."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -25,7 +25,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,30 +66,6 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at - begin[text], grams[at]
 
 
-def _press(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays (eight-byte ones by byte planes) in one frame."""
-    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays]
-    head = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
-
-
-def _expand(blob: bytes, *kinds) -> list:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(data[:8], "little")
-    sizes = np.frombuffer(data, "<u8", n, 8).astype(np.int64)
-    ends = np.cumsum(sizes) + 8 * (n + 1)
-    parts = [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-    return [p if k is bytes else np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(np.dtype(k).itemsize, -1).T).view(k).ravel() for p, k in zip(parts, kinds, strict=True)]
-
-
-def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _deltas(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=np.uint64(0))
-
-
 def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
     """Block rows of kind 0 with the block's anchor hashes that occur twice or more anywhere."""
 
@@ -98,18 +73,18 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
         for block, _, texts in X.blocks(batches):
             found = [anchors(texts[i:j])[2] for i, j in W.some_at_once(texts)]
             hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-            cut = np.searchsorted(_dealt(hashes, buckets), np.arange(buckets + 1))
+            cut = X.cuts(hashes, buckets)
             for b in range(buckets):
                 if cut[b] < cut[b + 1]:
                     own = slice(cut[b], cut[b + 1])
-                    blob = _press(_deltas(hashes[own]), np.packbits(counts[own] > 1).tobytes())
+                    blob = X.press(X.deltas(hashes[own]), np.packbits(counts[own] > 1).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
 
     def answered(batches):
         lists = []
         for batch in batches:
             for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                deltas, twice = _expand(blob, np.uint64, bytes)
+                deltas, twice = X.expand(blob, np.uint64, bytes)
                 hashes = np.cumsum(deltas, dtype=np.uint64)
                 lists.append((bucket, block, hashes, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(hashes)).astype(bool)))
         if lists:
@@ -120,7 +95,7 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
             for bucket, block, h, _ in lists:
                 own = h[again[np.searchsorted(every, h)]]
                 if len(own):
-                    yield X.block_rows([(block, 0, bucket, None, None, _press(_deltas(own)))])
+                    yield X.block_rows([(block, 0, bucket, None, None, X.press(X.deltas(own)))])
 
     return docs.mapInArrow(listed, "bucket int, block bigint, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(answered, X.BLOCK_SCHEMA)
 
@@ -133,7 +108,7 @@ def _surroundings(batches, buckets: int):
     held, members = None, None
     for block, payloads, seq, _, texts in X.walk(batches):
         if payloads is not held:
-            known = [np.cumsum(_expand(body, np.uint64)[0], dtype=np.uint64) for _, body in payloads]
+            known = [np.cumsum(X.expand(body, np.uint64)[0], dtype=np.uint64) for _, body in payloads]
             held, members = payloads, np.unique(np.concatenate(known)) if known else None
         if members is None:
             continue
@@ -155,13 +130,13 @@ def _surroundings(batches, buckets: int):
             spots.append((t, p))
         keys = list(entries)
         entry_hash = np.array([k[0] for k in keys], np.uint64)
-        cut = np.searchsorted(_dealt(entry_hash, buckets), np.arange(buckets + 1))
+        cut = X.cuts(entry_hash, buckets)
         of, spots = np.array(of, np.int32), np.array(spots, np.int64).reshape(-1, 2)
         spot_cut = np.searchsorted(of, cut)
         for b in range(buckets):
             if cut[b] < cut[b + 1]:
                 own, s = keys[cut[b] : cut[b + 1]], slice(spot_cut[b], spot_cut[b + 1])
-                blob = _press(
+                blob = X.press(
                     entry_hash[cut[b] : cut[b + 1]],
                     np.array([k[1] for k in own], np.uint16),
                     np.array([len(k[2]) for k in own], np.uint16),
@@ -179,7 +154,7 @@ def _covered(batches):
     asked = []
     for batch in batches:
         for bucket, block, seq, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            asked.append((bucket, block, seq, *_expand(blob, *_REQUEST)))
+            asked.append((bucket, block, seq, *X.expand(blob, *_REQUEST)))
     if not asked:
         return
     hashes, left, size, twice = (np.concatenate([a[k] for a in asked]) for k in (3, 4, 5, 6))
@@ -201,7 +176,7 @@ def _covered(batches):
         base += len(a[3])
         hit = np.flatnonzero(own[:, 1])
         if len(hit):
-            body = _press(a[9][hit], a[10][hit] - own[hit, 0], a[10][hit] + own[hit, 1])
+            body = X.press(a[9][hit], a[10][hit] - own[hit, 0], a[10][hit] + own[hit, 1])
             yield X.block_rows([(a[1], 0, a[0], None, int(a[2]).to_bytes(4, "little"), body)])
 
 
@@ -221,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 held, chunk = payloads, {}
                 for head, body in payloads:
                     chunk.setdefault(int.from_bytes(head, "little"), []).append(body)
-            found = [_expand(b, np.int32, np.int64, np.int64) for b in chunk.get(seq, [])]
+            found = [X.expand(b, np.int32, np.int64, np.int64) for b in chunk.get(seq, [])]
             spans: dict[int, list[tuple[int, int]]] = {}
             if found:
                 text, start, end = (np.concatenate([f[k] for f in found]) for k in range(3))
