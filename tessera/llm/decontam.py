@@ -113,60 +113,97 @@ def prefixes(shingled: Shingled, sets: dict[int, np.ndarray], seen: dict[tuple[i
     return out
 
 
+class Lookup:
+    """Finds the windows of a slice in texts."""
+
+    def __init__(self, index: dict[int, dict[int, list[tuple[int, int, bytes]]]]):
+        self.index = index
+        self.members = {s: Members(np.array(sorted(own), np.uint64)) for s, own in index.items() if own}
+
+    def find(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int, bytes]]]]:
+        """Words of each text, and (first word, end, window) of each occurrence in it."""
+        w = W.Words(texts, W.ALNUM)
+        h = w.hashes() if self.members else None
+        hits: list[list] = [[] for _ in texts]
+        for s, m in self.members.items():
+            found = W.shingle_hashes(h, s)
+            places, _ = m.find(found)
+            doc = np.searchsorted(w.first, places, side="right") - 1
+            for p, d in zip(places.tolist(), doc.tolist()):
+                low, high = int(w.first[d]), int(w.first[d + 1])
+                for offset, n, text in self.index[s][int(found[p])]:
+                    at = p - offset
+                    if at >= low and at + n <= high and w.text(at, at + n) == text:
+                        hits[d].append((at - low, at - low + n, text))
+        return np.diff(w.first).tolist(), hits
+
+
+def slice_index(docs: DataFrame, windows_of_slice: list[bytes]) -> dict:
+    """The windows of a slice by their rarest shingle in the documents."""
+    shingled = Shingled(windows_of_slice)
+    sets = shingled.by_size()
+    return prefixes(shingled, sets, rarity(docs, sets)) if sets else {}
+
+
 def occurrences(docs: DataFrame, windows_of_slice: list[tuple[bytes, list[str]]]) -> DataFrame:
     """(block, idx, doc_id, n_words, starts, ends, items): where windows of a slice occur in each document."""
-    shingled = Shingled([w for w, _ in windows_of_slice])
-    sets = shingled.by_size()
-    index = prefixes(shingled, sets, rarity(docs, sets)) if sets else {}
-    named = dict(windows_of_slice)
+    index, named = slice_index(docs, [w for w, _ in windows_of_slice]), dict(windows_of_slice)
     shared = docs.sparkSession.sparkContext.broadcast((index, {t: named[t] for s in index.values() for ws in s.values() for _, _, t in ws}))
+    schema = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
         index, named = shared.value
-        members = {s: Members(np.array(sorted(own), np.uint64)) for s, own in index.items() if own}
-        schema = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+        lookup = Lookup(index)
         for block, ids, texts in X.blocks(batches):
             for i, j in W.some_at_once(texts):
-                w = W.Words(texts[i:j], W.ALNUM)
-                h = w.hashes() if members else None
-                hits: dict[int, list] = {}
-                for s, m in members.items():
-                    found = W.shingle_hashes(h, s)
-                    places, _ = m.find(found)
-                    doc = np.searchsorted(w.first, places, side="right") - 1
-                    for p, d in zip(places.tolist(), doc.tolist()):
-                        low, high = int(w.first[d]), int(w.first[d + 1])
-                        for offset, n, text in index[s][int(found[p])]:
-                            at = p - offset
-                            if at >= low and at + n <= high and w.text(at, at + n) == text:
-                                hits.setdefault(d, []).append((at - low, at - low + n, text))
-                n_words = np.diff(w.first).tolist()
-                rows = [hits.get(d, []) for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block] * (j - i), pa.int64()),
-                        pa.array(range(i, j), pa.int32()),
-                        pa.array(ids[i:j], pa.int64()),
-                        pa.array(n_words, pa.int64()),
-                        pa.array([[a for a, _, _ in r] for r in rows], schema.field("starts").type),
-                        pa.array([[b for _, b, _ in r] for r in rows], schema.field("ends").type),
-                        pa.array([sorted({x for _, _, t in r for x in named[t]}) for r in rows], schema.field("items").type),
-                    ],
-                    schema=schema,
-                )
+                n_words, rows = lookup.find(texts[i:j])
+                columns = [
+                    [block] * (j - i),
+                    range(i, j),
+                    ids[i:j],
+                    n_words,
+                    [[a for a, _, _ in r] for r in rows],
+                    [[b for _, b, _ in r] for r in rows],
+                    [sorted({x for _, _, t in r for x in named[t]}) for r in rows],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return docs.mapInArrow(run, "block bigint, idx int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>")
 
 
+def _slices(items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(window, items, slice) in the shared folder, and how many slices of about SLICE windows there are."""
+    table = store.written(windows(items, size, id_col, text_col).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
+    slices = max(1, -(-table.count() // SLICE))
+    return table.withColumn("slice", F.pmod(F.xxhash64("window"), F.lit(slices))), slices
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows in which any window of the items occurs."""
+    table, slices = _slices(items, size, item_id, item_text)
+    for k in range(slices):
+        found = [r["window"].encode() for r in table.where(F.col("slice") == k).select("window").collect()]
+        index = slice_index(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), found)
+        shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+
+        def run(batches, shared=shared, at=at):
+            lookup = Lookup(shared.value)
+            for b in batches:
+                texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+                kept = [not hits for i, j in W.some_at_once(texts) for hits in lookup.find(texts[i:j])[1]]
+                yield b.filter(pa.array(kept, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated of each row of ``docs``.
 
     n_hit: words inside any occurrence of a window; items: ids of items with one, sorted.
     """
     docs = X.plain(docs, id_col, text_col)
-    table = store.written(windows(items, size, item_id, item_text).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
-    slices = max(1, -(-table.count() // SLICE))
-    table = table.withColumn("slice", F.pmod(F.xxhash64("window"), F.lit(slices)))
+    table, slices = _slices(items, size, item_id, item_text)
     found = None
     for k in range(slices):
         own = [(r["window"].encode(), r["items"]) for r in table.where(F.col("slice") == k).collect()]
