@@ -35,6 +35,8 @@ from .suffixes import Strings, repeated_around
 NEED = 200
 GRAM = NEED // 2
 WINDOW = NEED - GRAM + 1
+#: Bytes that are sorted at once in a bucket, unless one anchor's occurrences have more.
+SORTED_BYTES = 2 << 20
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,15 +161,26 @@ def _covered(batches):
         return
     hashes, left, size, twice = (np.concatenate([a[k] for a in asked]) for k in (3, 4, 5, 6))
     left, size = left.astype(np.int64), size.astype(np.int64)
-    data = np.frombuffer(b"".join([a[7] for a in asked]), np.uint8)
+    data = b"".join([a[7] for a in asked])
+    ends = np.cumsum(size)
     order = np.argsort(hashes, kind="stable")
     by = hashes[order]
-    first = np.searchsorted(by, by)
-    count = np.searchsorted(by, by, side="right") - first
-    spot = np.cumsum(size) - size + left
-    strings = Strings(data, spot[order], left[order], (size - left)[order])
+    group = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    held = np.cumsum(size[order])
     reach = np.zeros((len(hashes), 2), np.int64)
-    reach[order] = np.stack(repeated_around(strings, first, count, NEED), axis=1)
+    begin = 0
+    while begin < len(order):  # whole groups, about SORTED_BYTES at once
+        until = np.searchsorted(held, (held[begin - 1] if begin else 0) + SORTED_BYTES, side="right")
+        k = np.searchsorted(group, until, side="right") - 1
+        end = int(group[k]) if group[k] > begin else int(group[k + 1]) if k + 1 < len(group) else len(order)
+        end = len(order) if until >= len(order) else end
+        own, keys = order[begin:end], by[begin:end]
+        text = b"".join([data[e - n : e] for e, n in zip(ends[own].tolist(), size[own].tolist())])
+        first = np.searchsorted(keys, keys)
+        spot = np.cumsum(size[own]) - size[own] + left[own]
+        strings = Strings(np.frombuffer(text, np.uint8), spot, left[own], size[own] - left[own])
+        reach[own] = np.stack(repeated_around(strings, first, np.searchsorted(keys, keys, side="right") - first, NEED), axis=1)
+        begin = end
     full = np.flatnonzero(twice)
     reach[full] = np.stack([left[full], (size - left)[full]], axis=1)
     base = 0
