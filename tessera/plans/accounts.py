@@ -1,4 +1,217 @@
-"""Queries over account records."""
+"""Queries over account records, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+The driver's tables have no forms, so forms are derived from ``customer`` and input
+events from ``events`` by expressions that Spark SQL and DuckDB both read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.text import EDGE_WS, EMAIL, LINE_END, WS
+from tessera.operators import intake, outcome, sessions, validate
+
+DAY_MICROS = 86_400_000_000
+
+SIGNUP_FORMS = """
+SELECT c_custkey,
+  CASE WHEN c_custkey % 11 = 0 THEN '  ' ELSE concat('  ', substring(c_name, 1, 8), ' ') END AS first_name,
+  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE substring(c_name, 10) END AS last_name,
+  CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN concat('u', CAST(c_custkey AS VARCHAR(20)), '@host')
+    WHEN 2 THEN concat(' u', CAST(c_custkey AS VARCHAR(20)), '@h.example ') ELSE concat('u', CAST(c_custkey AS VARCHAR(20)), '@h.example') END AS email,
+  CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'letters only' WHEN 2 THEN 'a1' ELSE concat(c_mktsegment, CAST(c_custkey AS VARCHAR(20))) END AS password,
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'other'
+    ELSE CASE WHEN c_custkey % 5 > 2 THEN concat(c_mktsegment, CAST(c_custkey AS VARCHAR(20))) ELSE 'letters only' END END AS confirm_password,
+  c_custkey % 4 <> 0 AS terms
+FROM {customer}
+"""
+
+LOGIN_FORMS = """
+SELECT c_custkey,
+  CASE c_custkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN 'no at sign' WHEN 2 THEN concat(' ', c_mktsegment, '@h.example ') ELSE concat('u', CAST(c_custkey AS VARCHAR(20)), '@h.example') END AS email,
+  CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'short' ELSE concat(c_mktsegment, '-login') END AS password
+FROM {customer}
+"""
+
+BODIES = """
+SELECT c_custkey, CASE c_custkey % 8
+  WHEN 0 THEN 'not json' WHEN 1 THEN '[1]' WHEN 2 THEN '"a"'
+  WHEN 3 THEN concat('{{"first_name":"', c_name, '","last_name":"x","email":"e","password":"p"}}')
+  WHEN 4 THEN concat('{{"first_name":', CAST(c_custkey AS VARCHAR(20)), ',"last_name":"x","email":"e","password":"p","confirm_password":"p"}}')
+  WHEN 5 THEN '{{"first_name":"f","last_name":null,"email":"e","password":"p","confirm_password":"p"}}'
+  WHEN 6 THEN concat('{{"first_name":"', c_name, '","last_name":"","email":"e","password":"p","confirm_password":"q","more":[1]}}')
+  ELSE concat('{{"first_name":"', c_name, '","last_name":"x","email":"e","password":"p","confirm_password":"p"}}') END AS body
+FROM {customer}
+"""
+
+ANSWERS = """
+SELECT event_id,
+  CASE event_id % 7 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 299 WHEN 3 THEN 300 WHEN 4 THEN 422 WHEN 5 THEN 200 END AS status,
+  CASE event_id % 11 WHEN 0 THEN '{{"message":"hi"}}' WHEN 1 THEN '{{"message":""}}' WHEN 2 THEN '{{}}' WHEN 3 THEN '{{"message":null}}'
+    WHEN 4 THEN '{{"message":0}}' WHEN 5 THEN '{{"message":false}}' WHEN 6 THEN 'null' WHEN 7 THEN '{{"detail":[]}}' WHEN 8 THEN 'oops'
+    WHEN 9 THEN '{{"message":"Welcome"}}' END AS body
+FROM {events}
+"""
+
+INPUTS = """
+SELECT user_id, ts, event_id, event_type,
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN concat('u', CAST(event_id AS VARCHAR(20)))
+    WHEN 3 THEN concat('u', CAST(event_id AS VARCHAR(20)), '@h.example') ELSE ' a@b.c ' END AS value,
+  event_id % 3 <> 0 AS remember
+FROM {events}
+"""
+
+
+def _derived(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
+    return spark.sql(sql.format(**{table: f"parquet.`{sf_dir}/{table}.parquet`"}))
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, SIGNUP_FORMS, "customer")
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, INPUTS, "events")
+
+
+def signup_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate_signup(_forms(spark, sf_dir)).select("c_custkey", *validate.SIGNUP_ERRORS, "is_valid")
+
+
+def signup_errors_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.errors_long(signup_validate(spark, sf_dir), "c_custkey")
+
+
+def signup_accept_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = validate.validate_signup(_forms(spark, sf_dir)).where("is_valid")
+    return intake.request(valid).select(*intake.response()).select("message", "data.*")
+
+
+def signup_request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.request(_forms(spark, sf_dir), "c_custkey").select("c_custkey", intake.request_json().alias("body"))
+
+
+def signup_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, BODIES, "customer").select("c_custkey", intake.is_bound(F.col("body")).alias("bound"))
+
+
+def login_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate_login(_derived(spark, sf_dir, LOGIN_FORMS, "customer")).select("c_custkey", "e_email", "e_password", "message")
+
+
+def signup_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, ANSWERS, "events").select("event_id", outcome.signup_outcome(F.col("status"), F.col("body")).alias("outcome"))
+
+
+def typing_current_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _inputs(spark, sf_dir)
+    return events.select("user_id", "event_id", sessions.current_error(events, "user_id", ["ts", "event_id"], "value").alias("current_error"))
+
+
+def toggle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inputs(spark, sf_dir).where("event_type = 'click'").select("user_id", "event_id", sessions.is_visible("user_id", ["ts", "event_id"]).alias("visible"))
+
+
+def submit_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    submits = _inputs(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
+    return sessions.accepted_submits(submits, "user_id", "micros", "event_id", DAY_MICROS).groupBy("user_id").agg(F.count("*").alias("n_accepted"))
+
+
+def remembered_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    submits = _inputs(spark, sf_dir).where("event_type = 'signup'")
+    return sessions.remembered(submits, "user_id", ["ts", "event_id"], "value", "remember").where(outcome.truthy(F.col("email")))
+
+
+def restored_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _inputs(spark, sf_dir)
+    stored = sessions.remembered(inputs.where("event_type = 'signup'"), "user_id", ["ts", "event_id"], "value", "remember")
+    loads = inputs.where("event_type = 'view'").select("user_id", "event_id")
+    return sessions.restored(loads, stored, "user_id").select("user_id", "event_id", "email", "remember")
+
+
+def email_rule_on_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.explode(F.split("text", f"[{WS}]+")).alias("token")).where(F.col("token").rlike(EMAIL))
+
+
+QUERIES = {
+    "signup_validate": signup_validate,
+    "signup_errors_long": signup_errors_long,
+    "signup_accept_redacted": signup_accept_redacted,
+    "signup_request_json": signup_request_json,
+    "signup_bind": signup_bind,
+    "login_validate": login_validate,
+    "signup_outcome": signup_outcome,
+    "typing_current_error": typing_current_error,
+    "toggle_state": toggle_state,
+    "submit_suppress": submit_suppress,
+    "remembered_email": remembered_email,
+    "restored_session": restored_session,
+    "email_rule_on_text": email_rule_on_text,
+}
+
+
+def _trim(c: str) -> str:
+    return f"regexp_replace(coalesce({c}, ''), '{EDGE_WS}', '', 'g')"
+
+
+def _u16(c: str) -> str:
+    return f"(length({c}) + len(regexp_extract_all({c}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
+def _email_error(c: str, missing: str, wrong: str) -> str:
+    return f"CASE WHEN {_trim(c)} = '' THEN '{missing}' WHEN NOT regexp_matches({_trim(c)}, '{EMAIL}') THEN '{wrong}' END"
+
+
+_FORMS = SIGNUP_FORMS.format(customer="customer")
+_VALID = f"""
+SELECT *, coalesce(e_first_name, e_last_name, e_email, e_password, e_confirm_password, e_terms) IS NULL AS is_valid FROM (
+SELECT *, CASE WHEN {_trim("first_name")} = '' THEN 'First name is required.' END AS e_first_name,
+  CASE WHEN {_trim("last_name")} = '' THEN 'Last name is required.' END AS e_last_name,
+  {_email_error("email", "Email address is required.", "Please enter a valid email address.")} AS e_email,
+  CASE WHEN password = '' THEN 'Password is required.'
+    WHEN NOT ({_u16("password")} >= 8 AND regexp_matches(password, '[A-Za-z]') AND regexp_matches(password, '[0-9]') AND NOT regexp_matches(password, '{LINE_END}'))
+    THEN 'Password must be at least 8 characters and contain a letter and number.' END AS e_password,
+  CASE WHEN confirm_password = '' THEN 'Please confirm your password.' WHEN password <> confirm_password THEN 'Passwords do not match.' END AS e_confirm_password,
+  CASE WHEN NOT terms THEN 'You must accept the Terms and Conditions.' END AS e_terms
+FROM ({_FORMS}))
+"""
+_INPUTS = INPUTS.format(events="events")
+_STORED = f"""
+SELECT user_id, value AS email FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM ({_INPUTS}) WHERE event_type = 'signup')
+WHERE k = 1 AND remember
+"""
+_FIELDS = ("first_name", "last_name", "email", "password", "confirm_password")
+
+ORACLE_SQL = {
+    "signup_validate": f"SELECT c_custkey, e_first_name, e_last_name, e_email, e_password, e_confirm_password, e_terms, is_valid FROM ({_VALID})",
+    "signup_errors_long": " UNION ALL ".join(f"SELECT c_custkey, '{e[2:]}' AS field, {e} AS message FROM ({_VALID}) WHERE {e} IS NOT NULL" for e in validate.SIGNUP_ERRORS),
+    "signup_accept_redacted": f"SELECT 'Signup successful' AS message, {_trim('first_name')} AS first_name, {_trim('last_name')} AS last_name, {_trim('email')} AS email FROM ({_VALID}) WHERE is_valid",
+    "signup_request_json": f"""SELECT c_custkey, CAST(to_json(struct_pack(first_name := {_trim("first_name")}, last_name := {_trim("last_name")}, email := {_trim("email")},
+  password := password, confirm_password := confirm_password)) AS VARCHAR) AS body FROM ({_FORMS})""",
+    "signup_bind": f"""SELECT c_custkey, CASE WHEN json_valid(body) THEN coalesce({" AND ".join(f"json_type(body, '$.{f}') = 'VARCHAR'" for f in _FIELDS)}, FALSE) ELSE FALSE END AS bound
+FROM ({BODIES.format(customer="customer")})""",
+    "login_validate": f"""SELECT c_custkey, e_email, e_password, CASE WHEN e_email IS NULL AND e_password IS NULL THEN 'Login successful!' ELSE 'Please fix the errors above.' END AS message FROM (
+SELECT c_custkey, {_email_error("email", "Email is required.", "Please enter a valid email.")} AS e_email,
+  CASE WHEN password = '' THEN 'Password is required.' WHEN {_u16("password")} < 8 THEN 'Password must be at least 8 characters.' END AS e_password
+FROM ({LOGIN_FORMS.format(customer="customer")}))""",
+    "signup_outcome": f"""SELECT event_id, CASE WHEN status IS NULL OR body IS NULL OR NOT json_valid(body) THEN '{outcome.UNREACHABLE}'
+  WHEN status NOT BETWEEN 200 AND 299 THEN '{outcome.FAILED}' WHEN body = 'null' THEN '{outcome.UNREACHABLE}'
+  ELSE coalesce(CASE WHEN json_type(body, '$.message') = 'VARCHAR' THEN nullif(json_extract_string(body, '$.message'), '')
+    WHEN json_extract_string(body, '$.message') NOT IN ('0', 'false') THEN json_extract_string(body, '$.message') END, '{outcome.DEFAULT}') END AS outcome
+FROM ({ANSWERS.format(events="events")})""",
+    "typing_current_error": f"""SELECT user_id, event_id, nullif(last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS current_error
+FROM (SELECT *, CASE WHEN {_trim("value")} <> '' THEN coalesce({_email_error("value", "Email is required.", "Please enter a valid email.")}, '') END AS e FROM ({_INPUTS}))""",
+    "toggle_state": f"""SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 2 = 1 AS visible
+FROM ({_INPUTS}) WHERE event_type = 'click'""",
+    "submit_suppress": f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'signup'),
+a AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
+  UNION ALL SELECT a.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = a.user_id AND e.t >= a.t + {DAY_MICROS}) FROM a WHERE a.t IS NOT NULL)
+SELECT user_id, count(t) AS n_accepted FROM a GROUP BY user_id""",
+    "remembered_email": f"SELECT user_id, email FROM ({_STORED}) WHERE coalesce(email, '') <> ''",
+    "restored_session": f"""SELECT i.user_id, i.event_id, nullif(s.email, '') AS email, coalesce(s.email, '') <> '' AS remember
+FROM ({_INPUTS}) i LEFT JOIN ({_STORED}) s USING (user_id) WHERE i.event_type = 'view'""",
+    "email_rule_on_text": f"SELECT doc_id, token FROM (SELECT doc_id, unnest(string_split_regex(text, '[{WS}]+')) AS token FROM documents) WHERE regexp_matches(token, '{EMAIL}')",
+}
