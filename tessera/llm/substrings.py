@@ -65,7 +65,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.add.at(inside, begin[long] + lens[long] - NEED + 1, -1)
     at = np.unique((least[np.cumsum(inside[:windows]) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64))
     text = np.searchsorted(begin, at, side="right") - 1
-    return text, at - begin[text], grams[at]
+    return text, at - begin[text], W.mix(grams[at] + np.uint64(1))  # least hashes are small; mixed, they spread over buckets
 
 
 def _repeated(docs: DataFrame, buckets: int) -> DataFrame:

@@ -51,8 +51,8 @@ class Strings:
 
     def equal_bytes(self, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
         """Whether each pair's stretches really are the same bytes."""
-        for k in range(0, len(a), 20_000):
-            s = slice(k, k + 20_000)
+        for k in range(0, len(a), 4_000):
+            s = slice(k, k + 4_000)
             size = left[s] + right[s]
             shift = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             x = self.data[np.repeat(self.spot[a[s]] - left[s], size) + shift]
