@@ -239,7 +239,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower_as
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item_id, list_slice(ws, i, i + 9) AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
 n AS (SELECT DISTINCT len(win) AS size FROM bw),
-dw AS (SELECT r, i, size, list_slice(ws, i, i + size - 1) AS win FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, n WHERE len(ws) >= size)),
+x AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+l AS (SELECT r, i, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS next FROM x),
+dw AS (SELECT r, i, size, list_slice(next, 1, size) AS win FROM l, n WHERE len(next) >= size),
 h AS (SELECT r, i, size, item_id FROM dw JOIN bw USING (win)),
 c AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT r, i, size FROM h)) GROUP BY r),
 s AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY r)
