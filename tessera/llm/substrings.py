@@ -163,7 +163,10 @@ def _covered(batches):
     left, size = left.astype(np.int64), size.astype(np.int64)
     data = b"".join([a[7] for a in asked])
     ends = np.cumsum(size)
-    order = np.argsort(hashes, kind="stable")
+    first_of: dict[tuple[int, int, bytes], int] = {}
+    same = np.array([first_of.setdefault((h, n, data[e - m : e]), k) for k, (h, n, m, e) in enumerate(zip(hashes.tolist(), left.tolist(), size.tolist(), ends.tolist()))])
+    single = np.flatnonzero(same == np.arange(len(same)))  # equal surroundings are sorted once
+    order = single[np.argsort(hashes[single], kind="stable")]
     by = hashes[order]
     group = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
     held = np.cumsum(size[order])
@@ -181,7 +184,8 @@ def _covered(batches):
         strings = Strings(np.frombuffer(text, np.uint8), spot, left[own], size[own] - left[own])
         reach[own] = np.stack(repeated_around(strings, first, np.searchsorted(keys, keys, side="right") - first, NEED), axis=1)
         begin = end
-    full = np.flatnonzero(twice)
+    reach = reach[same]
+    full = np.flatnonzero((twice > 0) | (np.bincount(same)[same] > 1))
     reach[full] = np.stack([left[full], (size - left)[full]], axis=1)
     base = 0
     for a in asked:
