@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = [lab.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").limit(4 * sample).collect()  # ids may repeat in docs
-    rows = sorted({r.id: r for r in sorted(rows, key=lambda r: (r.id, r.text))}.values(), key=lambda r: r.id)
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.max(F.struct("text", "lang")).alias("row"))
+    rows = sorted(rows.select("id", "toxic", "row.*").collect(), key=lambda r: r.id)
     y = np.array([r.toxic for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None

@@ -77,6 +77,17 @@ def test_toxicity_without_labels(spark, docs_dir):
     assert toxicity.clean(docs, None).count() == docs.count()
 
 
+def test_toxicity_fits_on_every_chosen_id_beside_a_hot_one(spark, monkeypatch):
+    hot, *ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 > 1]
+    rows = [(hot, f"calm words {k}", "en") for k in range(5000)] + [(k, ("vile" if k % 2 else "calm") + f" words {k}", "en") for k in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(hot, 0)] + [(k, k % 2) for k in ids], "doc_id long, toxic int")
+    fitted, fit = Counter(), toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda texts, y: fitted.update(y.tolist()) or fit(texts, y))
+    assert toxicity.train(docs, labels, sample=400) is not None
+    assert fitted.total() > 0.7 * len(ids) and min(fitted[0], fitted[1]) > 0.3 * len(ids)
+
+
 # token files
 
 
