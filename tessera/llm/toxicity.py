@@ -4,12 +4,14 @@ A word's embedding is the sum of hashed rows for the word, its first four and it
 first five bytes (two rows each, so one chance collision is not enough). Filters of
 several widths slide over the whole text, their maxima over it go through a logistic
 layer. Inputs are the words of the text alone; language, source, id and labels are
-never inputs of a score. Thresholds for rejecting are calibrated by language on rows
-kept out of the fit.
+never inputs of a score. Thresholds for rejecting are calibrated by language on a fold
+of ids kept out of the fit, from all its clean rows of every length.
 
-The fit takes a bounded sample: at most SAMPLE labelled rows of each class, in the
-order of a hash of their ids, of texts up to SAMPLE_BYTES bytes. Scoring covers every
-row and whole texts.
+The fit takes a bounded sample: at most SAMPLE labelled ids of each class outside the
+folds HELD and ASIDE, in the order of a hash of the ids, and one text up to SAMPLE_BYTES
+bytes of each. Scoring and calibration cover every row and whole texts. For a cut, rows
+of one id and language whose scores share a bin count once, so that an id with many
+copies doesn't set it.
 
 Defined results: null, empty and wordless texts get the score of no word; repeated
 rows each give a row; a row without an id is scored and not held out; labels that are
@@ -36,8 +38,11 @@ SAMPLE, SAMPLE_BYTES = 3000, 20_000
 COMMON = 4
 #: Calibration: one clean row in so many may be rejected, and no cut is lower than LEAST.
 CLEAN, LEAST = 200, 0.3
+#: Bins of a score's log odds in one unit of them; a cut is the highest score of a bin, so less than a bin too high.
+BINS = 128
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.05, 7
-FOLDS = 5
+#: Of FOLDS folds of ids, HELD measures the accuracy and ASIDE gives the thresholds.
+FOLDS, HELD, ASIDE = 5, 0, 1
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,47 +173,63 @@ def _fit(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The least cut, from LEAST up, that at most 1 in CLEAN clean rows reach; 0.5 at least where few rows tell."""
-    clean = np.sort(scores[labels == 0])[::-1]
-    spared = len(clean) // CLEAN
-    cut = float(np.nextafter(clean[spared], 2)) if spared < len(clean) else 0.5
+def _threshold(bins: list[tuple[int, int, float]]) -> float:
+    """The least cut, from LEAST up, that at most 1 in CLEAN clean rows reach; 0.5 at least where few rows tell.
+
+    bins: (bin, rows, highest score) of the clean rows.
+    """
+    spared = sum(n for _, n, _ in bins) // CLEAN
+    cut, above = 0.5, 0
+    for _, n, top in sorted(bins, reverse=True):
+        above += n
+        if above > spared:
+            cut = float(np.nextafter(top, 2))
+            break
     return max(cut, LEAST if spared else 0.5)
 
 
+def calibrate(texts: DataFrame, clean_ids: DataFrame, net: Network) -> dict[str | None, float]:
+    """Thresholds by language, and for all rows under None, from the rows of (id, text, lang) in fold ASIDE whose ids are clean."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
+    rows = texts.where(fold(F.col("id")) == ASIDE).select(F.lit(0).alias("at"), "text", F.col("id").alias("of"), "lang")
+    scored = rows.mapInArrow(_scorer(shared), "of bigint, lang string, score double")
+    least = float(np.log(LEAST / (1 - LEAST)))
+    odds = F.log(F.col("score") / (1 - F.col("score")))
+    bins = F.when(F.col("score") < LEAST, -1).otherwise(F.floor((odds - least) * BINS)).cast("int")
+    once = scored.select("of", "lang", bins.alias("bin"), "score").groupBy("of", "lang", "bin").agg(F.max("score").alias("top"))
+    told = once.join(clean_ids.where(fold(F.col("id")) == ASIDE).select(F.col("id").alias("of")), "of").groupBy("lang", "bin").agg(F.count("*").alias("n"), F.max("top").alias("top"))
+    every, own = F.lit(None).cast("string"), F.col("lang")
+    both = told.select(F.explode(F.when(F.coalesce(own, F.lit("")) == "", F.array(every)).otherwise(F.array(every, own))).alias("lang"), "bin", "n", "top")
+    both = both.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    by = both.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bin", "n", "top")).alias("bins")).where((F.col("all") >= CLEAN) | F.col("lang").isNull())
+    return {None: _threshold([])} | {r["lang"]: _threshold([tuple(x) for x in r["bins"]]) for r in by.collect()}
+
+
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Fit on labelled rows outside fold 0; None without both classes."""
+    """Fit on labelled rows outside the folds HELD and ASIDE, thresholds from fold ASIDE; None without both classes."""
     lab = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    lab = lab.where(fold(F.col("id")) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    chosen = [lab.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
+    lab = lab.where(fold(F.col("id")) != HELD).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    chosen = [lab.where((F.col("toxic") == c) & (fold(F.col("id")) != ASIDE)).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.max(F.struct("text", "lang")).alias("row"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
+    rows = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.max(F.struct("text", "lang")).alias("row"))
     rows = sorted(rows.select("id", "toxic", "row.*").collect(), key=lambda r: r.id)
     y = np.array([r.toxic for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None
-    aside = np.random.default_rng(SEED).random(len(rows)) < 0.2
-    fit = np.flatnonzero(~aside)
-    net = _fit([rows[i].text.encode() for i in fit], y[fit])
+    net = _fit([r.text.encode() for r in rows], y)
     all_of = {r.toxic: r.n for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    net.bias += float(np.log(all_of[1] / all_of[0]) - np.log((y[fit] == 1).sum() / (y[fit] == 0).sum()))  # from the sample's share to that of all labels
-    s = net.scores([r.text.encode() for r in rows])
-    net.thresholds = {None: _threshold(s[aside], y[aside])}
-    for of in sorted({r.lang for r in rows if r.lang}):
-        own = aside & np.array([r.lang == of for r in rows])
-        if (y[own] == 0).sum() >= CLEAN:
-            net.thresholds[of] = _threshold(s[own], y[own])
+    net.bias += float(np.log(all_of[1] / all_of[0]) - np.log((y == 1).sum() / (y == 0).sum()))  # from the sample's share to that of all labels
+    net.thresholds = calibrate(texts, lab.where("toxic = 0"), net)
     return net
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of each row of ``docs``. The network's size is fixed by ROWS and DIM."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def _scorer(shared):
+    """Batches of (anything, text, others) as the others and the score."""
 
     def run(batches):
         net = shared.value
@@ -217,8 +238,14 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             s = net.scores(texts) if net else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array(s)], names=[*b.schema.names[2:], "score"])
 
+    return run
+
+
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score of each row of ``docs``. The network's size is fixed by ROWS and DIM."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     plain = X.plain(docs, id_col, text_col)
-    return plain.select("doc_id", "text", F.col("doc_id").alias("id")).mapInArrow(run, "doc_id bigint, score double")
+    return plain.select(F.lit(0).alias("at"), "text", "doc_id").mapInArrow(_scorer(shared), "doc_id bigint, score double")
 
 
 def clean(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -241,5 +268,5 @@ def clean(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs, train(docs, labels))
-    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    held = F.coalesce(fold(F.col("doc_id")) == HELD, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

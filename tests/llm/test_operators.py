@@ -88,6 +88,22 @@ def test_toxicity_fits_on_every_chosen_id_beside_a_hot_one(spark, monkeypatch):
     assert fitted.total() > 0.7 * len(ids) and min(fitted[0], fitted[1]) > 0.3 * len(ids)
 
 
+def test_toxicity_cuts_by_language_come_from_the_whole_fold(spark):
+    hard = lambda k: k % 5 == 0
+    lang = lambda k: "de" if k % 3 else "en"
+    texts = {k: (f"calm words {k} " + ("vile " if hard(k) else "")) * (2000 if hard(k) else 1) if k < 2400 else f"vile words {k}" for k in range(2700)}
+    docs = spark.createDataFrame([(k, t, lang(k)) for k, t in texts.items()], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k >= 2400)) for k in texts], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels, sample=60)
+    aside = [k for k in range(2400) if zlib.crc32(str(k).encode()) % 5 == 1]
+    assert set(net.thresholds) == {None, "de"}
+    for of, cut in net.thresholds.items():
+        own = [k for k in aside if of in (None, lang(k))]
+        s = np.sort(net.scores([texts[k].encode() for k in own]))[::-1]
+        want = s[len(s) // toxicity.CLEAN]
+        assert (s >= cut).sum() <= len(s) // toxicity.CLEAN and (cut == 0.3 or abs(np.log(cut / (1 - cut)) - np.log(want / (1 - want))) < 1 / toxicity.BINS)
+
+
 # token files
 
 
