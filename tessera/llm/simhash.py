@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -69,14 +69,15 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), fp as a signed long, for (doc_id, text) rows."""
+    """(doc_id, others, fp), fp as a signed long, for (doc_id, text, others) rows."""
+    others = docs.schema.fields[2:]
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t or b"", size) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps.view(np.int64))], names=["doc_id", *b.schema.names[2:], "fp"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.mapInArrow(run, ", ".join(["doc_id bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "fp bigint"]))
 
 
 def _stars(fps: np.ndarray, block: int = 1024) -> list[tuple[int, int]]:
@@ -141,20 +142,45 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_bucket_edges, "u bigint, v bigint")
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """(fp, first, root) of (fp, first): root names the group of a fingerprint."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest id linked to the row, itself included."""
     fps = store.written(fingerprints(X.plain(docs, id_col, text_col), size), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays: that of the smallest id. Rows with a null id stay."""
+    """One row stays of each id that is the smallest of a group, though it may be that of two. Rows with a null id stay."""
     of = simhash_components(docs, size, id_col, text_col)
     kept = of.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     stays = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
     return stays.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """A digest of the id and the text of a row, which is never null."""
+    own = F.coalesce(doc_id.cast("bigint").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(own, F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group: that of the smallest id, a null one last.
+
+    Of rows of one id in a group that with the smallest digest of its text stays, and of
+    rows equal in both any one. An id whose texts are in several groups can stay for each.
+    """
+    plain = X.plain(docs, id_col, text_col)
+    fps = store.written(fingerprints(plain.select("doc_id", "text", _key(F.col("doc_id"), F.col("text")).alias("key")), size), "fingerprints")
+    spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    least = _rooted(fps.groupBy("fp").agg(F.min(spot).alias("first"))).groupBy("root").agg(F.min("first").alias("first"))
+    kept = least.select(F.col("first.key").alias("__kept"))
+    keyed = docs.withColumn("__key", _key(docs[id_col], docs[text_col]))
+    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

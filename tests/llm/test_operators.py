@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tessera.llm import bpe_codec, decontam, katz, line_dedup, quality, queries, simhash, substrings, token_files, toxicity
 from tessera.llm.components import components
 from tessera.llm.huffman import Code, code_lengths
@@ -333,6 +334,27 @@ def test_simhash(spark, docs_dir, texts):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({x for x in least.values() if x is not None})
 
 
+def test_one_row_of_each_group_stays(spark, docs_dir, texts):
+    docs = _docs(spark, docs_dir)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    fps = [_fingerprint(t) for _, t in texts]
+    roots = _joined(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    own, of = {(i, t): r for (i, t), r in zip(texts, roots)}, defaultdict(list)
+    for (i, _), r in zip(texts, roots):
+        of[r].append(i)
+    got = [(r.doc_id, own[r.doc_id, r.text or ""]) for r in kept.collect()]
+    assert sorted(r for _, r in got) == sorted(of)
+    assert all(i == min((x for x in of[r] if x is not None), default=None) for i, r in got)
+    assert [i for i, _ in got].count(9001) == 2
+
+
+def test_one_row_of_each_group_stays_where_an_id_has_many_texts(spark):
+    docs = spark.createDataFrame([(3, "text a of the group"), (5, "text a of the group"), (5, "another one alone"), (None, "nobody's own"), (None, "nobody's own"), (None, "text a of the group")], "doc_id long, text string")
+    want = [(3, "text a of the group"), (5, "another one alone"), (None, "nobody's own")]
+    assert _rows(corpus_pipeline.one_of_near_copies(spark, docs, ""), "doc_id", "text") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("heavy", [4096, 8])
 def test_links_find_every_pair_in_radius(spark, monkeypatch, heavy):
     monkeypatch.setattr(simhash, "HEAVY", heavy)
