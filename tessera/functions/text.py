@@ -28,6 +28,10 @@ def is_blank(c: Column) -> Column:
     return js_trim(c) == ""
 
 
+def is_empty(c: Column) -> Column:
+    return text(c) == ""
+
+
 def u16_length(c: Column) -> Column:
     """Length in UTF-16 code units."""
     return (F.octet_length(F.encode(text(c), "UTF-16BE")) / 2).cast("int")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_blank
+from tessera.functions.text import is_blank, js_trim
 from tessera.operators.outcome import truthy
 from tessera.operators.validate import login_email_error
 
@@ -17,9 +17,12 @@ def _so_far(key: str, order: list[str]):
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def current_error(events: DataFrame, key: str, order: list[str], value: str, error=login_email_error) -> Column:
-    """The error shown after each input event; a blank input leaves the one before."""
-    new = F.when(~is_blank(F.col(value)), F.coalesce(error(F.col(value)), F.lit("")))
+def current_error(events: DataFrame, key: str, order: list[str], value: str, error=login_email_error, skip=is_blank) -> Column:
+    """The error shown after each input event; a skipped input leaves the one before.
+
+    An email is skipped where it is blank, a password only where it is empty (``is_empty``).
+    """
+    new = F.when(~skip(F.col(value)), F.coalesce(error(F.col(value)), F.lit("")))
     return F.nullif(F.last(new, ignorenulls=True).over(_so_far(key, order)), F.lit(""))
 
 
@@ -49,9 +52,10 @@ def accepted_submits(submits: DataFrame, key: str, micros: str, event: str, dela
     return rows.repartition(key).sortWithinPartitions(key, micros, event).mapInPandas(walk, rows.schema)
 
 
-def remembered(submits: DataFrame, key: str, order: list[str], email: str, remember: str) -> DataFrame:
-    """(key, email): what the last submit of each key asked to remember, if it did."""
-    last = F.max_by(F.struct(F.col(remember).alias("remember"), F.col(email).alias("email")), F.struct(*order))
+def remembered(submits: DataFrame, key: str, order: list[str], email: str, remember: str, trimmed: bool = True) -> DataFrame:
+    """(key, email): what the last submit of each key asked to remember, if it did; trimmed, as the page stores it."""
+    value = js_trim(F.col(email)) if trimmed else F.col(email)
+    last = F.max_by(F.struct(F.col(remember).alias("remember"), value.alias("email")), F.struct(*order))
     return submits.groupBy(key).agg(last.alias("last")).where("last.remember").select(key, F.col("last.email").alias("email"))
 
 

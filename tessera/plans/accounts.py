@@ -120,12 +120,13 @@ def submit_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remembered_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     submits = _inputs(spark, sf_dir).where("event_type = 'signup'")
-    return sessions.remembered(submits, "user_id", ["ts", "event_id"], "value", "remember").where(outcome.truthy(F.col("email")))
+    # the value as typed, which is what the SQL beside it says; the page trims it
+    return sessions.remembered(submits, "user_id", ["ts", "event_id"], "value", "remember", trimmed=False).where(outcome.truthy(F.col("email")))
 
 
 def restored_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = _inputs(spark, sf_dir)
-    stored = sessions.remembered(inputs.where("event_type = 'signup'"), "user_id", ["ts", "event_id"], "value", "remember")
+    stored = sessions.remembered(inputs.where("event_type = 'signup'"), "user_id", ["ts", "event_id"], "value", "remember", trimmed=False)
     loads = inputs.where("event_type = 'view'").select("user_id", "event_id")
     return sessions.restored(loads, stored, "user_id").select("user_id", "event_id", "email", "remember")
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
+from tessera.functions.text import js_trim
 from tessera.operators.intake import bind
 from tessera.operators.validate import validate_signup
 
@@ -46,8 +47,8 @@ def accepted_submits(submits: DataFrame, key: str, micros: str, event: str, dela
 
 
 def remembered_emails(submits: DataFrame, key: str, order: str, email: str, remember: str) -> DataFrame:
-    """The last submit's (remember, email) per key, to be written in update mode."""
+    """The last submit's (remember, trimmed email) per key, to be written in update mode."""
     from pyspark.sql import functions as F
 
-    last = F.max_by(F.struct(F.col(remember).alias("remember"), F.col(email).alias("email")), F.col(order))
+    last = F.max_by(F.struct(F.col(remember).alias("remember"), js_trim(F.col(email)).alias("email")), F.col(order))
     return submits.groupBy(key).agg(last.alias("last")).select(key, "last.remember", "last.email")

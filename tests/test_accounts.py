@@ -117,3 +117,22 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.u, r.t) for r in spark.table("taken").collect()) == [(1, 0), (1, 12), (2, 3)]
+
+
+def test_remembered_emails_are_trimmed(spark):
+    from tessera.streaming import accounts as streams
+
+    df = spark.createDataFrame([("a", 1, " a@b.c\u00a0", True), ("b", 1, "x@y.z", True), ("b", 2, " ", True), ("c", 1, "q", False)], "s string, seq int, value string, remember boolean")
+    got = sessions.remembered(df, "s", ["seq"], "value", "remember")
+    assert {r.s: r.email for r in got.collect()} == {"a": "a@b.c", "b": ""}
+    assert {r.s: r.email for r in streams.remembered_emails(df, "s", "seq", "value", "remember").collect()} == {"a": "a@b.c", "b": "", "c": "q"}
+    assert {r.s: (r.email, r.remember) for r in sessions.restored(df.select("s").distinct(), got, "s").collect()} == {"a": ("a@b.c", True), "b": (None, False), "c": (None, False)}
+
+
+def test_a_blank_password_is_not_skipped(spark):
+    from tessera.functions.text import is_empty
+    from tessera.operators.validate import login_password_error
+
+    df = spark.createDataFrame([("a", 1, "long enough"), ("a", 2, " "), ("a", 3, "")], "s string, seq int, value string")
+    got = df.select("seq", sessions.current_error(df, "s", ["seq"], "value", login_password_error, is_empty).alias("e")).collect()
+    assert {r.seq: r.e for r in got} == {1: None} | dict.fromkeys((2, 3), "Password must be at least 8 characters.")
