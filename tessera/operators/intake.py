@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import js_trim, text
-from tessera.sources.schemas import REQUEST_FIELDS
+from tessera.sources.schemas import REQUEST, REQUEST_FIELDS, RESPONSE
 
 TRIMMED = ("first_name", "last_name", "email")
 
@@ -34,9 +34,9 @@ def is_bound(body: Column) -> Column:
 def bind(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Bodies that bind, with their fields as columns."""
     bound = bodies.where(is_bound(F.col(body)))
-    return bound.withColumns({f: F.try_variant_get(F.try_parse_json(F.col(body)), f"$.{f}", "string") for f in REQUEST_FIELDS}).drop(body)
+    return bound.withColumns({f.name: F.try_variant_get(F.try_parse_json(F.col(body)), f"$.{f.name}", f.dataType.simpleString()) for f in REQUEST}).drop(body)
 
 
-def response() -> tuple[Column, Column]:
-    """message and data of an accepted request; no password in either."""
-    return F.lit("Signup successful").alias("message"), F.struct(*TRIMMED).alias("data")
+def response(accepted: DataFrame) -> DataFrame:
+    """message and data for each accepted request; no password in either."""
+    return accepted.select(F.lit("Signup successful").alias("message"), F.struct(*TRIMMED).alias("data")).to(RESPONSE)

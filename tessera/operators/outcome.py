@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What the pages show.
 FORGOT_PASSWORD = "Password reset functionality will be added later."
+ERROR_CLASS = "form-message error-message"
 DEFAULT, FAILED, UNREACHABLE = "Signup successful.", "Signup failed. Please try again.", "Unable to connect to the server."
 
 
@@ -32,3 +34,8 @@ def signup_outcome(status: Column, body: Column) -> Column:
         .when(F.coalesce(falsy, F.lit(False)), DEFAULT)
         .otherwise(F.coalesce(shown, F.lit(DEFAULT)))
     )
+
+
+def forgot_password(clicks: DataFrame) -> DataFrame:
+    """``clicks`` on the link, with the form's message and its class: the same ones each time."""
+    return clicks.withColumns({"message": F.lit(FORGOT_PASSWORD), "message_class": F.lit(ERROR_CLASS)})

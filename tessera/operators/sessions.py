@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank, js_trim
 from tessera.operators.outcome import truthy
-from tessera.operators.validate import login_email_error
+from tessera.operators.validate import login_email_error, validate_login
 
 
 def _so_far(key: str, order: list[str]):
@@ -52,11 +52,23 @@ def accepted_submits(submits: DataFrame, key: str, micros: str, event: str, dela
     return rows.repartition(key).sortWithinPartitions(key, micros, event).mapInPandas(walk, rows.schema)
 
 
-def remembered(submits: DataFrame, key: str, order: list[str], email: str, remember: str, trimmed: bool = True) -> DataFrame:
-    """(key, email): what the last submit of each key asked to remember, if it did; trimmed, as the page stores it."""
-    value = js_trim(F.col(email)) if trimmed else F.col(email)
-    last = F.max_by(F.struct(F.col(remember).alias("remember"), value.alias("email")), F.struct(*order))
-    return submits.groupBy(key).agg(last.alias("last")).where("last.remember").select(key, F.col("last.email").alias("email"))
+def remembered(events: DataFrame, key: str, micros: str, event: str, is_submit: str, delay: int) -> DataFrame:
+    """(key, email): the trimmed email that each key's last login left stored.
+
+    events: rows with the form as it is after each event (email, password, remember);
+    those with is_submit also send it. A submit counts if both login rules pass and no
+    other is under way. ``delay`` after it the page stores the email, or removes what is
+    stored, by the form of that moment: the key's last event before then. No earlier
+    login matters, so only the last submit taken by each key and the events within
+    ``delay`` of it are looked at. Rows without a key or a time are left out.
+    """
+    events = events.where(F.col(key).isNotNull() & F.col(micros).isNotNull())
+    submits = validate_login(events.where(is_submit)).where("is_valid")
+    taken = accepted_submits(submits, key, micros, event, delay).groupBy(key).agg(F.max(micros).alias("__taken"))
+    during = events.join(taken, key).where(F.col(micros).between(F.col("__taken"), F.col("__taken") + (delay - 1)))
+    form = F.struct(F.coalesce("remember", F.lit(False)).alias("remember"), js_trim(F.col("email")).alias("email"))
+    stored = during.groupBy(key).agg(F.max_by(form, F.struct(micros, event)).alias("form"))
+    return stored.where("form.remember").select(key, F.col("form.email").alias("email"))
 
 
 def restored(sessions: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -64,3 +64,13 @@ def errors_long(validated: DataFrame, key: str) -> DataFrame:
     """(key, field, message) for each message of validated sign-ups."""
     pairs = F.array(*[F.struct(F.lit(e[2:]).alias("field"), F.col(e).alias("message")) for e in SIGNUP_ERRORS])
     return validated.select(key, F.inline(F.filter(pairs, lambda p: p["message"].isNotNull())))
+
+
+def field_states(validated: DataFrame, key: str) -> DataFrame:
+    """(key, field, message, input_error) for each field of validated sign-ups.
+
+    A field without a fault shows an empty message. The box of a faulty field is marked
+    (input_error), but for the terms, whose message alone is set and cleared.
+    """
+    states = F.array(*[F.struct(F.lit(e[2:]).alias("field"), F.coalesce(e, F.lit("")).alias("message"), (F.col(e).isNotNull() if e != "e_terms" else F.lit(False)).alias("input_error")) for e in SIGNUP_ERRORS])
+    return validated.select(key, F.inline(states))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import EDGE_WS, EMAIL, LINE_END, WS
+from tessera.functions.text import EDGE_WS, EMAIL, LINE_END, WS, is_empty
 from tessera.operators import intake, outcome, sessions, validate
+from tessera.sources.schemas import LOGIN_FORM, SIGNUP_FORM, as_forms
 
 DAY_MICROS = 86_400_000_000
 
@@ -58,6 +59,7 @@ INPUTS = """
 SELECT user_id, ts, event_id, event_type,
   CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN concat('u', CAST(event_id AS VARCHAR(20)))
     WHEN 3 THEN concat('u', CAST(event_id AS VARCHAR(20)), '@h.example') ELSE ' a@b.c ' END AS value,
+  CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN 'short' WHEN 3 THEN '        ' ELSE concat('password-', CAST(event_id AS VARCHAR(20))) END AS password,
   event_id % 3 <> 0 AS remember
 FROM {events}
 """
@@ -68,13 +70,17 @@ def _derived(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFram
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, SIGNUP_FORMS, "customer")
+    return as_forms(_derived(spark, sf_dir, SIGNUP_FORMS, "customer"), SIGNUP_FORM, "c_custkey")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, INPUTS, "events")
 
 
+def _micros():
+    return F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")
+
+
 def signup_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_signup(_forms(spark, sf_dir)).select("c_custkey", *validate.SIGNUP_ERRORS, "is_valid")
 
@@ -85,7 +91,7 @@ def signup_errors_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signup_accept_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = validate.validate_signup(_forms(spark, sf_dir)).where("is_valid")
-    return intake.request(valid).select(*intake.response()).select("message", "data.*")
+    return intake.response(intake.request(valid)).select("message", "data.*")
 
 
 def signup_request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +103,8 @@ def signup_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def login_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.validate_login(_derived(spark, sf_dir, LOGIN_FORMS, "customer")).select("c_custkey", "e_email", "e_password", "message")
+    forms = as_forms(_derived(spark, sf_dir, LOGIN_FORMS, "customer"), LOGIN_FORM, "c_custkey")
+    return validate.validate_login(forms).select("c_custkey", "e_email", "e_password", "message")
 
 
 def signup_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,26 +121,43 @@ def toggle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submit_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    submits = _inputs(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
+    submits = _inputs(spark, sf_dir).where("event_type = 'signup'").select("user_id", _micros(), "event_id")
     return sessions.accepted_submits(submits, "user_id", "micros", "event_id", DAY_MICROS).groupBy("user_id").agg(F.count("*").alias("n_accepted"))
 
 
+def typing_password_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _inputs(spark, sf_dir)
+    error = sessions.current_error(events, "user_id", ["ts", "event_id"], "password", validate.login_password_error, is_empty)
+    return events.select("user_id", "event_id", error.alias("current_error"))
+
+
+def signup_field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.field_states(signup_validate(spark, sf_dir), "c_custkey")
+
+
+def forgot_password(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.forgot_password(_inputs(spark, sf_dir).where("event_type = 'error'").select("event_id"))
+
+
+def _stored(inputs: DataFrame) -> DataFrame:
+    forms = inputs.select("user_id", _micros(), "event_id", F.col("value").alias("email"), "password", "remember", (F.col("event_type") == "signup").alias("is_submit"))
+    return sessions.remembered(forms, "user_id", "micros", "event_id", "is_submit", DAY_MICROS)
+
+
 def remembered_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    submits = _inputs(spark, sf_dir).where("event_type = 'signup'")
-    # the value as typed, which is what the SQL beside it says; the page trims it
-    return sessions.remembered(submits, "user_id", ["ts", "event_id"], "value", "remember", trimmed=False).where(outcome.truthy(F.col("email")))
+    return _stored(_inputs(spark, sf_dir)).where(outcome.truthy(F.col("email")))
 
 
 def restored_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = _inputs(spark, sf_dir)
-    stored = sessions.remembered(inputs.where("event_type = 'signup'"), "user_id", ["ts", "event_id"], "value", "remember", trimmed=False)
     loads = inputs.where("event_type = 'view'").select("user_id", "event_id")
-    return sessions.restored(loads, stored, "user_id").select("user_id", "event_id", "email", "remember")
+    return sessions.restored(loads, _stored(inputs), "user_id").select("user_id", "event_id", "email", "remember")
 
 
 def email_rule_on_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.explode(F.split("text", f"[{WS}]+")).alias("token")).where(F.col("token").rlike(EMAIL))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").contains("@"))
+    tokens = F.filter(F.split("text", f"[{WS}]+"), lambda t: t.contains("@"))
+    return docs.select("doc_id", F.explode(tokens).alias("token")).where(F.col("token").rlike(EMAIL))
 
 
 QUERIES = {
@@ -144,7 +168,10 @@ QUERIES = {
     "signup_bind": signup_bind,
     "login_validate": login_validate,
     "signup_outcome": signup_outcome,
+    "signup_field_states": signup_field_states,
+    "forgot_password": forgot_password,
     "typing_current_error": typing_current_error,
+    "typing_password_error": typing_password_error,
     "toggle_state": toggle_state,
     "submit_suppress": submit_suppress,
     "remembered_email": remembered_email,
@@ -179,9 +206,18 @@ SELECT *, CASE WHEN {_trim("first_name")} = '' THEN 'First name is required.' EN
 FROM ({_FORMS}))
 """
 _INPUTS = INPUTS.format(events="events")
+#: Submits that pass both rules, then from one that is taken to the next one after its delay;
+#: the form's last event before the last delay ends tells what is stored.
 _STORED = f"""
-SELECT user_id, value AS email FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM ({_INPUTS}) WHERE event_type = 'signup')
+SELECT user_id, email FROM (
+  SELECT user_id, remember, {_trim("value")} AS email, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k
+  FROM ({_INPUTS}) JOIN (
+    WITH RECURSIVE v AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM ({_INPUTS})
+        WHERE event_type = 'signup' AND regexp_matches({_trim("value")}, '{EMAIL}') AND {_u16("password")} >= 8),
+      a AS (SELECT user_id, min(t) AS t FROM v GROUP BY user_id
+        UNION ALL SELECT a.user_id, (SELECT min(v.t) FROM v WHERE v.user_id = a.user_id AND v.t >= a.t + {DAY_MICROS}) FROM a WHERE a.t IS NOT NULL)
+    SELECT user_id, max(t) AS t FROM a GROUP BY user_id) USING (user_id)
+  WHERE epoch_us(ts) >= t AND epoch_us(ts) < t + {DAY_MICROS})
 WHERE k = 1 AND remember
 """
 _FIELDS = ("first_name", "last_name", "email", "password", "confirm_password")
@@ -205,6 +241,10 @@ FROM ({LOGIN_FORMS.format(customer="customer")}))""",
 FROM ({ANSWERS.format(events="events")})""",
     "typing_current_error": f"""SELECT user_id, event_id, nullif(last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS current_error
 FROM (SELECT *, CASE WHEN {_trim("value")} <> '' THEN coalesce({_email_error("value", "Email is required.", "Please enter a valid email.")}, '') END AS e FROM ({_INPUTS}))""",
+    "typing_password_error": f"""SELECT user_id, event_id, nullif(last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS current_error
+FROM (SELECT *, CASE WHEN password <> '' THEN CASE WHEN {_u16("password")} < 8 THEN 'Password must be at least 8 characters.' ELSE '' END END AS e FROM ({_INPUTS}))""",
+    "signup_field_states": " UNION ALL ".join(f"SELECT c_custkey, '{e[2:]}' AS field, coalesce({e}, '') AS message, {e} IS NOT NULL AND {e != 'e_terms'} AS input_error FROM ({_VALID})" for e in validate.SIGNUP_ERRORS),
+    "forgot_password": "SELECT event_id, 'Password reset functionality will be added later.' AS message, 'form-message error-message' AS message_class FROM events WHERE event_type = 'error'",
     "toggle_state": f"""SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 2 = 1 AS visible
 FROM ({_INPUTS}) WHERE event_type = 'click'""",
     "submit_suppress": f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'signup'),

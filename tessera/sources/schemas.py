@@ -18,6 +18,20 @@ RESPONSE = T.StructType(
 )
 
 
+def as_forms(rows: DataFrame, form: T.StructType, *keep: str) -> DataFrame:
+    """``rows`` as forms of a type, after the columns ``keep``.
+
+    Other columns go, a missing field is null, and a field of a type that can't be
+    stored as the form's is an error.
+    """
+    return rows.to(T.StructType([*(rows.schema[k] for k in keep), *form.fields]))
+
+
+def read_forms(spark: SparkSession, path: str, form: T.StructType) -> DataFrame:
+    """Forms from JSON lines; a line that is no object gives a form of nulls."""
+    return spark.read.schema(form).json(path)
+
+
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """One JSON body per line of text files, as (body)."""
     return spark.read.text(path).withColumnRenamed("value", "body")

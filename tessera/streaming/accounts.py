@@ -1,16 +1,25 @@
-"""The account operators over streams."""
+"""The account operators over streams.
+
+The stateful ones take an event time and how late events may come (``late``). A key's
+events are held until the watermark has passed them and are then taken in order of
+time, so that the result is that of the batch form; later ones than that are left
+out, like those without a key or a time. A key's state goes as soon as nothing that
+may still come depends on it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.functions.text import js_trim
+from tessera.functions.text import is_blank, js_trim
 from tessera.operators.intake import bind
-from tessera.operators.validate import validate_signup
+from tessera.operators.validate import login_email_error, validate_login, validate_signup
 
 
 def bound_requests(bodies: DataFrame) -> DataFrame:
@@ -23,32 +32,98 @@ def validated_signups(forms: DataFrame) -> DataFrame:
     return validate_signup(forms)
 
 
-def accepted_submits(submits: DataFrame, key: str, micros: str, event: str, delay: int) -> DataFrame:
-    """Submits taken, with the end of the current delay as each key's state.
+def _in_order(rows: DataFrame, key: str, late: str, step: Callable, schema: str) -> DataFrame:
+    """``step(state, events, now)`` over each key's events in order.
 
-    Within a micro-batch events are put in order; across batches they are taken as
-    they arrive, and one that comes late is judged against what was taken since.
+    rows: key, a timestamp ``at``, micros and event (a number that orders equal times),
+    and others. ``events`` (dicts) are those up to ``now``, the watermark in micros;
+    state is None or a dict. The step gives the new state, rows of ``schema`` after the
+    key, and the time from which on it wants to be called again, or None.
     """
+    names = [c for c in rows.columns if c not in (key, "at")]
+    out_schema = f"{key} {rows.schema[key].dataType.simpleString()}, {schema}"
+    out_names = [field.split()[0] for field in out_schema.split(", ")]
 
     def walk(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
-        rows = pd.concat(parts).sort_values([micros, event])
+        held, own = json.loads(state.get[0]) if state.exists else ([], None)
+        mark = state.getCurrentWatermarkMs()
+        now = mark * 1000
+        for part in parts if not state.hasTimedOut else ():
+            held += [r for r in json.loads(part[names].to_json(orient="records")) if r["micros"] > now]
+        held.sort(key=lambda r: (r["micros"], r["event"]))
+        ready = [r for r in held if r["micros"] <= now]
+        held = held[len(ready) :]
+        own, out, until = step(own, ready, now)
+        if held or own is not None:
+            state.update((json.dumps((held, own)),))
+            soonest = min([r["micros"] for r in held[:1]] + ([until] if until is not None else []), default=None)
+            if soonest is not None:
+                state.setTimeoutTimestamp(max(-(-soonest // 1000), mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame([(of[0], *r) for r in out], columns=out_names)
+
+    rows = rows.where(F.col(key).isNotNull() & F.col("micros").isNotNull()).withWatermark("at", late)
+    return rows.groupBy(key).applyInPandasWithState(walk, out_schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _timed(events: DataFrame, key: str, time: str, event: str, *others: str) -> DataFrame:
+    return events.select(key, F.col(time).alias("at"), F.unix_micros(time).alias("micros"), F.col(event).cast("bigint").alias("event"), *others)
+
+
+def accepted_submits(submits: DataFrame, key: str, time: str, event: str, delay: int, late: str = "1 minute") -> DataFrame:
+    """(key, micros, event) of the submits that are taken; the state is the end of the current delay."""
+
+    def step(until, events, now):
         taken = []
-        for t in rows[micros]:
-            taken.append(until is None or t >= until)
-            if taken[-1]:
-                until = int(t) + delay
-        if until is not None:
-            state.update((until,))
-        yield rows[pd.Series(taken, index=rows.index, dtype=bool)]
+        for e in events:
+            if until is None or e["micros"] >= until:
+                taken.append((e["micros"], e["event"]))
+                until = e["micros"] + delay
+        return (None, taken, None) if until is None or until <= now else (until, taken, until)
+
+    return _in_order(_timed(submits, key, time, event), key, late, step, "micros long, event long")
+
+
+def current_errors(events: DataFrame, key: str, time: str, event: str, value: str, error: Callable[[Column], Column] = login_email_error, skip: Callable[[Column], Column] = is_blank, late: str = "1 minute") -> DataFrame:
+    """(key, micros, event, current_error) after each input event; the state is the error that shows."""
 
-    rows = submits.select(key, micros, event)
-    return rows.groupBy(key).applyInPandasWithState(walk, rows.schema, "until long", "append", "NoTimeout")
+    def step(shown, events, now):
+        out = []
+        for e in events:
+            shown = e["error"] if e["error"] is not None else shown
+            out.append((e["micros"], e["event"], shown or None))
+        return shown or None, out, None
 
+    new = events.withColumn("error", F.when(~skip(F.col(value)), F.coalesce(error(F.col(value)), F.lit(""))))
+    return _in_order(_timed(new, key, time, event, "error"), key, late, step, "micros long, event long, current_error string")
 
-def remembered_emails(submits: DataFrame, key: str, order: str, email: str, remember: str) -> DataFrame:
-    """The last submit's (remember, trimmed email) per key, to be written in update mode."""
-    from pyspark.sql import functions as F
 
-    last = F.max_by(F.struct(F.col(remember).alias("remember"), js_trim(F.col(email)).alias("email")), F.col(order))
-    return submits.groupBy(key).agg(last.alias("last")).select(key, "last.remember", "last.email")
+def remembered_emails(events: DataFrame, key: str, time: str, event: str, is_submit: str, delay: int, late: str = "1 minute") -> DataFrame:
+    """(key, micros, email): what each login stores when its delay ends, null where it removes what is stored.
+
+    The last row of a key is what its store holds: the email, trimmed, or nothing.
+    """
+
+    def step(pending, events, now):
+        out = []
+
+        def fire():
+            out.append((pending["until"], pending["email"] if pending["remember"] else None))
+
+        for e in events:
+            if pending and e["micros"] >= pending["until"]:
+                fire()
+                pending = None
+            if pending:
+                pending |= {"email": e["email"], "remember": e["remember"]}
+            elif e["submits"]:
+                pending = {"until": e["micros"] + delay, "email": e["email"], "remember": e["remember"]}
+        if pending and pending["until"] <= now:
+            fire()
+            pending = None
+        return pending, out, pending and pending["until"]
+
+    forms = validate_login(events).withColumns({"submits": F.col(is_submit) & F.col("is_valid"), "email": js_trim(F.col("email")), "remember": F.coalesce("remember", F.lit(False))})
+    return _in_order(_timed(forms, key, time, event, "submits", "email", "remember"), key, late, step, "micros long, email string")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import intake, outcome, sessions, validate
 from tessera.plans import accounts
+from tessera.sources import schemas
+from tessera.streaming import accounts as live
 from tests.compare import rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.01"
@@ -84,8 +86,8 @@ def test_trim_is_idempotent(spark, values):
 
 def test_response_has_no_password(spark):
     forms = accounts._forms(spark, SF)
-    out = intake.request(forms).select(*intake.response())
-    assert "password" not in out.schema.simpleString()
+    out = intake.response(intake.request(forms))
+    assert "password" not in out.schema.simpleString() and out.schema.simpleString() == schemas.RESPONSE.simpleString()
 
 
 def _plan(df) -> str:
@@ -99,40 +101,128 @@ def test_plans(spark):
     assert "props" not in _plan(accounts.toggle_state(spark, SF)) and "EqualTo(event_type,click)" in _plan(accounts.toggle_state(spark, SF))
 
 
-def test_streams(spark, tmp_path):
-    from tessera.sources.schemas import stream_bodies
-    from tessera.streaming import accounts as live
+def test_forms_are_conformed(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x", "e", True, 9)], "k int, password string, email string, remember boolean, more int")
+    assert schemas.as_forms(rows, schemas.LOGIN_FORM, "k").columns == ["k", "email", "password", "remember"]
+    assert schemas.as_forms(rows.drop("password"), schemas.LOGIN_FORM, "k").first() == (1, "e", None, True)
+    with pytest.raises(Exception, match="remember"):
+        schemas.as_forms(rows.withColumn("remember", F.array(F.lit(1))), schemas.LOGIN_FORM, "k").collect()
+    (tmp_path / "forms.json").write_text('{"email":"a@b.c","remember":true,"more":1}\n[1\n')
+    got = schemas.read_forms(spark, str(tmp_path / "forms.json"), schemas.LOGIN_FORM).collect()
+    assert sorted(map(tuple, got), key=repr) == [("a@b.c", None, True), (None, None, None)]
 
-    (tmp_path / "in").mkdir()
+
+def test_bodies_are_lines(spark, tmp_path):
     full = '{"first_name":"f","last_name":"l","email":"e@x.y","password":"p","confirm_password":"p"}'
-    (tmp_path / "in" / "a.txt").write_text(full + "\nnot json\n")
-    query = live.bound_requests(stream_bodies(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("bound").start()
-    query.processAllAvailable()
+    (tmp_path / "a.txt").write_text(full + "\n\nnot json\n" + full.replace('"p"', "1") + "\n")
+    bodies = schemas.read_bodies(spark, str(tmp_path))
+    assert bodies.columns == ["body"] and bodies.count() == 4
+    assert [r.email for r in intake.bind(bodies).collect()] == ["e@x.y"]
+
+
+def test_field_states(spark):
+    row = ("f", " ", "bad", "abcdefg1", "x", False)
+    got = {r.field: (r.message, r.input_error) for r in validate.field_states(validate.validate_signup(spark.createDataFrame([(7, *row)], "k int, first_name string, last_name string, email string, password string, confirm_password string, terms boolean")), "k").collect()}
+    assert got == {
+        "first_name": ("", False),
+        "last_name": ("Last name is required.", True),
+        "email": ("Please enter a valid email address.", True),
+        "password": ("", False),
+        "confirm_password": ("Passwords do not match.", True),
+        "terms": ("You must accept the Terms and Conditions.", False),
+    }
+
+
+LOGIN_EVENTS = "s string, t long, e long, email string, password string, remember boolean, is_submit boolean"
+GOOD = "long enough"
+#: Delay 10. a: submit, edited and unticked submit within the delay is ignored but its form is stored; b: unticked in time;
+#: c: neither rule passed; d: a later login removes; e: edited after the delay; f: blank by then; g: no tick.
+LOGINS = [
+    ("a", 0, 1, "a@b.c", GOOD, True, True), ("a", 5, 2, " new@b.c ", GOOD, True, True), ("a", 12, 3, "x", GOOD, True, True), ("a", 13, 4, "late@b.c", "short", True, True),
+    ("b", 0, 1, "a@b.c", GOOD, True, True), ("b", 9, 2, "a@b.c", GOOD, False, False),
+    ("c", 0, 1, "not an email", GOOD, True, True), ("c", 20, 2, "a@b.c", "short", True, True), ("c", 40, 3, "  ", GOOD, True, True),
+    ("d", 0, 1, "a@b.c", GOOD, True, True), ("d", 10, 2, "a@b.c", GOOD, False, True),
+    ("e", 3, 1, " e@b.c\u00a0", GOOD, True, True), ("e", 13, 2, "later", GOOD, False, False),
+    ("f", 3, 1, "f@b.c", GOOD, True, True), ("f", 3, 2, " ", GOOD, True, False),
+    ("g", 1, 1, "g@b.c", GOOD, None, True), (None, 1, 1, "a@b.c", GOOD, True, True), ("h", None, 1, "a@b.c", GOOD, True, True),
+]
+STORED = {"a": "new@b.c", "e": "e@b.c", "f": ""}
+
+
+def test_remembered_after_a_login_that_was_taken(spark):
+    got = sessions.remembered(spark.createDataFrame(LOGINS, LOGIN_EVENTS), "s", "t", "e", "is_submit", 10)
+    assert {r.s: r.email for r in got.collect()} == STORED
+    loads = spark.createDataFrame([(k,) for k in "aefx"], "s string")
+    assert {r.s: (r.email, r.remember) for r in sessions.restored(loads, got, "s").collect()} == {"a": ("new@b.c", True), "e": ("e@b.c", True), "f": (None, False), "x": (None, False)}
+
+
+def test_forgot_password(spark):
+    assert outcome.forgot_password(spark.range(1)).first() == (0, "Password reset functionality will be added later.", "form-message error-message")
+
+
+def test_a_blank_password_is_not_skipped(spark):
+    from tessera.functions.text import is_empty
+
+    df = spark.createDataFrame([("a", 1, "long enough"), ("a", 2, " "), ("a", 3, "")], "s string, seq int, value string")
+    got = df.select("seq", sessions.current_error(df, "s", ["seq"], "value", validate.login_password_error, is_empty).alias("e")).collect()
+    assert {r.seq: r.e for r in got} == {1: None} | dict.fromkeys((2, 3), "Password must be at least 8 characters.")
+
+
+# streams
+
+
+def _streamed(spark, path, batches, make, schema):
+    """Rows of a stream over batches of rows, one file each; a last one of key z moves the watermark on."""
+    (path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+    name = path.name.replace("-", "_")
+    query = make(stream.withColumn("ts", F.timestamp_seconds(F.col("t") + 1000))).writeStream.format("memory").queryName(name).start()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path / f"b{k}"))
+        for f in (path / f"b{k}").glob("part-*.parquet"):
+            f.rename(path / "in" / f"{k}.parquet")
+        query.processAllAvailable()
+    left = query.lastProgress["stateOperators"]
     query.stop()
-    assert [r.email for r in spark.table("bound").collect()] == ["e@x.y"]
+    return [tuple(r) for r in spark.table(name).collect()], left[0]["numRowsTotal"] if left else 0
 
-    spark.createDataFrame([(1, t, t) for t in (0, 4, 8, 12, 13)] + [(2, 3, 9)], "u long, t long, e long").write.parquet(str(tmp_path / "events"))
-    stream = spark.readStream.schema("u long, t long, e long").parquet(str(tmp_path / "events"))
-    query = live.accepted_submits(stream, "u", "t", "e", 10).writeStream.format("memory").queryName("taken").start()
+
+def test_stateless_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    full = '{"first_name":"f","last_name":"l","email":"e@x.y","password":"password1","confirm_password":"password1"}'
+    (tmp_path / "in" / "a.txt").write_text(full + "\nnot json\n")
+    bound = live.bound_requests(schemas.stream_bodies(spark, str(tmp_path / "in")))
+    query = live.validated_signups(bound.withColumn("terms", F.lit(True))).writeStream.format("memory").queryName("bound").start()
     query.processAllAvailable()
     query.stop()
-    assert sorted((r.u, r.t) for r in spark.table("taken").collect()) == [(1, 0), (1, 12), (2, 3)]
+    assert [(r.email, r.is_valid) for r in spark.table("bound").collect()] == [("e@x.y", True)]
 
 
-def test_remembered_emails_are_trimmed(spark):
-    from tessera.streaming import accounts as streams
+def test_submits_of_a_stream(spark, tmp_path):
+    schema = "s string, t long, e long"
+    last = [("z", 10_000, 1)]
+    batches = [[("a", 4, 2), ("a", 0, 1), ("b", 3, 9)], [("a", 13, 5), ("a", 12, 4), (None, 1, 1), ("b", None, 1)], [("a", 8, 3), *last], [("a", 2, 7), ("z", 20_000, 2)]]
+    got, kept = _streamed(spark, tmp_path, batches, lambda s: live.accepted_submits(s, "s", "ts", "e", 10_000_000), schema)
+    assert sorted((k, m // 1_000_000 - 1000, e) for k, m, e in got if k != "z") == [("a", 0, 1), ("a", 12, 4), ("b", 3, 9)]
+    assert kept == 1  # of z alone
 
-    df = spark.createDataFrame([("a", 1, " a@b.c\u00a0", True), ("b", 1, "x@y.z", True), ("b", 2, " ", True), ("c", 1, "q", False)], "s string, seq int, value string, remember boolean")
-    got = sessions.remembered(df, "s", ["seq"], "value", "remember")
-    assert {r.s: r.email for r in got.collect()} == {"a": "a@b.c", "b": ""}
-    assert {r.s: r.email for r in streams.remembered_emails(df, "s", "seq", "value", "remember").collect()} == {"a": "a@b.c", "b": "", "c": "q"}
-    assert {r.s: (r.email, r.remember) for r in sessions.restored(df.select("s").distinct(), got, "s").collect()} == {"a": ("a@b.c", True), "b": (None, False), "c": (None, False)}
 
+def test_errors_of_a_stream(spark, tmp_path):
+    values = ["a", "a@b.c", "zz", "", "  ", "q@w.e"]
+    rows = [("s", k, k, v) for k, v in enumerate(values)]
+    batches = [[rows[1], rows[0]], rows[3:5], [rows[2], ("z", 5_000, 1, "")], [("s", 9_000, 9, "")], [("z", 20_000, 1, "")]]
+    got, _ = _streamed(spark, tmp_path, batches, lambda s: live.current_errors(s, "s", "ts", "e", "value"), "s string, t long, e long, value string")
+    wrong = "Please enter a valid email."
+    assert [x[3] for x in sorted(r for r in got if r[0] == "s")] == [wrong, None, wrong, wrong, wrong, wrong]
 
-def test_a_blank_password_is_not_skipped(spark):
-    from tessera.functions.text import is_empty
-    from tessera.operators.validate import login_password_error
 
-    df = spark.createDataFrame([("a", 1, "long enough"), ("a", 2, " "), ("a", 3, "")], "s string, seq int, value string")
-    got = df.select("seq", sessions.current_error(df, "s", ["seq"], "value", login_password_error, is_empty).alias("e")).collect()
-    assert {r.seq: r.e for r in got} == {1: None} | dict.fromkeys((2, 3), "Password must be at least 8 characters.")
+def test_logins_of_a_stream(spark, tmp_path):
+    batches = [LOGINS[k::3] for k in range(3)] + [[("z", 9_000, 1, "", "", False, False)], [("z", 20_000, 1, "", "", False, False)]]
+    got, kept = _streamed(spark, tmp_path, batches, lambda s: live.remembered_emails(s, "s", "ts", "e", "is_submit", 10_000_000), LOGIN_EVENTS)
+    last = {k: email for k, _, email in sorted(got, key=lambda r: (r[0], r[1]))}
+    assert {k: v for k, v in last.items() if v is not None} == STORED and last["b"] is None and last["d"] is None and "c" not in last
+    assert kept <= 1
+
+
+def test_plans_of_text_rule(spark):
+    assert "StringContains(text,@)" in _plan(accounts.email_rule_on_text(spark, SF))
