@@ -7,17 +7,22 @@ bits with odd <m(i), v>. The vectors of at most RADIUS differing bits leave a v
 orthogonal to all of them, so every such pair has the same key in some table.
 
 Copies share a fingerprint and are one node. A bucket gives each of its components as
-a star, not as pairs; a bucket over HEAVY fingerprints is dealt again by four chunks
-of the bits its table leaves out, of which at least one agrees for any pair in radius.
+a star, not as pairs. A bucket over HEAVY fingerprints is dealt again, by four chunks of
+the bits that it leaves open, of which at least one agrees for any pair in radius, and
+so on: each time a quarter of the open bits is settled, and as fingerprints are distinct
+12 open bits hold HEAVY at most, so no task compares more than that with each other.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any
-other; fewer words than a shingle make one shingle of what there is; repeated rows
-each give a row; a null id stays null and is never the smallest id unless all are
-null; other columns are ignored; an empty table gives none.
+other; fewer words than a shingle make one shingle of what there is; very long texts are
+worked on whole, their shingles summed up in slices; a bit that half of the shingles set
+(a tie) is zero; repeated rows each give a row; a null id stays null and is never the
+smallest id unless all are null; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,7 +49,7 @@ def masks() -> list[int]:
 
 
 def free_chunks(mask: int) -> list[int]:
-    """The bits a table leaves out, in RADIUS + 1 chunks."""
+    """The bits that are not in a mask, in RADIUS + 1 chunks."""
     free = [i for i in range(BITS) if not mask >> i & 1]
     return [sum(1 << i for i in free[c :: RADIUS + 1]) for c in range(RADIUS + 1)]
 
@@ -101,45 +106,55 @@ def _stars(fps: np.ndarray, block: int = 1024) -> list[tuple[int, int]]:
 
 
 def _bucket_edges(batches):
-    """Edges of buckets that come as sorted (table, key, chunk, sub, fp) rows."""
+    """Edges of buckets that come as sorted (mask, key, fp) rows."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def edges(a: np.ndarray):
-        cut = np.flatnonzero(np.any(a[1:, :4] != a[:-1, :4], axis=1)) + 1
+        cut = np.flatnonzero(np.any(a[1:, :2] != a[:-1, :2], axis=1)) + 1
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(a)]])
         two = starts[ends - starts == 2]
-        x, y = a[two, 4], a[two + 1, 4]
+        x, y = a[two, 2], a[two + 1, 2]
         near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= RADIUS
         out = [*zip(x[near].tolist(), y[near].tolist())]
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-            out += _stars(np.ascontiguousarray(a[s:e, 4]))
+            out += _stars(np.ascontiguousarray(a[s:e, 2]))
         return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], schema=schema)
 
-    held = np.zeros((0, 5), np.int64)
+    held = np.zeros((0, 3), np.int64)
     for b in batches:
-        held = np.concatenate([held, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)])
-        if len(held):
-            last = int(np.flatnonzero(np.any(held[:, :4] != held[-1, :4], axis=1))[-1:].sum() + 1) if np.any(held[:, :4] != held[-1, :4]) else 0
-            if last:
-                yield edges(held[:last])
-                held = held[last:]
+        held = np.concatenate([held, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)])
+        others = np.flatnonzero(np.any(held[:, :2] != held[-1:, :2], axis=1))
+        if len(others):
+            yield edges(held[: others[-1] + 1])
+            held = held[others[-1] + 1 :]
     if len(held):
         yield edges(held)
 
 
+def _compared(keyed: DataFrame) -> DataFrame:
+    """Edges within the buckets of (mask, key, fp)."""
+    dealt = keyed.repartition(X.partitions(keyed), "mask", "key").sortWithinPartitions("mask", "key")
+    return dealt.mapInArrow(_bucket_edges, "u bigint, v bigint")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): edges that join all fingerprints of (fp) within RADIUS, directly or through others."""
-    tables = masks()
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])).alias("table", "key"))
-    heavy = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
-    found = keyed.join(heavy, ["table", "key"], "left")
-    whole = F.array(F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("sub")))
-    chunk_masks = F.array(*[F.array(*[F.lit(_signed(c)) for c in free_chunks(m)]) for m in tables])
-    again = F.transform(F.element_at(chunk_masks, F.col("table") + 1), lambda m, i: F.struct(i.alias("chunk"), F.col("fp").bitwiseAND(m).alias("sub")))
-    dealt = found.select("table", "key", F.explode(F.when(F.col("n").isNull(), whole).otherwise(again)).alias("at"), "fp")
-    n = X.partitions(distinct)
-    dealt = dealt.select("table", "key", "at.chunk", "at.sub", "fp").repartition(n, "table", "key", "chunk", "sub").sortWithinPartitions("table", "key", "chunk", "sub")
-    return dealt.mapInArrow(_bucket_edges, "u bigint, v bigint")
+    spots = lambda kinds: F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in kinds])
+    kinds, found = masks(), []
+    keyed = distinct.select(F.inline(spots(kinds)), "fp")
+    while True:
+        heavy = store.written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("mask", "key"), "heavy")
+        again = {r["mask"] for r in heavy.select("mask").distinct().collect()}  # one of ``kinds`` each
+        if not again:
+            break
+        found.append(_compared(keyed.join(heavy, ["mask", "key"], "left_anti")))
+        open_ones = {m: [m | c for c in free_chunks(m)] for m in kinds if _signed(m) in again}
+        deeper = F.when(F.lit(False), spots([0]))
+        for m, own in open_ones.items():
+            deeper = deeper.when(F.col("mask") == _signed(m), spots(own))
+        keyed = store.written(keyed.join(heavy, ["mask", "key"], "left_semi").select(F.inline(deeper), "fp").distinct(), "dealt-again")
+        kinds = sorted({m for own in open_ones.values() for m in own})
+    return functools.reduce(DataFrame.unionByName, [*found, _compared(keyed)])
 
 
 def _rooted(nodes: DataFrame) -> DataFrame:
@@ -157,14 +172,6 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row stays of each id that is the smallest of a group, though it may be that of two. Rows with a null id stay."""
-    of = simhash_components(docs, size, id_col, text_col)
-    kept = of.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stays = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
-    return stays.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-
-
 def _key(doc_id: Column, text: Column) -> Column:
     """A digest of the id and the text of a row, which is never null."""
     own = F.coalesce(doc_id.cast("bigint").cast("string"), F.lit(""))
