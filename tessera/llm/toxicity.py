@@ -8,16 +8,18 @@ never inputs of a score. Thresholds for rejecting are calibrated by language on
 of ids kept out of the fit, from all its clean rows of every length.
 
 The fit takes a bounded sample: at most SAMPLE labelled ids of each class outside the
-folds HELD and ASIDE, in the order of a hash of the ids, and one text up to SAMPLE_BYTES
-bytes of each. Scoring and calibration cover every row and whole texts. For a cut, rows
-of one id and language whose scores share a bin count once, so that an id with many
-copies doesn't set it.
+folds HELD and ASIDE that the documents have, languages in turn and in the order of a
+hash of the ids in each, and one whole text of each. Scoring and calibration cover every
+row and whole texts. For a cut, rows of one id and language whose scores share a bin
+count once, so that an id with many copies doesn't set it.
 
 Defined results: null, empty and wordless texts get the score of no word; repeated
 rows each give a row; a row without an id is scored and not held out; labels that are
 null are not used, and of several labels of an id the largest counts; without labels
 of both classes every score is 0.5 and the thresholds are 1; other columns are
-ignored; an empty table gives none.
+ignored; an empty table gives none. Very long texts are scored whole, the maxima taken
+over all of them. Ties: a score of just a threshold rejects, one of 0.5 is predicted
+toxic; of several texts of an id the last in byte order is fitted.
 """
 
 from __future__ import annotations
@@ -26,18 +28,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import store
 from . import words as W
 
 ROWS, DIM, WIDTHS, FILTERS, PAD = 1 << 18, 8, (1, 2, 3), 8, 3
-SAMPLE, SAMPLE_BYTES = 3000, 20_000
+SAMPLE = 3000
 #: Rows of the table that fewer texts of the sample touch stay zero, as do those of words never seen.
 COMMON = 4
 #: Calibration: one clean row in so many may be rejected, and no cut is lower than LEAST.
-CLEAN, LEAST = 200, 0.3
+#: A language with fewer clean rows than that, but FEW, has a cut above all of them and not below the cut of all languages.
+CLEAN, FEW, LEAST = 200, 50, 0.1
 #: Bins of a score's log odds in one unit of them; a cut is the highest score of a bin, so less than a bin too high.
 BINS = 128
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.05, 7
@@ -101,6 +105,49 @@ class Network:
         return out
 
 
+@dataclass
+class Gradients:
+    """Of the mean log loss; ``table`` has a row for each of the embedding rows ``spots``."""
+
+    filters: list[np.ndarray]
+    biases: list[np.ndarray]
+    out: np.ndarray
+    bias: float
+    spots: np.ndarray
+    table: np.ndarray
+
+
+def gradients(net: Network, rows: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Gradients:
+    """Of some texts, given by ``features``."""
+    p, x, acts, at = net.pooled(rows, first)
+    docs = len(labels)
+    error = (1 / (1 + np.exp(-np.clip(p @ net.out + net.bias, -30, 30))) - labels) / docs
+    dp = np.where(p > 0, error[:, None] * net.out, 0).astype(np.float32)
+    where, what = [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
+    by_filter, by_bias = [np.zeros_like(f) for f in net.filters], [np.zeros_like(b) for b in net.biases]
+    ends = np.append(at[1:], len(x) - PAD)
+    for d in range(docs):
+        for q, w in enumerate(WIDTHS):
+            g = dp[d, q * FILTERS : (q + 1) * FILTERS]
+            live = np.flatnonzero(g)
+            if not len(live):
+                continue
+            top = at[d] + acts[q][at[d] : ends[d]][:, live].argmax(axis=0)  # a maximum depends on its window alone
+            by_bias[q][live] += g[live]
+            for j in range(w):
+                by_filter[q][j][:, live] += x[top + j].T * g[live]
+                where.append(top + j)
+                what.append((net.filters[q][j][:, live] * g[live]).T)
+    word_of = np.full(len(x), -1)
+    word_of[np.arange(len(rows)) + PAD * np.repeat(np.arange(docs), np.diff(first))] = np.arange(len(rows))
+    place, by_word = word_of[np.concatenate(where)], np.concatenate(what)
+    by_word, place = by_word[place >= 0], place[place >= 0]
+    spots, to = np.unique(rows[place].ravel(), return_inverse=True)
+    by_row = np.zeros((len(spots), DIM), np.float32)
+    np.add.at(by_row, to, np.repeat(by_word, rows.shape[1], axis=0))
+    return Gradients(by_filter, by_bias, (p.T @ error).astype(np.float32), float(error.sum()), spots, by_row)
+
+
 def _fit(texts: list[bytes], labels: np.ndarray) -> Network:
     rng = np.random.default_rng(SEED)
     net = Network(
@@ -135,57 +182,31 @@ def _fit(texts: list[bytes], labels: np.ndarray) -> Network:
             some = order[k : k + BATCH]
             rows = np.concatenate([made[i][0] for i in some])
             first = np.concatenate([[0], np.cumsum([len(made[i][0]) for i in some])])
-            p, x, acts, at = net.pooled(rows, first)
-            error = (1 / (1 + np.exp(-np.clip(p @ net.out + net.bias, -30, 30))) - labels[some]) / len(some)
-            dp = np.where(p > 0, error[:, None] * net.out, 0).astype(np.float32)
-            dx_at, dx = [], []
-            grads_f, grads_b = [np.zeros_like(f) for f in net.filters], [np.zeros_like(b) for b in net.biases]
-            ends = np.append(at[1:], len(x) - PAD)
-            for d in range(len(some)):
-                for q, w in enumerate(WIDTHS):
-                    g = dp[d, q * FILTERS : (q + 1) * FILTERS]
-                    live = np.flatnonzero(g)
-                    if not len(live):
-                        continue
-                    top = at[d] + acts[q][at[d] : ends[d]][:, live].argmax(axis=0)
-                    grads_b[q][live] += g[live]
-                    for j in range(w):
-                        grads_f[q][j][:, live] += x[top + j].T * g[live]
-                        dx_at.append(top + j)
-                        dx.append((net.filters[q][j][:, live] * g[live]).T)
-            if dx:
-                where, what = np.concatenate(dx_at), np.concatenate(dx)
-                word_of = np.full(len(x), -1)
-                word_of[np.arange(len(rows)) + PAD * np.repeat(np.arange(len(some)), np.diff(first))] = np.arange(len(rows))
-                where = word_of[where]
-                what, where = what[where >= 0], where[where >= 0]
-                spots, place = np.unique(rows[where].ravel(), return_inverse=True)
-                grad = np.zeros((len(spots), DIM), np.float32)
-                np.add.at(grad, place, np.repeat(what, rows.shape[1], axis=0))
-                grad[~learned[spots]] = 0
-                seen_rows[spots] += (grad * grad).sum(axis=1)
-                net.table[spots] -= RATE * grad / (np.sqrt(seen_rows[spots, None]) + 1e-6)
-            out_grad = (p.T @ error).astype(np.float32)
-            for value, grad, past in zip((*net.filters, *net.biases, net.out), (*grads_f, *grads_b, out_grad), seen):
+            g = gradients(net, rows, first, labels[some])
+            spots, grad = g.spots, g.table
+            grad[~learned[spots]] = 0
+            seen_rows[spots] += (grad * grad).sum(axis=1)
+            net.table[spots] -= RATE * grad / (np.sqrt(seen_rows[spots, None]) + 1e-6)
+            for value, grad, past in zip((*net.filters, *net.biases, net.out), (*g.filters, *g.biases, g.out), seen):
                 step(value, grad, past)
-            seen_bias += float(error.sum()) ** 2
-            net.bias -= RATE * float(error.sum()) / (seen_bias**0.5 + 1e-6)
+            seen_bias += g.bias**2
+            net.bias -= RATE * g.bias / (seen_bias**0.5 + 1e-6)
     return net
 
 
-def _threshold(bins: list[tuple[int, int, float]]) -> float:
-    """The least cut, from LEAST up, that at most 1 in CLEAN clean rows reach; 0.5 at least where few rows tell.
+def _threshold(bins: list[tuple[int, int, float]], floor: float) -> float:
+    """The least cut, from LEAST up, that at most 1 in CLEAN clean rows reach; ``floor`` at least where few rows tell.
 
     bins: (bin, rows, highest score) of the clean rows.
     """
     spared = sum(n for _, n, _ in bins) // CLEAN
-    cut, above = 0.5, 0
+    cut, above = 0.0, 0
     for _, n, top in sorted(bins, reverse=True):
         above += n
         if above > spared:
             cut = float(np.nextafter(top, 2))
             break
-    return max(cut, LEAST if spared else 0.5)
+    return max(cut, LEAST if spared else floor)
 
 
 def calibrate(texts: DataFrame, clean_ids: DataFrame, net: Network) -> dict[str | None, float]:
@@ -201,8 +222,10 @@ def calibrate(texts: DataFrame, clean_ids: DataFrame, net: Network) -> dict[str
     every, own = F.lit(None).cast("string"), F.col("lang")
     both = told.select(F.explode(F.when(F.coalesce(own, F.lit("")) == "", F.array(every)).otherwise(F.array(every, own))).alias("lang"), "bin", "n", "top")
     both = both.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-    by = both.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bin", "n", "top")).alias("bins")).where((F.col("all") >= CLEAN) | F.col("lang").isNull())
-    return {None: _threshold([])} | {r["lang"]: _threshold([tuple(x) for x in r["bins"]]) for r in by.collect()}
+    by = both.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bin", "n", "top")).alias("bins")).where((F.col("all") >= FEW) | F.col("lang").isNull())
+    found = {r["lang"]: [tuple(x) for x in r["bins"]] for r in by.collect()}
+    every = _threshold(found.pop(None, []), 0.5)
+    return {None: every} | {lang: _threshold(own, every) for lang, own in found.items()}
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -211,13 +234,16 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Fit on labelled rows outside the folds HELD and ASIDE, thresholds from fold ASIDE; None without both classes."""
-    lab = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    lab = lab.where(fold(F.col("id")) != HELD).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    chosen = [lab.where((F.col("toxic") == c) & (fold(F.col("id")) != ASIDE)).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    rows = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.max(F.struct("text", "lang")).alias("row"))
-    rows = sorted(rows.select("id", "toxic", "row.*").collect(), key=lambda r: r.id)
+    lab = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    lab = lab.where(fold(F.col("id")) != HELD).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    lab = store.written(lab.join(texts.groupBy("id").agg(F.min("lang").alias("lang")), "id"), "labelled")  # of what the documents have
+    order = Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("id"), "id")
+    ranked = lab.where(fold(F.col("id")) != ASIDE).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample)
+    chosen = [ranked.where(F.col("toxic") == c).orderBy("turn", F.xxhash64("id"), "id").limit(sample).select("id", "toxic") for c in (0, 1)]
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.max("text").alias("text"))
+    rows = sorted(rows.select("id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect(), key=lambda r: r.id)  # 2 * sample at most
     y = np.array([r.toxic for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None
@@ -241,11 +267,17 @@ def _scorer(shared):
     return run
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of each row of ``docs``. The network's size is fixed by ROWS and DIM."""
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, score, threshold (of the row's language), rejected for each row of ``docs``. The network's size is fixed by ROWS and DIM."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    plain = X.plain(docs, id_col, text_col)
-    return plain.select(F.lit(0).alias("at"), "text", "doc_id").mapInArrow(_scorer(shared), "doc_id bigint, score double")
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.lit(0).alias("at"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("bigint").alias("doc_id"), lang.alias("lang"))
+    scored = rows.mapInArrow(_scorer(shared), "doc_id bigint, lang string, score double")
+    cuts = net.thresholds if net else {None: 1.0}
+    threshold = F.lit(cuts[None])
+    if own := [F.lit(x) for lang, cut in cuts.items() if lang is not None for x in (lang, cut)]:
+        threshold = F.coalesce(F.try_element_at(F.create_map(*own), F.col("lang")), threshold)
+    return scored.select("doc_id", "score", threshold.alias("threshold")).withColumn("rejected", F.col("score") >= F.col("threshold"))
 
 
 def clean(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -263,10 +295,10 @@ def clean(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col
             texts = [t or b"" for t in b.column(text_at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(net.scores(texts) < limits, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)  # as ``rejected`` of ``score`` says
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs, train(docs, labels))
     held = F.coalesce(fold(F.col("doc_id")) == HELD, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
