@@ -1,13 +1,15 @@
 """Operator 5: BPE encoding and decoding through a table of distinct words.
 
 Words are split in Spark, each distinct word is encoded once by the vocabulary's own
-library, its ids are joined back by position, and the ids are decoded through a table
-from id to piece (bounded by the vocabulary).
+library, and its ids are joined back by position. What is decoded are the ids of the
+documents: each is joined with its piece in the id-to-piece table, whose size is the
+vocabulary's, and the pieces of a document are put together.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 repeated rows each give a row; a null id stays null; other columns are ignored; an
 empty table gives none. Special strings inside texts become their special ids, and
-are decoded to themselves.
+are decoded to themselves. Very long texts are encoded whole. Ties don't arise: no
+row's result depends on another row.
 """
 
 from __future__ import annotations
@@ -16,10 +18,17 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .bpe_count import byte_symbols
+
+
+def byte_symbols() -> dict[str, int]:
+    """Byte by the printable character that stands for it in byte-level vocabularies."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 def encoder(vocabulary: str):
@@ -56,26 +65,26 @@ def pieces(vocabulary: str) -> dict[int, bytes]:
     return table | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
 
-def encoded_words(docs: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
-    """``finish`` over the texts, with (words, [ids, counts, decoded]) payloads."""
+class IdTable:
+    """What each id of a vocabulary stands for, to be joined with the ids of documents."""
 
-    def work():
-        tokenizer, piece, known = encoder(vocabulary), pieces(vocabulary), {}
-
-        def one(words):
-            new = [w for w in words if w not in known]
-            ids, counts = encode_words(tokenizer, new)
-            at, flat = 0, ids.tolist()
-            for w, n in zip(new, counts.tolist(), strict=True):
-                own = flat[at : at + n]
-                at += n
-                text = b"".join([piece[i] for i in own])
-                known[w] = (b",".join([b"%d" % i for i in own]), b"" if text == w else b"=" + text)
-            return X.pack([x for w in words for x in known[w]])
-
-        return one
+    def __init__(self, vocabulary: str):
+        table = pieces(vocabulary)
+        ids = range(1 + max(table))
+        self.wide = "<u2" if len(ids) <= 1 << 16 else "<u4"
+        self.piece = pa.array([table.get(i) for i in ids], pa.large_binary())
+        self.decimal = pa.array([b"%d," % i for i in ids], pa.large_binary())
 
-    return X.by_distinct_word(docs, X.glued_words, work, finish, schema)
+    @staticmethod
+    def joined(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """The column's values of runs of ids, each run put together. An unknown id is an error."""
+        found = column.take(pa.array(ids))
+        if found.null_count:
+            raise KeyError("an id without a piece")
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist()
+        values = memoryview(data) if data else memoryview(b"")
+        return [values[s:e] for s, e in zip(at, at[1:])]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
@@ -85,25 +94,37 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     decoded. A digest is of the decimal ids joined by commas, or of the UTF-8 text.
     """
 
+    def work():
+        tokenizer, wide, known = encoder(vocabulary), IdTable(vocabulary).wide, {}
+
+        def one(words):
+            new = [w for w in words if w not in known]
+            ids, counts = encode_words(tokenizer, new)
+            flat, ends = ids.astype(wide).tobytes(), (np.cumsum(counts, dtype=np.int64) * np.dtype(wide).itemsize).tolist()
+            known.update(zip(new, [flat[s:e] for s, e in zip([0, *ends], ends)], strict=True))
+            return X.pack([known[w] for w in words])
+
+        return one
+
     class Finish:
         payloads: list | None = None
+        table: IdTable | None = None
 
         def __call__(self, payloads, doc_ids, texts):
+            self.table = table = self.table or IdTable(vocabulary)
             if payloads is not self.payloads:
-                self.payloads, self.ids, self.back = payloads, {}, {}
-                for blob, answer in payloads:
-                    words, got = X.unpack(blob), X.unpack(answer)
-                    self.ids.update(zip(words, got[::2], strict=True))
-                    self.back.update((w, b[1:] or w) if b != b"=" else (w, b"") for w, b in zip(words, got[1::2], strict=True))
-            n, ids, back = [], [], []
-            for t in texts:
-                words = X.glued_words(t)
-                own = b",".join(map(self.ids.__getitem__, words))
-                text = b"".join(map(self.back.__getitem__, words)).decode("utf-8", "replace")
-                n.append(own.count(b",") + 1 if own else 0)
-                ids.append(hashlib.sha256(own).hexdigest() if digests else list(map(int, own.split(b","))) if own else [])
-                back.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-            return doc_ids, n, ids, back
+                self.payloads, self.ids = payloads, {}
+                for words, ids in payloads:
+                    self.ids.update(zip(X.unpack(words), X.unpack(ids), strict=True))
+            own = [b"".join(map(self.ids.__getitem__, X.glued_words(t))) for t in texts]
+            ids = np.frombuffer(b"".join(own), table.wide)
+            n = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(table.wide).itemsize
+            ends = np.cumsum(n)
+            back = [str(x, "utf-8", "replace") for x in table.joined(table.piece, ids, ends)]
+            if not digests:
+                return doc_ids, n, [x.tolist() for x in np.split(ids, ends[:-1])], back
+            listed = [hashlib.sha256(x[:-1]).hexdigest() for x in table.joined(table.decimal, ids, ends)]
+            return doc_ids, n, listed, [hashlib.sha256(x.encode()).hexdigest() for x in back]
 
     schema = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return encoded_words(X.plain(docs, id_col, text_col), vocabulary, Finish(), schema)
+    return X.by_distinct_word(X.plain(docs, id_col, text_col), X.glued_words, work, Finish(), schema)

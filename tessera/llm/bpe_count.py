@@ -1,12 +1,15 @@
 """Operator 10: token counts by heap-and-linked-list byte-pair merging.
 
-Each distinct word of the corpus is merged once: its adjacent pairs sit in a heap by
-merge rank, the lowest is popped and its two symbols joined in a linked list, and the
-count is the initial symbols minus the merges. No token ids are made.
+The vocabulary's own pre-tokenizer cuts words into pieces. In a piece the adjacent pairs
+sit in a heap by merge rank, the lowest is popped and its two symbols joined in a linked
+list, and the count is the initial symbols minus the merges. No token ids are made.
+Texts stay where they are: there is no shuffle, and each worker remembers the counts of
+words and pieces it has met.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each
 give a row; a null id stays null; other columns are ignored; an empty table gives
-none. A special string inside a text counts as one token, as the library takes it.
+none. A special string inside a text counts as one token, as the library takes it. Of
+pairs of equal rank (a tie) the leftmost merges first. Very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -15,47 +18,38 @@ import heapq
 import json
 import re
 
-import numpy as np
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
 
-#: The pre-tokenization pattern of byte-level BPE vocabularies (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose counts a task remembers; beyond it the memory starts afresh.
+#: Words, and pieces, whose counts a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 500_000
 
 
-def byte_symbols() -> dict[str, int]:
-    """Byte by the printable character that stands for it in byte-level vocabularies."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class MergeCounter:
     """Counts tokens of words for a byte-level BPE vocabulary file."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"], spec["model"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE" or model.get("ignore_merges"):
             raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
-        back = byte_symbols()
-        raw = lambda s: bytes(back[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.pieces = regex.compile(PATTERN)
-        self.known: dict[str, int] = {}
+        self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.of_piece: dict[str, int] = {}
+        self.of_word: dict[bytes, int] = {}
 
-    def piece(self, symbols: bytes) -> int:
-        """Tokens of one pre-token."""
+    def piece(self, symbols: str) -> int:
+        """Tokens of one piece, a character for each of its bytes."""
         n = len(symbols)
-        part = [symbols[i : i + 1] for i in range(n)]
+        part = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks, merges = self.ranks, 0
         heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := ranks.get((part[i], part[i + 1]))) is not None]
@@ -63,9 +57,9 @@ class MergeCounter:
         while heap:
             _, i, left, right = heapq.heappop(heap)
             j = after[i]
-            if part[i] is not left or j >= n or part[j] is not right:
+            if part[i] != left or j >= n or part[j] != right:
                 continue  # one of the two was joined to another since
-            part[i], part[j], merges = left + right, b"", merges + 1
+            part[i], part[j], merges = left + right, "", merges + 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
@@ -76,12 +70,12 @@ class MergeCounter:
         return n - merges
 
     def plain(self, text: str) -> int:
-        total, known = 0, self.known
-        for p in self.pieces.findall(text):
+        total, known = 0, self.of_piece
+        for p, _ in self.pieces(text):
             if (c := known.get(p)) is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                c = known[p] = self.piece(p.encode())
+                c = known[p] = self.piece(p)
             total += c
         return total
 
@@ -91,24 +85,35 @@ class MergeCounter:
             return self.plain(text)
         return sum(map(self.plain, self.special.split(text))) + len(self.special.findall(text))
 
+    def text(self, text: bytes) -> int:
+        """Tokens of a text, each word it is cut into worked out once."""
+        known, words = self.of_word, X.glued_words(text)
+        counts = list(map(known.get, words))
+        if None in counts:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            for k, c in enumerate(counts):
+                if c is None:
+                    w = words[k]
+                    if (c := known.get(w)) is None:
+                        c = known[w] = self.word(w)
+                    counts[k] = c
+        return sum(counts)
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row of ``docs``."""
 
-    def work():
-        counter = MergeCounter(vocabulary)
-        return lambda words: X.pack_array(np.fromiter(map(counter.word, words), np.uint32, len(words)))
+#: By vocabulary file, kept between the tasks of a worker.
+_COUNTERS: dict[str, MergeCounter] = {}
+
 
-    class Finish:
-        payloads: list | None = None
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row of ``docs``."""
 
-        def __call__(self, payloads, ids, texts):
-            if payloads is not self.payloads:
-                self.payloads, self.count = payloads, {}
-                for words, counts in payloads:
-                    self.count.update(zip(X.unpack(words), X.unpack_array(counts, np.uint32).tolist(), strict=True))
-            get = self.count.__getitem__
-            n = [sum(map(get, X.glued_words(t))) for t in texts]
-            return ids, [len(t) for t in texts], n, [x > limit for x in n]
+    def run(batches):
+        counter = _COUNTERS.get(vocabulary) or _COUNTERS.setdefault(vocabulary, MergeCounter(vocabulary))
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            n = [counter.text(t) for t in texts]
+            columns = [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return X.by_distinct_word(X.plain(docs, id_col, text_col), X.glued_words, work, Finish(), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return X.plain(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
