@@ -1,13 +1,15 @@
 """Operator 6: quality rules kept in a bitmask ledger.
 
-Every rule is evaluated once for each text; the ledger stores the measurements and one
-bit per failed rule. Policies are versioned sets of rules, applied to stored bits, and
-ablations (what would be kept without a rule, what a rule alone rejects) are bitwise
-aggregates over the ledger, without touching texts again.
+Every rule is evaluated once for each text; the ledger, a table of the shared folder,
+stores the measurements, one bit per failed rule and the version of the rules that gave
+the bits. Policies are versioned sets of rules, applied to stored bits, and ablations
+(what would be kept without a rule, what a rule alone rejects) are bitwise aggregates
+over the stored ledger, without touching texts again.
 
 Defined results: a null or empty text has no words and fails the word count; repeated
 rows each give a row; a null id stays null; other columns are ignored; an empty table
-gives none (and zero counts in ablations).
+gives none (and zero counts in ablations). Very long texts are measured whole. A text
+that just meets a limit (a tie) passes its rule.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import store
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_letter_words", "n_letters", "n_capitals")
 
@@ -36,6 +39,9 @@ RULES: list[tuple[str, str]] = [
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
 
+#: Changes with RULES or MEASURES; stored bits of another version can't be told by BIT.
+RULES_VERSION = 1
+
 #: Rules that reject, by version.
 POLICIES: dict[str, int] = {
     "base": BASE,
@@ -105,7 +111,12 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     measured = X.plain(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES))
     bits = " + ".join(f"if({condition}, {1 << k}L, 0L)" for k, (_, condition) in enumerate(RULES))
-    return measured.withColumn("failed", F.expr(bits))
+    return measured.withColumns({"failed": F.expr(bits), "rules": F.lit(RULES_VERSION)})
+
+
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table of the shared folder, from which policies and ablations are computed."""
+    return store.written(ledger(docs, id_col, text_col), "ledger")
 
 
 def keeps(failed: Column, policy: str) -> Column:
@@ -113,8 +124,10 @@ def keeps(failed: Column, policy: str) -> Column:
 
 
 def apply_policy(table: DataFrame, policy: str = "v2") -> DataFrame:
-    """The ledger with kept under a policy."""
-    return table.withColumn("kept", keeps(F.col("failed"), policy))
+    """The ledger with policy, kept under it, and sole_failure: the bit of the rule that alone rejects, else 0."""
+    own = F.col("failed").bitwiseAND(F.lit(POLICIES[policy]))
+    sole = F.when((own != 0) & (own.bitwiseAND(own - 1) == 0), own).otherwise(F.lit(0).cast("bigint"))
+    return table.withColumns({"policy": F.lit(policy), "kept": keeps(F.col("failed"), policy), "sole_failure": sole})
 
 
 def ablations(table: DataFrame, policy: str = "v2") -> DataFrame:
@@ -131,8 +144,8 @@ def ablations(table: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    out = apply_policy(ledger(docs), "v2")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failed")
+    out = apply_policy(stored_ledger(docs), "v2")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failed", "policy", "sole_failure")
 
 
 ORACLE_SQL = r"""
@@ -157,6 +170,7 @@ n AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_li
 f AS (SELECT *, """ + " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(RULES)) + f""" AS failed FROM n)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  (failed & {BASE}) <> 0 AS base_failed, (failed & {POLICIES["v2"]}) = 0 AS kept, CAST(failed AS BIGINT) AS failed
+  (failed & {BASE}) <> 0 AS base_failed, (failed & {POLICIES["v2"]}) = 0 AS kept, CAST(failed AS BIGINT) AS failed, 'v2' AS policy,
+  CAST(CASE WHEN bit_count(failed & {POLICIES["v2"]}) = 1 THEN failed & {POLICIES["v2"]} ELSE 0 END AS BIGINT) AS sole_failure
 FROM f
 """
