@@ -1,33 +1,38 @@
 """Operator 3: language-model scores by Katz backoff.
 
-Words lower-cased by A-Z and an end per text are scored by bigrams that back off to
-single words:
+Words lower-cased by A-Z and an end per text are scored by n-grams of ORDER words, which
+back off to shorter ones, one order after another:
 
-    P(w | h) = d(r) r / c(h)              if the pair was seen r times in training
-             = a(h) P(w)                  if it wasn't, but h was
-             = P(w)                       if h wasn't either
+    P(w | h) = d(r) r / c(h)              if h and w were seen r times in training
+             = a(h) P(w | h')             if they weren't, but h was; h' is h less its first word
+             = P(w | h')                  if h wasn't either
     P(w)     = D(c) c / N, and for all unseen words together the mass that is left.
 
-d and D are Good-Turing discounts up to REACH counts (Katz), from the counts of counts
-of pairs and of words; above it SLIVER of a count is held back, so that no history is
-without a backoff weight. a(h) makes the words after each history sum to one exactly.
+d and D are Good-Turing discounts of the order up to REACH counts (Katz), from the counts
+of its counts; above it SLIVER of a count is held back, so that no history is without a
+backoff weight. a(h) makes the words after each history sum to one exactly.
 
-Counting and looking up share one exchange: blocks of documents send their distinct
-words and pairs (64-bit keys) with training counts to buckets; buckets store the
-partitioned tables of word and pair counts, and answer with totals. Of the blocks
-that hold a seen pair in training one is told to own it, and adds it to the sums of
-its history, from which the history's bucket makes the backoff weight. A hot word or
-history is one entry a block in each of these.
+Texts are turned to word numbers once, in blocks that are a table of the shared folder.
+Words, then each order from two up, take one exchange: blocks send their distinct n-grams
+with training counts to buckets; buckets store the partitioned tables of counts and answer
+with totals, and where an n-gram is unseen with what its history's backoff weight is made
+of. The n-grams of a history meet in one bucket. A history that makes up more than one
+bucket's share of all tokens (so there are fewer of those than buckets) has its n-grams
+dealt one by one instead, and its sums are added up by Spark. n-grams are compared word by
+word, by numbers that the word table gives out, so no two of them are taken for one.
 
 Defined results: null and empty texts are an end alone; training rows are those whose
 crc32(doc_id as text) mod FOLDS is not 0, and rows without an id; repeated rows count
 and score like any other; other columns are ignored; an empty table gives none; with
-no training rows every word has the probability 1 of the unseen.
+no training rows every word has the probability 1 of the unseen. Very long texts are
+scored whole, in a block of their own. Ties don't arise: all n-grams count.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +43,14 @@ from . import exchange as X
 from . import store
 from . import words as W
 
-FOLDS, REACH, SLIVER = 10, 5, 0.01
-BLOCK_BYTES = 16 << 20
-END, START = 0, 1
-WORDS, PAIRS, SUMS = 2, 3, 4  # kinds of table rows; 0 is an answer to a block
+ORDER, FOLDS, REACH, SLIVER = 3, 10, 5, 0.01
+BLOCK_BYTES = 12 << 20
+START = 0  # its number in a block and in the word table
+#: Kinds of rows: answers to blocks have the order they are about, and come before the block itself.
+BLOCK, TABLE, SUMS, HOT = 100, 101, 102, 103
+
+_SCHEMA = f"{X.BLOCK_SCHEMA}, n array<bigint>, s double"
+_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("head", pa.binary()), ("body", pa.binary()), ("n", pa.list_(pa.int64())), ("s", pa.float64())])
 
 
 def discounts(counts_of: list[int], reach: int = REACH) -> np.ndarray:
@@ -74,245 +83,332 @@ def discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(r < len(d), d[np.minimum(r, len(d) - 1).astype(np.int64)] * r, r - SLIVER)
 
 
+def _row(block=None, kind=None, seq=None, ids=None, head=None, body=None, n=None, s=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, kind, seq, ids, head, body, n, s), _ARROW, strict=True)], schema=_ARROW)
+
+
 class _Index(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
 
 
-class Block:
-    """The tokens of a block: words by number, histories, and the sorted keys of words and pairs."""
+def _numbered(batches, buckets: int, limit: int):
+    """Block rows: ids of documents, body (sizes, word numbers, training flags), head (words, training counts, bucket cuts).
 
-    def __init__(self, ids: list, texts: list[bytes]):
-        index = _Index({b"": END, b"\n": START})
-        runs = []
-        for t in texts:
-            ws = t.lower().split()
-            run = np.empty(len(ws) + 1, np.int64)
-            run[:-1] = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            run[-1] = END
-            runs.append(run)
-        self.sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.word = np.concatenate(runs)
-        self.train = np.array([i is None or zlib.crc32(str(i).encode()) % FOLDS != 0 for i in ids])
-        history = np.empty_like(self.word)
-        history[1:] = self.word[:-1]
-        history[self.first] = START
-        self.vocabulary = list(index)
-        self.n = len(index)
-        self.code = history * self.n + self.word
-        lens = np.fromiter(map(len, self.vocabulary), np.int64, self.n)
-        ends = np.cumsum(lens)
-        data = np.frombuffer(b"".join(self.vocabulary), np.uint8)
-        self.hash = W.mix(W.span_hashes(W.prefix_hashes(data), ends - lens, ends) + lens.astype(np.uint64))
-        self.by_hash = np.argsort(self.hash, kind="stable")
-
-    def train_tokens(self) -> np.ndarray:
-        return np.repeat(self.train, self.sizes)
-
-    def pair_keys(self, pairs: np.ndarray) -> np.ndarray:
-        return W.mix(W.mix(self.hash[pairs // self.n]) + self.hash[pairs % self.n])
-
-
-def _asked(batches, buckets: int, limit: int):
-    """(bucket, block, words, pairs): a block's distinct words and pairs with their training counts."""
+    Numbers follow buckets and, in these, the order of bytes, as do those of the word table. 0 is START.
+    """
     for number, ids, texts in X.blocks(batches, limit):
-        b = Block(ids, texts)
-        train = b.train_tokens()
-        counts = np.bincount(b.word[train], minlength=b.n).astype(np.uint32)
-        order = b.by_hash[b.by_hash != START]
-        word_cut = X.cuts(b.hash[order], buckets)
-        pairs = np.unique(b.code)
-        seen, times = np.unique(b.code[train], return_counts=True)
-        pair_counts = np.zeros(len(pairs), np.uint32)
-        pair_counts[np.searchsorted(pairs, seen)] = times
-        keys = b.pair_keys(pairs)
-        by = np.argsort(keys, kind="stable")
-        keys, pair_counts = keys[by], pair_counts[by]
-        pair_cut = X.cuts(keys, buckets)
-        for k in range(buckets):
-            w, p = order[word_cut[k] : word_cut[k + 1]], slice(pair_cut[k], pair_cut[k + 1])
-            blob = X.press(X.pack([b.vocabulary[i] for i in w.tolist()]), counts[w], X.deltas(keys[p]), pair_counts[p])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([number]), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
-
-
-def _counted(batches):
-    """Answers (kind 0) and the tables of a bucket: words, pairs, and the sums over them."""
-    index, lists, bucket = _Index(), [], None
+        index, runs = _Index(), []
+        for t in texts:
+            runs.append(np.fromiter(map(index.__getitem__, [*t.lower().split(), b""]), np.int64))
+        dealt = [sorted(ws) for ws in X.deal(list(index), buckets)]
+        words = [w for ws in dealt for w in ws]
+        place = np.empty(len(index), np.int32)
+        place[np.fromiter(map(index.__getitem__, words), np.int64, len(words))] = np.arange(1, len(words) + 1)
+        sizes, tokens = np.fromiter(map(len, runs), np.int64, len(runs)), place[np.concatenate(runs)]
+        train = np.array([i is None or zlib.crc32(str(i).encode()) % FOLDS != 0 for i in ids])
+        counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(words) + 1)[1:].astype(np.uint32)
+        cut = np.cumsum([0, *map(len, dealt)]).astype(np.int32)
+        yield X.block_rows([(number, BLOCK, 0, ids, X.press(X.pack(words), counts, cut), X.press(sizes, tokens, np.packbits(train).tobytes()))])
+
+
+def _listed_words(batches):
+    """(bucket, block, blob): a block's words with their training counts."""
+    for b in batches:
+        for block, head in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words, counts, cut = X.expand(head, bytes, np.uint32, np.int32)
+            words = X.unpack(words)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[k], cut[k + 1])
+                yield _asked(k, block, X.press(X.pack(words[own]), counts[own]))
+
+
+def _asked(bucket: int, block: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
+
+
+def _counted_words(batches):
+    """Answers of kind 1 (number and count of each word), the table of a bucket's words and its sums."""
+    lists, bucket = [], None
     for batch in batches:
         for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words, counts, keys, pair_counts = X.expand(blob, bytes, np.uint32, np.uint64, np.uint32)
-            own = X.unpack(words)
-            at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-            lists.append((block, at, counts, np.cumsum(keys, dtype=np.uint64), pair_counts))
+            words, counts = X.expand(blob, bytes, np.uint32)
+            lists.append((block, X.unpack(words), counts))
     if bucket is None:
         return
-    total = np.zeros(len(index), np.int64)
-    for _, at, counts, _, _ in lists:
-        np.add.at(total, at, counts)
-    every = np.unique(np.concatenate([keys for *_, keys, _ in lists]))
-    pairs, owned = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
-    places = [np.searchsorted(every, keys) for *_, keys, _ in lists]
-    for at, (*_, counts) in zip(places, lists):
-        np.add.at(pairs, at, counts)
-    for place, (block, at, _, _, counts) in zip(places, lists):
-        own = (counts > 0) & ~owned[place]
-        own[1:] &= place[1:] != place[:-1]
-        owned[place[own]] = True
-        yield X.block_rows([(block, 0, bucket, None, None, X.press(total[at], pairs[place].astype(np.uint32) if pairs.max(initial=0) < 1 << 32 else pairs[place], np.packbits(own).tobytes()))])
-    known, seen = np.flatnonzero(total), np.flatnonzero(pairs)
-    names = list(index)
-    yield X.block_rows([(-1, WORDS, bucket, None, X.pack([names[i] for i in known.tolist()]), X.press(total[known]))])
-    yield X.block_rows([(-1, PAIRS, bucket, None, X.press(X.deltas(every[seen])), X.press(pairs[seen]))])
-    times = [np.bincount(np.minimum(x, REACH + 2), minlength=REACH + 3)[: REACH + 2] for x in (total[known], pairs[seen])]
-    yield X.block_rows([(-1, SUMS, bucket, [int(total.sum()), len(known), *times[0].tolist(), *times[1].tolist()], None, None)])
+    every = sorted(set().union(*(words for _, words, _ in lists)))
+    index = dict(zip(every, range(len(every))))
+    total = np.zeros(len(every), np.int64)
+    at = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for _, words, _ in lists]
+    for a, (_, _, counts) in zip(at, lists):
+        total[a] += counts
+    first = (bucket << 40) + 1
+    for a, (block, _, _) in zip(at, lists):
+        yield _row(block, 1, bucket, body=X.press(X.deltas((a + first).astype(np.uint64)), total[a]))
+    yield _row(-1, TABLE, bucket, head=X.pack(every), body=X.press(total))
+    yield _row(-1, SUMS, bucket, n=[int(total.sum()), int((total > 0).sum()), *_counts_of(total)])
 
 
+def _counts_of(total: np.ndarray) -> list[int]:
+    """How many things were seen r times, r = 0 .. REACH + 1."""
+    return np.bincount(np.minimum(total, REACH + 2), minlength=REACH + 3)[: REACH + 2].tolist()
+
+
+@dataclass
 class Model:
-    """What all tasks need of the tables: sums and discounts, a few numbers."""
+    """What all tasks need of the tables: a few numbers of each order, and the backoff weights of hot histories."""
 
-    def __init__(self, sums: np.ndarray, start: int):
-        self.tokens, self.types = int(sums[0]), int(sums[1])
-        words, pairs = sums[2 : REACH + 4], sums[REACH + 4 :]
-        self.word_discounts, self.pair_discounts = discounts(words.tolist()), discounts(pairs.tolist())
-        self.starts = start
-        r = np.arange(1, REACH + 1)
-        held = ((1 - self.word_discounts[1:]) * r * words[1 : REACH + 1]).sum() + SLIVER * (self.types - words[1 : REACH + 1].sum())
-        self.unseen = held / self.tokens if self.tokens else 1.0
+    tokens: int
+    types: int
+    starts: int
+    limit: float  # histories counted more often are hot
+    discounts: dict[int, np.ndarray]
+    unseen: float
+    hot: dict[int, dict[tuple, tuple[np.ndarray, float]]]
 
     def word(self, counts: np.ndarray) -> np.ndarray:
         """P(w) by training count."""
-        return np.where(counts > 0, discounted(counts, self.word_discounts) / max(self.tokens, 1), self.unseen)
+        return np.where(counts > 0, discounted(counts, self.discounts[1]) / max(self.tokens, 1), self.unseen)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
+    def weight(self, order: int, n: np.ndarray, below: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """log10 a(h) of histories by (n-grams of h that were seen 1, 2 .. and more than REACH times, their sum of P(w | h'), c(h))."""
+        r = np.arange(1, REACH + 1)
+        held = (n[:, :REACH] * (r * (1 - self.discounts[order][1:]))).sum(axis=1) + SLIVER * n[:, REACH]
+        return np.log10(held / history / (1 - below))
+
+
+class Block:
+    """The tokens of a block, and what its answers tell of them. All arrays go by token unless said otherwise."""
 
-def _whole_blocks(batches):
-    """(block, payloads, ids, texts) with all chunks of a block together."""
-    held = None
-    for block, payloads, _, ids, texts in X.walk(batches):
-        if held is None or held[1] is not payloads:
-            if held is not None:
-                yield held
-            held = (block, payloads, [], [])
-        held[2].extend(ids)
-        held[3].extend(texts)
-    if held is not None:
-        yield held
-
-
-_DOCS = (np.uint8, np.int64, np.int64, np.float64, np.float64, np.int32, np.int32)
-_HISTORIES = (np.uint64, np.float64, np.float64, np.int64, bytes)
-
-
-def _scored(batches, buckets: int, model: Model):
-    """Rows for buckets: kind 0 the sums of a block's histories, kind 1 its documents, less the backoff weights."""
-    for number, payloads, ids, texts in _whole_blocks(batches):
-        b = Block(ids, texts)
-        got = [X.expand(body, np.int64, np.uint32, bytes) for _, body in payloads]
-        counts = np.zeros(b.n, np.int64)
-        counts[b.by_hash[b.by_hash != START]] = np.concatenate([g[0] for g in got])
-        pairs, at = np.unique(b.code, return_inverse=True)
-        by = np.argsort(b.pair_keys(pairs), kind="stable")
-        times, own = np.empty(len(pairs), np.int64), np.empty(len(pairs), bool)
-        times[by] = np.concatenate([g[1] for g in got])
-        own[by] = np.concatenate([np.unpackbits(np.frombuffer(g[2], np.uint8), count=len(g[1])).astype(bool) for g in got])
-        history, word = pairs // b.n, pairs % b.n
-        of = counts.copy()
-        of[START], of[END] = model.starts, 0
-        p_word = model.word(counts)
-        mass = discounted(times, model.pair_discounts)
-        seen, back = times > 0, (times == 0) & (of[history] > 0)
-        value = np.log10(np.where(seen, mass / np.maximum(of[history], 1), p_word[word]))
-        own &= seen
-        s1 = np.bincount(history[own], mass[own], minlength=b.n)
-        s2 = np.bincount(history[own], p_word[word[own]], minlength=b.n)
-        events = np.flatnonzero(back[at])
-        needed = np.zeros(b.n, bool)
-        needed[history[back]] = True
-        order = b.by_hash[(s1[b.by_hash] > 0) | needed[b.by_hash]]
-        cut = X.cuts(b.hash[order], buckets)
-        for k in range(buckets):
-            h = order[cut[k] : cut[k + 1]]
-            if len(h):
-                blob = X.press(X.deltas(b.hash[h]), s1[h], s2[h], of[h], np.packbits(needed[h]).tobytes())
-                yield _row(k, number, 0, k, None, blob)
-        rank = np.cumsum(needed[b.by_hash]) - 1
-        place = np.empty(b.n, np.int64)
-        place[b.by_hash] = rank
-        known, base = counts > 0, model.base(counts)
-        total = lambda x: np.add.reduceat(x, b.first)
-        columns = (~b.train).astype(np.uint8), b.sizes, total(known[b.word].astype(np.int64)), total(base[b.word]), total(value[at])
-        doc = np.repeat(np.arange(len(ids)), b.sizes)[events].astype(np.int32)
-        which = place[history[at[events]]].astype(np.int32)
-        for k in range(0, len(ids), 4096):
-            low, high = np.searchsorted(doc, [k, k + 4096])
-            blob = X.press(*(c[k : k + 4096] for c in columns), doc[low:high] - np.int32(k), which[low:high])
-            yield _row(number % buckets, number, 1, k // 4096, ids[k : k + 4096], blob)
-
-
-def _row(bucket, block, kind, seq, ids, blob):
-    columns = [pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([None], pa.binary()), pa.array([blob], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "kind", "seq", "ids", "head", "body"])
-
-
-def _weighted(batches):
-    """Documents as they come; for each block the log10 backoff weights it needs, in order of keys."""
-    lists = []
+    def __init__(self, body: bytes, answers: dict[int, list[bytes]], model: Model, buckets: int):
+        self.sizes, word, train = X.expand(body, np.int64, np.int32, bytes)
+        self.model, self.buckets, self.answers = model, buckets, answers
+        self.word = word.astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.train = np.unpackbits(np.frombuffer(train, np.uint8), count=len(self.sizes)).astype(bool)
+        got = [X.expand(a, np.uint64, np.int64) for a in answers[1]]
+        self.number = np.concatenate([np.zeros(1, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in got)])  # by word
+        self.times = np.concatenate([np.array([model.starts]), *(g[1] for g in got)])  # by word
+        self.count = {1: self.times[self.word]}
+        self.history: dict[int, np.ndarray] = {}
+
+    def before(self, values: np.ndarray, start: int) -> np.ndarray:
+        """The values of the tokens before; ``start`` for the first of a text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = start
+        return out
+
+    def grams(self, order: int) -> Grams:
+        """The block's distinct n-grams of an order, and the count of each token's history, from the counts of the order below."""
+        words = [self.word]
+        for _ in range(order - 1):
+            words.append(self.before(words[-1], START))
+        self.history[order] = self.before(self.count[order - 1], self.model.starts)
+        return Grams(self, order, words)
+
+    def count_grams(self, order: int) -> tuple[Grams, list[tuple[np.ndarray, np.ndarray]]]:
+        """Take up the answers about an order: ``count``; and (sums by history, sums of probabilities) where an n-gram is unseen."""
+        g = self.grams(order)
+        got = [X.expand(a, np.int64, np.uint32, np.float64) for a in self.answers.get(order, [])]
+        times = np.empty(len(g.spot), np.int64)
+        times[g.by] = np.concatenate([x[0] for x in got])
+        self.count[order] = times[g.of]
+        return g, [(x[1].reshape(-1, REACH + 1), x[2]) for x in got]
+
+    def scores(self, order: int) -> np.ndarray:
+        """log10 P of each token, from single words up."""
+        m = self.model
+        value = np.log10(m.word(self.count[1]))
+        for k in range(2, order + 1):
+            g, sums = self.count_grams(k)
+            seen = self.count[k][g.spot]
+            history, shorter = self.history[k][g.spot], value[g.spot]
+            weight = np.zeros(len(g.spot))
+            back = g.by[(seen[g.by] == 0) & (history[g.by] > 0)]
+            told = back[~g.hot[back]]
+            weight[told] = m.weight(k, np.concatenate([n for n, _ in sums]), np.concatenate([s for _, s in sums]), history[told])
+            if len(rest := back[g.hot[back]]):
+                n, s = zip(*(m.hot[k][h] for h in zip(*(self.number[w[g.spot[rest]]].tolist() for w in g.words[1:]))))
+                weight[rest] = m.weight(k, np.array(n), np.array(s), history[rest])
+            own = np.where(seen > 0, discounted(seen, m.discounts[k]) / np.maximum(history, 1), 1)
+            value = np.where(seen > 0, np.log10(own), weight + shorter)[g.of]
+        return value
+
+
+class Grams:
+    """Distinct n-grams of a block. spot: a token at which each ends; of: the n-gram of each token; by: their order in lists."""
+
+    def __init__(self, b: Block, order: int, words: list[np.ndarray]):
+        self.words, n = words, len(b.times)
+        code = words[1]
+        for w in words[2:]:
+            code = np.unique(code * n + w, return_inverse=True)[1]
+        code = code * n + words[0]
+        by = np.argsort(code)
+        new = np.concatenate([[True], np.diff(code[by]) > 0])
+        self.of = np.empty(len(code), np.int64)
+        self.of[by] = np.cumsum(new) - 1
+        self.spot = by[new]
+        self.history = b.history[order][self.spot]
+        self.hot = self.history > b.model.limit
+        key = W.mix(b.number[words[1][self.spot]])
+        for w in words[2:]:
+            key = W.mix(key + b.number[w[self.spot]])
+        key = np.where(self.hot, W.mix(key + b.number[words[0][self.spot]]), key)
+        bucket = X.hash_buckets(key, b.buckets)
+        self.by = np.argsort(bucket.astype(np.uint16) if b.buckets <= 1 << 16 else bucket, kind="stable")
+        self.cut = np.searchsorted(bucket[self.by], np.arange(b.buckets + 1))
+
+
+_KINDS = (np.uint64, np.int64, np.uint32, np.int64, np.int64, np.int64)
+
+
+def _listed(batches, order: int, model: Model, buckets: int):
+    """(bucket, block, blob): a block's distinct n-grams of an order with their training counts.
+
+    blob: numbers and, for pairs, counts of the words in it, then by n-gram its training
+    count, the counts of its shorter n-gram (without the first word), of its history and
+    of the history of the shorter one; and its words, last word first.
+    """
+    for block, answers, _, body in _blocks(batches):
+        b = Block(body, answers, model, buckets)
+        for k in range(2, order):
+            b.count_grams(k)
+        g = b.grams(order)
+        times = np.bincount(g.of[np.repeat(b.train, b.sizes)], minlength=len(g.spot)).astype(np.uint32)
+        none = np.zeros(len(b.word), np.int64)  # of single words the counts tell, of others theirs don't matter
+        lower, under = (b.count[order - 1], b.history[order - 1]) if order > 2 else (none, none)
+        columns = times, lower[g.spot], g.history, under[g.spot]
+        place = np.zeros(len(b.times), np.int32)
+        for k in np.flatnonzero(np.diff(g.cut)).tolist():
+            own = g.by[g.cut[k] : g.cut[k + 1]]
+            words = [w[g.spot[own]] for w in g.words]
+            used = np.zeros(len(b.times), bool)
+            for w in words:
+                used[w] = True
+            at = np.flatnonzero(used)
+            place[at] = np.arange(len(at))
+            yield _asked(k, block, X.press(X.deltas(b.number[at]), b.times[at] if order == 2 else np.zeros(len(at), np.int64), *(c[own] for c in columns), *(place[w] for w in words)))
+
+
+def _counted(batches, order: int, model: Model):
+    """Answers of kind ``order``, the table of a bucket's n-grams, its sums, and those of hot histories."""
+    lists, bucket = [], None
     for batch in batches:
-        for k, kind in enumerate(batch.column(2).to_pylist()):
-            if kind == 1:
-                yield batch.slice(k, 1).select(["block", "kind", "seq", "ids", "head", "body"])
-            else:
-                keys, s1, s2, of, needed = X.expand(batch.column(6)[k].as_py(), *_HISTORIES)
-                lists.append((batch.column(1)[k].as_py(), batch.column(3)[k].as_py(), np.cumsum(keys, dtype=np.uint64), s1, s2, of, np.unpackbits(np.frombuffer(needed, np.uint8), count=len(keys)).astype(bool)))
-    if not lists:
+        for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            numbers, counts, *columns = X.expand(blob, *_KINDS, *[np.int32] * order)
+            lists.append((block, np.cumsum(numbers, dtype=np.uint64), counts, columns))
+    if bucket is None:
         return
-    every = np.unique(np.concatenate([x[2] for x in lists]))
-    s1, s2, of = np.zeros(len(every)), np.zeros(len(every)), np.zeros(len(every), np.int64)
-    for _, _, keys, a, b, c, _ in lists:
-        at = np.searchsorted(every, keys)
-        np.add.at(s1, at, a)
-        np.add.at(s2, at, b)
-        of[at] = c
-    weight = np.log10((1 - s1 / of) / (1 - s2))
-    for block, bucket, keys, _, _, _, needed in lists:
-        if needed.any():
-            yield X.block_rows([(block, 0, bucket, None, None, X.press(weight[np.searchsorted(every, keys[needed])]))])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``.
-
-    ``docs`` must give the same rows in the same partitions when it is read again: a table.
-    """
+    every, at = np.unique(np.concatenate([x[1] for x in lists]), return_index=True)
+    of_word = np.concatenate([x[2] for x in lists])[at]
+    sizes = [len(x[3][0]) for x in lists]
+    times, lower, history, under = (np.concatenate([x[3][k] for x in lists]) for k in range(4))
+    words = [np.concatenate([np.searchsorted(every, x[1])[x[3][4 + k]] for x in lists]) for k in range(order)]
+    lists = [x[0] for x in lists]
+    before = words[1]
+    for w in words[2:]:
+        before = np.unique(before * len(every) + w, return_inverse=True)[1]
+    code = before * len(every) + words[0]
+    by = np.argsort(code)
+    new = np.concatenate([[True], np.diff(code[by]) > 0])
+    of = np.empty(len(code), np.int64)
+    of[by] = np.cumsum(new) - 1
+    spot = by[new]
+    del code, by
+    total = np.bincount(of, times, minlength=len(spot)).astype(np.int64)
+    seen = total > 0
+    shorter = model.word(of_word[words[0][spot]]) if order == 2 else discounted(lower[spot], model.discounts[order - 1]) / np.maximum(under[spot], 1)
+    group = np.cumsum(np.concatenate([[True], np.diff(before[spot]) != 0])) - 1
+    groups = int(group[-1]) + 1
+    n = np.stack([np.bincount(group[(total == r) if r <= REACH else (total > REACH)], minlength=groups) for r in range(1, REACH + 2)], axis=1)
+    below = np.bincount(group, np.where(seen, shorter, 0), minlength=groups)
+    back = (total[of] == 0) & (history > 0) & (history <= model.limit)
+    end = 0
+    for block, size in zip(lists, sizes):
+        own = of[end : end + size]
+        told = group[own[back[end : end + size]]]
+        yield _row(block, order, bucket, body=X.press(total[own], n[told].astype(np.uint32).ravel(), below[told]))
+        end += size
+    known = spot[seen]
+    yield _row(-1, TABLE, bucket, head=X.press(X.deltas(every), *(w[known].astype(np.int32) for w in words)), body=X.press(total[seen]))
+    yield _row(-1, SUMS, bucket, n=_counts_of(total))
+    lead = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+    for k in np.flatnonzero(history[spot[lead]] > model.limit).tolist():
+        yield _row(-1, HOT, bucket, ids=[int(every[w[spot[lead[k]]]]) for w in words[1:]], n=n[k].tolist(), s=float(below[k]))
+
+
+def _blocks(batches) -> Iterator[tuple[int, dict[int, list[bytes]], list, bytes]]:
+    """(block, answers by kind, ids, body) of the rows of ``_met``."""
+    block, answers = None, {}
+    for batch in batches:
+        columns = [batch.column(i) for i in (0, 1, 3, 5)]
+        for i in range(batch.num_rows):
+            number, kind, ids, body = (c[i].as_py() for c in columns)
+            if number != block:
+                block, answers = number, {}
+            if kind == BLOCK:
+                yield block, answers, ids, body
+            else:
+                answers.setdefault(kind, []).append(body)
+
+
+def _met(blocks: DataFrame, tables: list[DataFrame], n: int) -> DataFrame:
+    """Blocks together with the answers to them, these first."""
+    plain = ["block", F.col("kind").cast("int").alias("kind"), "seq", "ids", F.lit(None).cast("binary").alias("head"), "body"]
+    rows = blocks.select(plain)
+    for t in tables:
+        rows = rows.unionByName(t.where(F.col("kind") < BLOCK).select(plain))
+    return rows.repartitionById(n, F.expr(f"cast(pmod(shiftright(block, 24) * 5 + (block & 16777215), {n}) as int)")).sortWithinPartitions("block", "kind", "seq")
+
+
+def _sums(table: DataFrame) -> list[int]:
+    """The sums of all buckets."""
+    found = table.where(F.col("kind") == SUMS).select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    return [r.n for r in sorted(found)]
+
+
+def _hot(table: DataFrame) -> dict[tuple, tuple[np.ndarray, float]]:
+    """Sums of the hot histories, fewer than buckets."""
+    rows = table.where(F.col("kind") == HOT).groupBy("ids").agg(F.array(*(F.sum(F.get("n", F.lit(k))) for k in range(REACH + 1))).alias("n"), F.sum("s").alias("s")).collect()
+    return {tuple(r.ids): (np.array(r.n), r.s) for r in rows}
+
+
+def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``."""
+    if order < 2:
+        raise ValueError("Katz backoff needs an order of two or more")
     docs = X.plain(docs, id_col, text_col)
     n = X.partitions(docs)
-    buckets = min(n, X.MAX_BUCKETS)
-    asked = docs.mapInArrow(lambda b: _asked(b, buckets, block_bytes), "bucket int, block bigint, blob binary").repartitionById(buckets, F.col("bucket"))
-    tables = store.written(asked.mapInArrow(_counted, X.BLOCK_SCHEMA), "ngrams", by=["kind"])
-    rows = tables.where(F.col("kind") == SUMS).select("ids").collect()  # one a bucket
-    sums = np.array([r.ids for r in rows], np.int64).sum(axis=0) if rows else np.zeros(2 * REACH + 6, np.int64)
+    blocks = store.written(docs.mapInArrow(lambda b: _numbered(b, n, block_bytes), X.BLOCK_SCHEMA), "blocks")
+    asked = "bucket int, block bigint, blob binary"
+    words = blocks.select("block", "head").mapInArrow(_listed_words, asked).repartitionById(n, F.col("bucket"))
+    tables = [store.written(words.mapInArrow(_counted_words, _SCHEMA), "words", by=["kind"])]
+    tokens, types, *times = _sums(tables[0]) or [0] * (REACH + 4)
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0, F.lit(True))
-    model = Model(sums, docs.where(train).count())
-    answers = tables.where(F.col("kind") == 0).select("block", F.col("kind").cast("int").alias("kind"), "seq", "ids", "head", "body")
-    met = X.at_blocks(X.text_rows(docs, block_bytes).unionByName(answers), n)
-    sent = met.mapInArrow(lambda b: _scored(b, buckets, model), f"bucket int, {X.BLOCK_SCHEMA}").repartitionById(buckets, F.col("bucket"))
-    tokens = model.tokens
+    d = discounts(times)
+    r = np.arange(1, REACH + 1)
+    held = ((1 - d[1:]) * r * times[1 : REACH + 1]).sum() + SLIVER * (types - sum(times[1 : REACH + 1]))
+    model = Model(tokens, types, docs.where(train).count(), tokens / n, {1: d}, held / tokens if tokens else 1.0, {})
+    for k in range(2, order + 1):
+        listed = _met(blocks, tables, n).mapInArrow(lambda b, k=k: _listed(b, k, model, n), asked).repartitionById(n, F.col("bucket"))
+        tables.append(store.written(listed.mapInArrow(lambda b, k=k: _counted(b, k, model), _SCHEMA), f"grams{k}", by=["kind"]))
+        model.discounts[k], model.hot[k] = discounts(_sums(tables[-1]) or [0] * (REACH + 2)), _hot(tables[-1])
 
     def finish(batches):
-        held, weights = None, np.zeros(0)
-        for _, payloads, _, ids, (out, size, known, base, own, doc, which) in X.walk(batches, lambda body: X.expand(body, *_DOCS)):
-            if payloads is not held:
-                held = payloads
-                weights = np.concatenate([X.expand(body, np.float64)[0] for _, body in payloads]) if payloads else np.zeros(0)
-            total = own + np.bincount(doc, weights[which], minlength=len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(out.astype(bool)), pa.array(size), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(total)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+        for _, answers, ids, body in _blocks(batches):
+            b = Block(body, answers, model, n)
+            total = lambda x: np.add.reduceat(x, b.first)
+            columns = [pa.array(ids, pa.int64()), pa.array(~b.train), pa.array(b.sizes), pa.array(total((b.count[1] > 0).astype(np.int64))), pa.array(np.full(len(ids), tokens))]
+            columns += [pa.array(total(model.base(b.count[1]))), pa.array(total(b.scores(order)))]
+            whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            for k in range(0, len(ids), 4096):
+                yield whole.slice(k, 4096)
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return X.at_blocks(sent.mapInArrow(_weighted, X.BLOCK_SCHEMA), n).mapInArrow(finish, schema)
+    return _met(blocks, tables, n).mapInArrow(finish, schema)
