@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 1 << 20
-#: Word buckets at most: a bucket's distinct words must fit a task, more would only
-#: cut the lists of a block into needlessly small rows.
-MAX_BUCKETS = 4096
 
 BLOCK_SCHEMA = "block bigint, kind int, seq int, ids array<bigint>, head binary, body binary"
 _ARROW_BLOCK = pa.schema(
@@ -52,7 +49,8 @@ _ENDS_OTHER_BLANK = re.compile(rb"(?:" + _OTHER_BLANK + rb")\Z")
 
 
 def partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks and buckets for a table: as many as its input has splits, and not fewer than shuffles have."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +228,7 @@ def by_distinct_word(docs: DataFrame, split: Callable, work: Callable, finish: C
     the same rows in the same partitions when it is read again: a table, not the
     output of a random operator. If it doesn't, a lookup fails and so does the job.
     """
-    n = partitions(docs)
-    buckets = min(n, MAX_BUCKETS)
+    n = buckets = partitions(docs)
 
     def listed(batches):
         for block, _, texts in blocks(batches):

@@ -133,7 +133,7 @@ def _bucket_edges(batches):
 
 def _compared(keyed: DataFrame) -> DataFrame:
     """Edges within the buckets of (mask, key, fp)."""
-    dealt = keyed.repartition(X.partitions(keyed), "mask", "key").sortWithinPartitions("mask", "key")
+    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(_bucket_edges, "u bigint, v bigint")
 
 

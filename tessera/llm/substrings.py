@@ -200,8 +200,7 @@ def _covered(batches):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, or kept (bytes) with removed (starts and ends)."""
     docs = X.plain(docs, id_col, text_col)
-    n = X.partitions(docs)
-    buckets = min(n, X.MAX_BUCKETS)
+    n = buckets = X.partitions(docs)
     texts = X.text_rows(docs)  # first in each union, which keeps its partition numbers
     asked = X.at_blocks(texts.unionByName(_repeated(docs, buckets)), n).mapInArrow(lambda b: _surroundings(b, buckets), "bucket int, block bigint, seq int, blob binary")
     ranges = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_covered, X.BLOCK_SCHEMA)

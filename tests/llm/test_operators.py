@@ -249,42 +249,67 @@ def test_token_files_with_one_hot_id(spark, tmp_path):
 # language model
 
 
-def test_katz_equals_brute_force(spark, docs_dir, texts):
-    docs = _docs(spark, docs_dir)
-    got = katz.score(docs, block_bytes=50_000).collect()
-    rows = [(i, t.encode().lower().split() + [b""]) for i, t in texts]
+@pytest.mark.parametrize(("order", "buckets"), [(2, 4), (3, 4), (3, 60), (4, 60)])
+def test_katz_equals_brute_force(spark, docs_dir, texts, monkeypatch, order, buckets):
+    monkeypatch.setattr(katz.X, "partitions", lambda docs: buckets)  # many: histories are hot, in part
+    got = katz.score(_docs(spark, docs_dir), order, block_bytes=50_000).collect()
+    rows = [(i, [b"\n"] * (order - 1) + t.encode().lower().split() + [b""]) for i, t in texts]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    c, p, h = Counter(), Counter(), Counter()
+    count = {k: Counter() for k in range(1, order + 1)}
+    history = {k: Counter() for k in range(1, order + 1)}
     for i, w in rows:
-        if not held(i):
-            c.update(w)
-            for a, b in zip([b"\n", *w], w):
-                p[a, b] += 1
-                h[a] += 1
-    n, v = sum(c.values()), len(c)
-    times = lambda q: [sum(x == r for x in q.values()) for r in range(7)]
-    d1, d2 = katz.discounts(times(c)), katz.discounts(times(p))
-    cut = lambda r, d: d[r] * r if r <= 5 else r - katz.SLIVER
-    word = {w: cut(x, d1) / n for w, x in c.items()}
-    unseen = 1 - sum(word.values())
-    s1, s2 = defaultdict(float), defaultdict(float)
-    for (a, b), r in p.items():
-        s1[a] += cut(r, d2) / h[a]
-        s2[a] += word[b]
-    weight = {a: (1 - s1[a]) / (1 - s2[a]) for a in h}
-    one = lambda a, b: cut(p[a, b], d2) / h[a] if p[a, b] else (weight[a] if h[a] else 1) * word.get(b, unseen)
-    for a in (b"the", b"\n", b"word"):
-        assert math.isclose(sum(one(a, b) for b in c) + one(a, b"\t"), 1)
+        for k in range(order - 1, len(w)) if not held(i) else ():
+            for m in count:
+                count[m][tuple(w[k - m + 1 : k + 1])] += 1
+                history[m][tuple(w[k - m + 1 : k])] += 1
+    n, v = sum(count[1].values()), len(count[1])
+    d = {m: katz.discounts([sum(x == r for x in c.values()) for r in range(7)]) for m, c in count.items()}
+    cut = lambda r, m: d[m][r] * r if r <= 5 else r - katz.SLIVER
+    unseen = 1 - sum(cut(r, 1) for r in count[1].values()) / n
+    after = {m: defaultdict(list) for m in count}
+    for m, c in count.items():
+        for g in c:
+            after[m][g[:-1]].append(g)
+    weights = {}
+
+    def one(g):
+        m = len(g)
+        if m == 1:
+            return cut(count[1][g], 1) / n if count[1][g] else unseen
+        h = g[:-1]
+        if count[m][g]:
+            return cut(count[m][g], m) / history[m][h]
+        if not history[m][h]:
+            return one(g[1:])
+        if h not in weights:
+            weights[h] = (1 - sum(one(x) for x in after[m][h])) / (1 - sum(one(x[1:]) for x in after[m][h]))
+        return weights[h] * one(g[1:])
+
+    common = [h for h, _ in history[order].most_common(3)]
+    for h in [*common, *(h[1:] for h in common)]:
+        assert math.isclose(sum(one((*h, b)) for (b,) in count[1]) + one((*h, b"\t")), 1)
     want = []
     for i, w in rows:
-        base = sum(math.log10((c[b] + 0.1) / (n + 0.1 * (v + 1))) for b in w)
-        own = sum(math.log10(one(a, b)) for a, b in zip([b"\n", *w], w))
-        want.append((i, held(i), len(w), sum(c[b] > 0 for b in w), n, base, own))
+        own = w[order - 1 :]
+        base = sum(math.log10((count[1][b,] + 0.1) / (n + 0.1 * (v + 1))) for b in own)
+        value = sum(math.log10(one(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w)))
+        want.append((i, held(i), len(own), sum(count[1][b,] > 0 for b in own), n, base, value))
     key = lambda r: (repr(r[0]), r[2], round(r[5], 6))
     for g, x in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == x[:5] and math.isclose(g[5], x[5], abs_tol=1e-6) and math.isclose(g[6], x[6], abs_tol=1e-6)
 
 
+def test_katz_survives_another_split_of_its_files(spark, docs_dir):
+    want = _rows(katz.score(_docs(spark, docs_dir)), "doc_id", "n_tokens", "n_known")
+    later = katz.score(_docs(spark, docs_dir))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert _rows(later, "doc_id", "n_tokens", "n_known") == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_discounts_stay_proper():
     for counts in ([0] * 7, [0, 5, 0, 0, 0, 0, 0], [0, 100, 40, 20, 12, 8, 6], [0, 1, 9, 1, 9, 1, 9]):
         d = katz.discounts(counts)
