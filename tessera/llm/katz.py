@@ -44,10 +44,10 @@ from . import store
 from . import words as W
 
 ORDER, FOLDS, REACH, SLIVER = 3, 10, 5, 0.01
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 14 << 20
 START = 0  # its number in a block and in the word table
 #: Kinds of rows: answers to blocks have the order they are about, and come before the block itself.
-BLOCK, TABLE, SUMS, HOT = 100, 101, 102, 103
+BLOCK, WORDS, TABLE, SUMS, HOT = 100, 101, 102, 103, 104
 
 _SCHEMA = f"{X.BLOCK_SCHEMA}, n array<bigint>, s double"
 _ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("head", pa.binary()), ("body", pa.binary()), ("n", pa.list_(pa.int64())), ("s", pa.float64())])
@@ -94,7 +94,7 @@ class _Index(dict):
 
 
 def _numbered(batches, buckets: int, limit: int):
-    """Block rows: ids of documents, body (sizes, word numbers, training flags), head (words, training counts, bucket cuts).
+    """Two rows a block: ids of documents and body (sizes, word numbers, training flags); and its words, training counts and bucket cuts.
 
     Numbers follow buckets and, in these, the order of bytes, as do those of the word table. 0 is START.
     """
@@ -110,14 +110,14 @@ def _numbered(batches, buckets: int, limit: int):
         train = np.array([i is None or zlib.crc32(str(i).encode()) % FOLDS != 0 for i in ids])
         counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(words) + 1)[1:].astype(np.uint32)
         cut = np.cumsum([0, *map(len, dealt)]).astype(np.int32)
-        yield X.block_rows([(number, BLOCK, 0, ids, X.press(X.pack(words), counts, cut), X.press(sizes, tokens, np.packbits(train).tobytes()))])
+        yield X.block_rows([(number, WORDS, 0, None, None, X.press(X.pack(words), counts, cut)), (number, BLOCK, 0, ids, None, X.press(sizes, tokens, np.packbits(train).tobytes()))])
 
 
 def _listed_words(batches):
     """(bucket, block, blob): a block's words with their training counts."""
     for b in batches:
-        for block, head in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words, counts, cut = X.expand(head, bytes, np.uint32, np.int32)
+        for block, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words, counts, cut = X.expand(body, bytes, np.uint32, np.int32)
             words = X.unpack(words)
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 own = slice(cut[k], cut[k + 1])
@@ -265,15 +265,36 @@ class Grams:
         self.cut = np.searchsorted(bucket[self.by], np.arange(b.buckets + 1))
 
 
-_KINDS = (np.uint64, np.int64, np.uint32, np.int64, np.int64, np.int64)
+def _steps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted rows, by columns: each value less the one above it, where the columns before are the same as above."""
+    same, out = np.arange(len(columns[0])) > 0, []
+    for c in columns:
+        above = np.concatenate([np.zeros(1, c.dtype), c[:-1]])
+        out.append((c - np.where(same, above, 0)).astype(np.uint32))
+        same = same & (c == above)
+    return out
+
+
+def _unsteps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    same, out = np.arange(len(columns[0])) > 0, []
+    for c in columns:
+        total, first = np.cumsum(c, dtype=np.int64), np.flatnonzero(~same)
+        c = total - np.repeat(total[first] - c[first], np.diff(first, append=len(c)))
+        out.append(c)
+        same = same & (c == np.concatenate([np.zeros(1, np.int64), c[:-1]]))
+    return out
+
+
+_KINDS = (np.uint64, np.int64, np.uint32, np.int64, np.int64, np.uint8)
 
 
 def _listed(batches, order: int, model: Model, buckets: int):
     """(bucket, block, blob): a block's distinct n-grams of an order with their training counts.
 
     blob: numbers and, for pairs, counts of the words in it, then by n-gram its training
-    count, the counts of its shorter n-gram (without the first word), of its history and
-    of the history of the shorter one; and its words, last word first.
+    count, the counts of its shorter n-gram (without the first word) and of that one's
+    history, where it is seen in training here, whether its history was seen (1) and is
+    hot (2); and its words, the one before the last first and the last at the end.
     """
     for block, answers, _, body in _blocks(batches):
         b = Block(body, answers, model, buckets)
@@ -281,9 +302,10 @@ def _listed(batches, order: int, model: Model, buckets: int):
             b.count_grams(k)
         g = b.grams(order)
         times = np.bincount(g.of[np.repeat(b.train, b.sizes)], minlength=len(g.spot)).astype(np.uint32)
-        none = np.zeros(len(b.word), np.int64)  # of single words the counts tell, of others theirs don't matter
-        lower, under = (b.count[order - 1], b.history[order - 1]) if order > 2 else (none, none)
-        columns = times, lower[g.spot], g.history, under[g.spot]
+        lower = under = np.zeros(len(times), np.int64)  # for single words the counts tell
+        if order > 2:
+            lower, under = (np.where(times > 0, a[g.spot], 0) for a in (b.count[order - 1], b.history[order - 1]))
+        columns = times, lower, under, (g.history > 0).astype(np.uint8) + 2 * g.hot.astype(np.uint8)
         place = np.zeros(len(b.times), np.int32)
         for k in np.flatnonzero(np.diff(g.cut)).tolist():
             own = g.by[g.cut[k] : g.cut[k + 1]]
@@ -293,7 +315,7 @@ def _listed(batches, order: int, model: Model, buckets: int):
                 used[w] = True
             at = np.flatnonzero(used)
             place[at] = np.arange(len(at))
-            yield _asked(k, block, X.press(X.deltas(b.number[at]), b.times[at] if order == 2 else np.zeros(len(at), np.int64), *(c[own] for c in columns), *(place[w] for w in words)))
+            yield _asked(k, block, X.press(X.deltas(b.number[at]), b.times[at] if order == 2 else np.zeros(len(at), np.int64), *(c[own] for c in columns), *_steps([place[w] for w in (*words[1:], words[0])])))
 
 
 def _counted(batches, order: int, model: Model):
@@ -301,14 +323,15 @@ def _counted(batches, order: int, model: Model):
     lists, bucket = [], None
     for batch in batches:
         for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            numbers, counts, *columns = X.expand(blob, *_KINDS, *[np.int32] * order)
-            lists.append((block, np.cumsum(numbers, dtype=np.uint64), counts, columns))
+            numbers, counts, *columns = X.expand(blob, *_KINDS, *[np.uint32] * order)
+            *before, last = _unsteps(columns[4:])
+            lists.append((block, np.cumsum(numbers, dtype=np.uint64), counts, [*columns[:4], last, *before]))
     if bucket is None:
         return
     every, at = np.unique(np.concatenate([x[1] for x in lists]), return_index=True)
     of_word = np.concatenate([x[2] for x in lists])[at]
     sizes = [len(x[3][0]) for x in lists]
-    times, lower, history, under = (np.concatenate([x[3][k] for x in lists]) for k in range(4))
+    times, lower, under, history = (np.concatenate([x[3][k] for x in lists]) for k in range(4))
     words = [np.concatenate([np.searchsorted(every, x[1])[x[3][4 + k]] for x in lists]) for k in range(order)]
     lists = [x[0] for x in lists]
     before = words[1]
@@ -319,8 +342,8 @@ def _counted(batches, order: int, model: Model):
     new = np.concatenate([[True], np.diff(code[by]) > 0])
     of = np.empty(len(code), np.int64)
     of[by] = np.cumsum(new) - 1
-    spot = by[new]
-    del code, by
+    spot, counted = by[new], by[times[by] > 0]
+    spot[of[counted]] = counted  # of an n-gram in several lists one that has its counts
     total = np.bincount(of, times, minlength=len(spot)).astype(np.int64)
     seen = total > 0
     shorter = model.word(of_word[words[0][spot]]) if order == 2 else discounted(lower[spot], model.discounts[order - 1]) / np.maximum(under[spot], 1)
@@ -328,7 +351,7 @@ def _counted(batches, order: int, model: Model):
     groups = int(group[-1]) + 1
     n = np.stack([np.bincount(group[(total == r) if r <= REACH else (total > REACH)], minlength=groups) for r in range(1, REACH + 2)], axis=1)
     below = np.bincount(group, np.where(seen, shorter, 0), minlength=groups)
-    back = (total[of] == 0) & (history > 0) & (history <= model.limit)
+    back = (total[of] == 0) & (history == 1)
     end = 0
     for block, size in zip(lists, sizes):
         own = of[end : end + size]
@@ -336,10 +359,10 @@ def _counted(batches, order: int, model: Model):
         yield _row(block, order, bucket, body=X.press(total[own], n[told].astype(np.uint32).ravel(), below[told]))
         end += size
     known = spot[seen]
-    yield _row(-1, TABLE, bucket, head=X.press(X.deltas(every), *(w[known].astype(np.int32) for w in words)), body=X.press(total[seen]))
+    yield _row(-1, TABLE, bucket, head=X.press(X.deltas(every), *_steps([w[known] for w in (*words[1:], words[0])])), body=X.press(total[seen]))
     yield _row(-1, SUMS, bucket, n=_counts_of(total))
     lead = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-    for k in np.flatnonzero(history[spot[lead]] > model.limit).tolist():
+    for k in np.flatnonzero(history[spot[lead]] == 3).tolist():
         yield _row(-1, HOT, bucket, ids=[int(every[w[spot[lead[k]]]]) for w in words[1:]], n=n[k].tolist(), s=float(below[k]))
 
 
@@ -385,10 +408,11 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
         raise ValueError("Katz backoff needs an order of two or more")
     docs = X.plain(docs, id_col, text_col)
     n = X.partitions(docs)
-    blocks = store.written(docs.mapInArrow(lambda b: _numbered(b, n, block_bytes), X.BLOCK_SCHEMA), "blocks")
-    asked = "bucket int, block bigint, blob binary"
-    words = blocks.select("block", "head").mapInArrow(_listed_words, asked).repartitionById(n, F.col("bucket"))
+    both = store.written(docs.mapInArrow(lambda b: _numbered(b, n, block_bytes), X.BLOCK_SCHEMA), "blocks", by=["kind"])
+    blocks, asked = both.where(F.col("kind") == BLOCK), "bucket int, block bigint, blob binary"
+    words = both.where(F.col("kind") == WORDS).select("block", "body").mapInArrow(_listed_words, asked).repartitionById(n, F.col("bucket"))
     tables = [store.written(words.mapInArrow(_counted_words, _SCHEMA), "words", by=["kind"])]
+    store.drop(docs.sparkSession, f"{both.stored_at}/kind={WORDS}")
     tokens, types, *times = _sums(tables[0]) or [0] * (REACH + 4)
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0, F.lit(True))
     d = discounts(times)
@@ -398,6 +422,7 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     for k in range(2, order + 1):
         listed = _met(blocks, tables, n).mapInArrow(lambda b, k=k: _listed(b, k, model, n), asked).repartitionById(n, F.col("bucket"))
         tables.append(store.written(listed.mapInArrow(lambda b, k=k: _counted(b, k, model), _SCHEMA), f"grams{k}", by=["kind"]))
+        store.release(docs.sparkSession)
         model.discounts[k], model.hot[k] = discounts(_sums(tables[-1]) or [0] * (REACH + 2)), _hot(tables[-1])
 
     def finish(batches):

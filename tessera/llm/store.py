@@ -51,3 +51,8 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Drop a table of ``written`` that nothing will read again."""
     drop(df.sparkSession, df.stored_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results are written: it does when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
