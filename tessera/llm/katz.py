@@ -16,10 +16,12 @@ Texts are turned to word numbers once, in blocks that are a table of the shared
 Words, then each order from two up, take one exchange: blocks send their distinct n-grams
 with training counts to buckets; buckets store the partitioned tables of counts and answer
 with totals, and where an n-gram is unseen with what its history's backoff weight is made
-of. The n-grams of a history meet in one bucket. A history that makes up more than one
-bucket's share of all tokens (so there are fewer of those than buckets) has its n-grams
-dealt one by one instead, and its sums are added up by Spark. n-grams are compared word by
-word, by numbers that the word table gives out, so no two of them are taken for one.
+of. n-grams are dealt by the word before the last one, so that all of a history meet in
+one bucket. Where that word makes up more than one bucket's share of all tokens (there are
+fewer of those than buckets) they are dealt by two words before it, and so on; a whole
+history with more than that share has its n-grams dealt one by one, and its sums are added
+up by Spark. n-grams are compared word by word, by numbers that the word table gives out,
+so no two of them are taken for one.
 
 Defined results: null and empty texts are an end alone; training rows are those whose
 crc32(doc_id as text) mod FOLDS is not 0, and rows without an id; repeated rows count
@@ -255,10 +257,12 @@ class Grams:
         self.of[by] = np.cumsum(new) - 1
         self.spot = by[new]
         self.history = b.history[order][self.spot]
-        self.hot = self.history > b.model.limit
-        key = W.mix(b.number[words[1][self.spot]])
-        for w in words[2:]:
-            key = W.mix(key + b.number[w[self.spot]])
+        key, deeper = W.mix(b.number[words[1][self.spot]]), b.history[2][self.spot] > b.model.limit
+        self.told = deeper  # whether n-grams with the same shorter one are dealt to several buckets
+        for k, w in enumerate(words[2:], 3):
+            key, self.told = np.where(deeper, W.mix(key + b.number[w[self.spot]]), key), deeper
+            deeper = b.history[k][self.spot] > b.model.limit
+        self.hot = deeper
         key = np.where(self.hot, W.mix(key + b.number[words[0][self.spot]]), key)
         bucket = X.hash_buckets(key, b.buckets)
         self.by = np.argsort(bucket.astype(np.uint16) if b.buckets <= 1 << 16 else bucket, kind="stable")
@@ -293,7 +297,7 @@ def _listed(batches, order: int, model: Model, buckets: int):
 
     blob: numbers and, for pairs, counts of the words in it, then by n-gram its training
     count, the counts of its shorter n-gram (without the first word) and of that one's
-    history, where it is seen in training here, whether its history was seen (1) and is
+    history, if its bucket can't add them up (4), whether its history was seen (1) and is
     hot (2); and its words, the one before the last first and the last at the end.
     """
     for block, answers, _, body in _blocks(batches):
@@ -304,8 +308,8 @@ def _listed(batches, order: int, model: Model, buckets: int):
         times = np.bincount(g.of[np.repeat(b.train, b.sizes)], minlength=len(g.spot)).astype(np.uint32)
         lower = under = np.zeros(len(times), np.int64)  # for single words the counts tell
         if order > 2:
-            lower, under = (np.where(times > 0, a[g.spot], 0) for a in (b.count[order - 1], b.history[order - 1]))
-        columns = times, lower, under, (g.history > 0).astype(np.uint8) + 2 * g.hot.astype(np.uint8)
+            lower, under = (np.where((times > 0) & g.told, a[g.spot], 0) for a in (b.count[order - 1], b.history[order - 1]))
+        columns = times, lower, under, (g.history > 0) + np.uint8(2) * g.hot + np.uint8(4) * g.told
         place = np.zeros(len(b.times), np.int32)
         for k in np.flatnonzero(np.diff(g.cut)).tolist():
             own = g.by[g.cut[k] : g.cut[k + 1]]
@@ -346,12 +350,21 @@ def _counted(batches, order: int, model: Model):
     spot[of[counted]] = counted  # of an n-gram in several lists one that has its counts
     total = np.bincount(of, times, minlength=len(spot)).astype(np.int64)
     seen = total > 0
-    shorter = model.word(of_word[words[0][spot]]) if order == 2 else discounted(lower[spot], model.discounts[order - 1]) / np.maximum(under[spot], 1)
+    if order == 2:
+        shorter = model.word(of_word[words[0][spot]])
+    else:
+        rank = words[1][spot]
+        for w in words[2:-1]:
+            rank = np.unique(rank * len(every) + w[spot], return_inverse=True)[1]
+        same = np.unique(rank * len(every) + words[0][spot], return_inverse=True)[1]
+        told = history[spot] >= 4
+        lower, under = (np.where(told, sent[spot], np.bincount(x, total)[x]) for x, sent in ((same, lower), (rank, under)))
+        shorter = discounted(lower, model.discounts[order - 1]) / np.maximum(under, 1)
     group = np.cumsum(np.concatenate([[True], np.diff(before[spot]) != 0])) - 1
     groups = int(group[-1]) + 1
     n = np.stack([np.bincount(group[(total == r) if r <= REACH else (total > REACH)], minlength=groups) for r in range(1, REACH + 2)], axis=1)
     below = np.bincount(group, np.where(seen, shorter, 0), minlength=groups)
-    back = (total[of] == 0) & (history == 1)
+    back = (total[of] == 0) & (history & 3 == 1)
     end = 0
     for block, size in zip(lists, sizes):
         own = of[end : end + size]
@@ -362,7 +375,7 @@ def _counted(batches, order: int, model: Model):
     yield _row(-1, TABLE, bucket, head=X.press(X.deltas(every), *_steps([w[known] for w in (*words[1:], words[0])])), body=X.press(total[seen]))
     yield _row(-1, SUMS, bucket, n=_counts_of(total))
     lead = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-    for k in np.flatnonzero(history[spot[lead]] == 3).tolist():
+    for k in np.flatnonzero(history[spot[lead]] & 3 == 3).tolist():
         yield _row(-1, HOT, bucket, ids=[int(every[w[spot[lead[k]]]]) for w in words[1:]], n=n[k].tolist(), s=float(below[k]))
 
 

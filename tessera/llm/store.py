@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,5 +55,10 @@ def forget(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose results are written: it does when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of steps whose results are written.
+
+    It does when the driver collects garbage: first what refers to them, then their own.
+    """
+    for _ in range(3):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
