@@ -6,23 +6,24 @@ shingle, so the necessary prefix is the rarest one: only it is joined with the
 documents. Its place in the window gives the place in the document (positional bound),
 which must hold the whole window (length bound), and the words are then compared.
 
-The windows are joined in slices of at most SLICE windows, each small enough to be
-sent to all tasks; a larger benchmark means more slices, not larger ones. A slice is
-looked up against all documents.
+Windows, their shingles and prefixes are tables, and all steps are joins and sums over
+them, however large the benchmark is. What every task gets is a bitmap of FILTER_BITS bits
+that passes the hashes of the table's shingles (and some others, which the join drops), so
+that of a document only shingles that may match are sent, with the words around them.
 
 Defined results: a null text has no words, is never hit and, as an item, has no
 window; an item without words has none either; items with equal windows are all
 named; a null item id is left out of items; repeated document rows each give a row;
 a null document id stays null; other columns are ignored; an empty benchmark hits
-nothing.
+nothing. Of shingles equally rare (a tie) the one of the least hash is the prefix, which
+doesn't change a result. Very long texts are searched whole.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from . import store
 from . import words as W
 
 WINDOW, SHINGLE = 10, 3
-SLICE = 100_000
+FILTER_BITS = 1 << 26
 
 
 def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -49,152 +50,124 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item_id string, window string").distinct()
 
 
-class Shingled:
-    """Windows with the hashes of their shingles."""
+def _keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the shingles of a size in a run of word hashes."""
+    return W.mix(W.shingle_hashes(words, size) + np.uint64(size))
+
+
+def shingles(wins: DataFrame) -> DataFrame:
+    """(window, words, size, place, key): the shingles of (window) rows; key is a hash."""
+    schema = pa.schema([("window", pa.string()), ("words", pa.int32()), ("size", pa.int32()), ("place", pa.int32()), ("key", pa.int64())])
 
-    def __init__(self, texts: list[bytes]):
-        w = W.Words(texts, W.ALNUM)
-        h = w.hashes()
-        self.texts, self.lens, self.sizes, self.shingles = texts, np.diff(w.first), [], []
-        for k in range(len(texts)):
-            own = h[w.first[k] : w.first[k + 1]]
-            size = min(SHINGLE, len(own))
-            self.sizes.append(size)
-            self.shingles.append(W.shingle_hashes(own, size))
+    def run(batches):
+        for b in batches:
+            texts = b.column(0).cast(pa.binary()).to_pylist()
+            w = W.Words(texts, W.ALNUM)
+            h, out = w.hashes(), []
+            for t, low, high in zip(b.column(0).to_pylist(), w.first.tolist(), w.first[1:].tolist()):
+                size = min(SHINGLE, high - low)
+                out += [(t, high - low, size, place, key) for place, key in enumerate(_keys(h[low:high], size).view(np.int64).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    def by_size(self) -> dict[int, np.ndarray]:
-        return {s: np.unique(np.concatenate([h for h, z in zip(self.shingles, self.sizes) if z == s])) for s in sorted(set(self.sizes))}
+    return wins.mapInArrow(run, "window string, words int, size int, place int, key bigint")
 
 
-class Members:
-    """Which of many hashes are in a sorted set."""
+class Filter:
+    """Passes the keys of a table and few others; also the sizes of its shingles. Its size is FILTER_BITS at most."""
 
-    def __init__(self, values: np.ndarray):
-        self.values, self.bits = values, np.zeros(1 << 18, bool)
-        self.bits[values & np.uint64((1 << 18) - 1)] = True
+    def __init__(self, table: DataFrame):
+        slot = F.pmod("key", F.lit(FILTER_BITS))
+        rows = table.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}L) % 64 AS int))").alias("bit"))
+        found = rows.groupBy("at").agg(F.expr("bit_or(bit)").alias("bits")).collect()
+        self.bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+        self.bits[np.array([r["at"] for r in found], np.int64)] = np.array([r.bits for r in found], np.int64).view(np.uint64)
+        self.sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # of 1 to SHINGLE
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of members among the hashes, and their places in the set."""
-        at = np.flatnonzero(self.bits[hashes & np.uint64((1 << 18) - 1)])
-        to = np.searchsorted(self.values, hashes[at])
-        same = self.values[np.minimum(to, len(self.values) - 1)] == hashes[at]
-        return at[same], to[same]
+    def passed(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & np.uint64(64 * len(self.bits) - 1)
+        return np.flatnonzero(self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
 
 
-def rarity(docs: DataFrame, sets: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """How often each shingle of the sets is found in the documents. At most a slice's shingles come back."""
-    shared = docs.sparkSession.sparkContext.broadcast(sets)
+def rarity(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, n): how often each of the table's shingles, and some others, is found in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(table))
 
     def run(batches):
-        members = {s: Members(v) for s, v in shared.value.items()}
-        counts = {s: np.zeros(len(v), np.int64) for s, v in shared.value.items()}
+        chosen = shared.value
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for i, j in W.some_at_once(texts):
+            for i, j in W.some_at_once(texts, 4 << 20):
                 h = W.Words(texts[i:j], W.ALNUM).hashes()
-                for s, m in members.items():
-                    counts[s] += np.bincount(m.find(W.shingle_hashes(h, s))[1], minlength=len(m.values))
-        for s, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["size", "at", "n"])
-
-    found = docs.mapInArrow(run, "size int, at int, n bigint").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
-    return {(r["size"], r["at"]): r["n"] for r in found}
-
-
-def prefixes(shingled: Shingled, sets: dict[int, np.ndarray], seen: dict[tuple[int, int], int]) -> dict[int, dict[int, list[tuple[int, int, bytes]]]]:
-    """By shingle size and hash: (place in the window, words, window) of windows with that rarest shingle."""
-    out: dict[int, dict[int, list]] = {s: {} for s in sets}
-    for text, n, size, own in zip(shingled.texts, shingled.lens.tolist(), shingled.sizes, shingled.shingles):
-        at = np.searchsorted(sets[size], own).tolist()
-        _, value, place = min((seen.get((size, a), 0), int(h), p) for p, (a, h) in enumerate(zip(at, own.tolist())))
-        if seen.get((size, at[place]), 0):  # else no document has it
-            out[size].setdefault(value, []).append((place, n, text))
-    return out
-
-
-class Lookup:
-    """Finds the windows of a slice in texts."""
-
-    def __init__(self, index: dict[int, dict[int, list[tuple[int, int, bytes]]]]):
-        self.index = index
-        self.members = {s: Members(np.array(sorted(own), np.uint64)) for s, own in index.items() if own}
-
-    def find(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int, bytes]]]]:
-        """Words of each text, and (first word, end, window) of each occurrence in it."""
-        w = W.Words(texts, W.ALNUM)
-        h = w.hashes() if self.members else None
-        hits: list[list] = [[] for _ in texts]
-        for s, m in self.members.items():
-            found = W.shingle_hashes(h, s)
-            places, _ = m.find(found)
-            doc = np.searchsorted(w.first, places, side="right") - 1
-            for p, d in zip(places.tolist(), doc.tolist()):
-                low, high = int(w.first[d]), int(w.first[d + 1])
-                for offset, n, text in self.index[s][int(found[p])]:
-                    at = p - offset
-                    if at >= low and at + n <= high and w.text(at, at + n) == text:
-                        hits[d].append((at - low, at - low + n, text))
-        return np.diff(w.first).tolist(), hits
-
-
-def slice_index(docs: DataFrame, windows_of_slice: list[bytes]) -> dict:
-    """The windows of a slice by their rarest shingle in the documents."""
-    shingled = Shingled(windows_of_slice)
-    sets = shingled.by_size()
-    return prefixes(shingled, sets, rarity(docs, sets)) if sets else {}
-
-
-def occurrences(docs: DataFrame, windows_of_slice: list[tuple[bytes, list[str]]]) -> DataFrame:
-    """(block, idx, doc_id, n_words, starts, ends, items): where windows of a slice occur in each document."""
-    index, named = slice_index(docs, [w for w, _ in windows_of_slice]), dict(windows_of_slice)
-    shared = docs.sparkSession.sparkContext.broadcast((index, {t: named[t] for s in index.values() for ws in s.values() for _, _, t in ws}))
-    schema = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+                for size in chosen.sizes:
+                    keys = _keys(h, size)
+                    found, n = np.unique(keys[chosen.passed(keys)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """(window, words, size, place, key) of each window's rarest shingle, without windows that have one of no document."""
+    table = store.written(shingles(wins), "shingles")
+    of = table.join(rarity(docs, table), "key", "left").groupBy("window", "words", "size")
+    rarest = of.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place")).alias("rarest"))
+    return store.written(rarest.where("rarest.n > 0").select("window", "words", "size", "rarest.place", "rarest.key"), "prefixes")
+
+
+def candidates(docs: DataFrame, prefix: DataFrame, window: int) -> DataFrame:
+    """(row, doc_id, tag, n_words, near) of each of (doc_id, text, tag): where prefixes may be, with the words around them.
+
+    row numbers the rows, in the run that writes them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(prefix))
+    near = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("text", pa.string())]))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.binary()), ("n_words", pa.int64()), ("near", near)])
 
     def run(batches):
-        index, named = shared.value
-        lookup = Lookup(index)
-        for block, ids, texts in X.blocks(batches):
+        chosen, row = shared.value, TaskContext.get().partitionId() << 40
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for i, j in W.some_at_once(texts):
-                n_words, rows = lookup.find(texts[i:j])
-                columns = [
-                    [block] * (j - i),
-                    range(i, j),
-                    ids[i:j],
-                    n_words,
-                    [[a for a, _, _ in r] for r in rows],
-                    [[b for _, b, _ in r] for r in rows],
-                    [sorted({x for _, _, t in r for x in named[t]}) for r in rows],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                w = W.Words(texts[i:j], W.ALNUM)
+                h, found = w.hashes(), [[] for _ in range(j - i)]
+                for size in chosen.sizes:
+                    keys = _keys(h, size)
+                    at = chosen.passed(keys)
+                    of = np.searchsorted(w.first, at, side="right") - 1
+                    for p, d, key in zip(at.tolist(), of.tolist(), keys[at].view(np.int64).tolist()):
+                        first, end = int(w.first[d]), int(w.first[d + 1])
+                        if p + size <= end:
+                            low = max(first, p - window + 1)
+                            found[d].append({"key": key, "at": p - first, "low": low - first, "text": w.text(low, min(end, p + window)).decode()})
+                columns = [np.arange(row, row + j - i), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), np.diff(w.first), found]
+                row += j - i
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.mapInArrow(run, "block bigint, idx int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>")
+    return docs.mapInArrow(run, "row bigint, doc_id bigint, tag binary, n_words bigint, near array<struct<key:bigint,at:int,low:int,text:string>>")
 
 
-def _slices(items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(window, items, slice) in the shared folder, and how many slices of about SLICE windows there are."""
-    table = store.written(windows(items, size, id_col, text_col).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
-    slices = max(1, -(-table.count() // SLICE))
-    return table.withColumn("slice", F.pmod(F.xxhash64("window"), F.lit(slices))), slices
+def occurrences(found: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(row, start, end, window): where windows occur, words compared."""
+    spots = found.select("row", "n_words", F.inline("near")).join(prefix.select("key", "place", "words", "window"), "key")
+    start = F.col("at") - F.col("place")
+    spots = spots.where((start >= 0) & (start + F.col("words") <= F.col("n_words")))
+    same = F.array_join(F.slice(F.split("text", " "), F.greatest(start - F.col("low") + 1, F.lit(1)), F.col("words")), " ") == F.col("window")
+    return spots.where(same).select("row", start.alias("start"), (start + F.col("words")).alias("end"), "window").distinct()
 
 
-def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows in which any window of the items occurs."""
-    table, slices = _slices(items, size, item_id, item_text)
-    for k in range(slices):
-        found = [r["window"].encode() for r in table.where(F.col("slice") == k).select("window").collect()]
-        index = slice_index(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), found)
-        shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+def _of_items(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    return store.written(windows(items, size, id_col, text_col), "windows")
 
-        def run(batches, shared=shared, at=at):
-            lookup = Lookup(shared.value)
-            for b in batches:
-                texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
-                kept = [not hits for i, j in W.some_at_once(texts) for hits in lookup.find(texts[i:j])[1]]
-                yield b.filter(pa.array(kept, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows in which any window of the items occurs. Texts are known by their MD5 digests."""
+    text = F.col(text_col).cast("string")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    tagged = docs.select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text"), digest.alias("tag"))
+    prefix = prefixes(tagged, _of_items(items, size, item_id, item_text).select("window").distinct())
+    found = store.written(candidates(tagged, prefix, size).where("size(near) > 0"), "candidates")
+    hit = occurrences(found, prefix).select("row").distinct().join(found, "row").select(F.col("tag").alias("__tag")).distinct()
+    return docs.join(hit, digest == F.col("__tag"), "left_anti")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -202,30 +175,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
 
     n_hit: words inside any occurrence of a window; items: ids of items with one, sorted.
     """
-    docs = X.plain(docs, id_col, text_col)
-    table, slices = _slices(items, size, item_id, item_text)
-    found = None
-    for k in range(slices):
-        own = [(r["window"].encode(), r["items"]) for r in table.where(F.col("slice") == k).collect()]
-        part = occurrences(docs, own)
-        found = part if found is None else found.unionByName(store.written(part.where("size(starts) > 0"), "occurrences"))
-    if slices > 1:
-        joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("block", "idx").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), joined("starts"), joined("ends"), joined("items"))
-        found = found.withColumn("items", F.array_sort(F.array_distinct("items")))
-
-    def covered(batches):
-        for b in batches:
-            n = []
-            for s, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                total = end = 0
-                for x, y in sorted(zip(s, e)):
-                    total += max(0, y - max(x, end))
-                    end = max(end, y)
-                n.append(total)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(4)], names=["doc_id", "n_words", "n_hit", "items"])
-
-    out = found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(covered, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
+    plain = X.plain(docs, id_col, text_col).withColumn("tag", F.lit(None).cast("binary"))
+    named = _of_items(items, size, item_id, item_text)
+    prefix = prefixes(plain, named.select("window").distinct())
+    found = store.written(candidates(plain, prefix, size), "candidates")
+    hits = store.written(occurrences(found.where("size(near) > 0"), prefix), "hits")
+    covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct()
+    n_hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
+    of = hits.select("row", "window").distinct().join(named.where("item_id is not null"), "window")
+    of = of.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    out = found.select("row", "doc_id", "n_words").join(n_hit, "row", "left").join(of, "row", "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("bigint")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 

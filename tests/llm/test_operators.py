@@ -423,16 +423,24 @@ def test_ablations_are_sums_over_the_ledger(spark, docs_dir):
 # decontamination
 
 
-def test_decontamination_in_slices(spark, docs_dir, monkeypatch):
+def test_decontamination_with_a_crowded_filter(spark, docs_dir, monkeypatch):
     docs, items = _docs(spark, docs_dir), spark.read.parquet(f"{docs_dir}/benchmark.parquet")
     whole = rows_of(decontam.query(docs, items))
-    monkeypatch.setattr(decontam, "SLICE", 100)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 128)  # passes most shingles; the joins decide
     assert rows_of(decontam.query(docs, items)) == whole
     clean = decontam.clean(docs, items)
     assert clean.columns == docs.columns
     assert clean.count() == decontam.contamination(docs, items).where("not contaminated").count()
 
 
+def test_decontamination_keeps_nothing_but_words_near_prefixes(spark, docs_dir):
+    docs, items = _docs(spark, docs_dir).select("doc_id", "text"), spark.read.parquet(f"{docs_dir}/benchmark.parquet")
+    prefix = decontam.prefixes(docs, decontam.windows(items).select("window").distinct())
+    assert prefix.count() == prefix.select("window").distinct().count()
+    near = decontam.candidates(docs.selectExpr("doc_id", "text", "cast(null AS binary) AS tag"), prefix, decontam.WINDOW).selectExpr("inline(near)").collect()
+    assert near and all(len(r.text.split(" ")) < 2 * decontam.WINDOW for r in near)
+
+
 # SimHash
 
 
