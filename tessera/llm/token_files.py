@@ -4,16 +4,17 @@ Texts are encoded by the vocabulary's own library, each new word of a task once
 pre-tokenizer drops blanks, so words parted by ASCII blanks are independent), and an
 end id is appended. Documents are dealt to parts by ranges of their ids, found from
 the id column alone. One canonical code is made from the counts of all ids (a table
-the size of the vocabulary), and each part writes its documents in ascending id order
-as independent blocks of whole documents with bit-offset checkpoints.
+the size of the vocabulary). Spark sorts the documents of each part by id, and a task
+writes them as they come as independent blocks of whole documents with bit-offset
+checkpoints, so that it holds one block at a time.
 
 A file set is a Parquet folder of blocks (part, block, before, doc_ids, sizes,
 payload) and the code's lengths; ``read`` decodes it without anything else.
 
 Defined results: a null or empty text gives the end id alone; null document ids come
-first; rows of one id are kept next to each other in any order, and an id with many
-rows is spread over several parts; other columns are ignored; an empty table gives no
-blocks.
+first; rows of one id (ties) come in the order of their token ids' bytes, and an id that
+fills several parts is dealt to these in turn, each in that order; other columns are
+ignored; an empty table gives no blocks. A very long text is one block.
 """
 
 from __future__ import annotations
@@ -78,29 +79,24 @@ def _vocabulary_size(vocabulary: str) -> tuple[int, str]:
 
 
 def _encoded(docs: DataFrame, vocabulary: str, n_ids: int, wide: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """(part, doc_ids, sizes, body) rows, and for each task a row of part -1 with its counts of ids."""
-    schema = pa.schema([("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
+    """(part, doc_id, body) for each document, and for each task a row of part -1 with its counts of ids."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
-        end, counts, cuts = np.array([end_id], wide).tobytes(), np.zeros(n_ids, np.int64), np.array(bounds, np.int64)
-        pressed, turn = zstandard.ZstdCompressor(level=1), 0
-        for _, ids, texts in X.blocks(batches):
+        end, counts, cuts, turn = np.array([end_id], wide).tobytes(), np.zeros(n_ids, np.int64), np.array(bounds, np.int64), 0
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             coded = _encode(texts, vocabulary, wide, end)
-            keys = np.array([LEAST if i is None else i for i in ids], np.int64)
+            keys = b.column(0).fill_null(LEAST).to_numpy()
             low, high = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
             part = low + (turn + np.arange(len(keys))) % (high - low + 1)  # an id that fills parts is dealt in turn
             turn += len(keys)
-            order = np.argsort(part, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                body = b"".join([coded[k] for k in group])
-                counts += np.bincount(np.frombuffer(body, wide), minlength=n_ids)
-                size = np.dtype(wide).itemsize
-                row = [[int(part[group[0]])], [[ids[k] for k in group]], [[len(coded[k]) // size for k in group]], [pressed.compress(body)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
-        row = [[-1], [None], [None], [pressed.compress(counts.tobytes())]]
+            counts += np.bincount(np.frombuffer(b"".join(coded), wide), minlength=n_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column(0), pa.array(coded, pa.binary())], schema=schema)
+        row = [[-1], [None], [zstandard.ZstdCompressor().compress(counts.tobytes())]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
 
-    return docs.mapInArrow(run, "part int, doc_ids array<bigint>, sizes array<bigint>, body binary")
+    return docs.mapInArrow(run, "part int, doc_id bigint, body binary")
 
 
 def _counts(encoded: DataFrame, n_ids: int) -> np.ndarray:
@@ -133,26 +129,31 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col:
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches):
-        code, part, docs = shared.value, None, []
+        code, part = shared.value, None
+        block = before = held = 0
+        ids, bodies = [], []
+
+        def written():
+            nonlocal block, before, held, ids, bodies
+            sizes = [len(x) // np.dtype(wide).itemsize for x in bodies]
+            row = [[part], [block], [before], [ids], [sizes], [code.pack(np.frombuffer(b"".join(bodies), wide))]]
+            block, before, held, ids, bodies = block + 1, before + held, 0, [], []
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
+
         for b in batches:
-            for p, ids, sizes, body in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                part = p
-                all_ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), wide)
-                ends = np.cumsum(sizes)
-                docs += [(LEAST if i is None else i, i is not None, all_ids[e - s : e]) for i, s, e in zip(ids, sizes, ends)]
-        docs.sort(key=lambda d: d[:2])
-        block = before = start = 0
-        while start < len(docs):
-            stop, held = start + 1, len(docs[start][2])
-            while stop < len(docs) and held + len(docs[stop][2]) <= BLOCK_IDS:
-                held += len(docs[stop][2])
-                stop += 1
-            some = docs[start:stop]
-            row = [[part], [block], [before], [[i if real else None for i, real, _ in some]], [[len(x) for _, _, x in some]], [code.pack(np.concatenate([x for _, _, x in some]))]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
-            block, before, start = block + 1, before + held, stop
-
-    dealt = encoded.where("part >= 0").repartitionById(parts, F.col("part"))
+            for p, i, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                n = len(body) // np.dtype(wide).itemsize
+                if bodies and (p != part or held + n > BLOCK_IDS):
+                    yield written()
+                if p != part:
+                    part, block, before = p, 0, 0
+                ids.append(i)
+                bodies.append(body)
+                held += n
+        if bodies:
+            yield written()
+
+    dealt = encoded.where("part >= 0").repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "body")
     dealt.mapInArrow(run, "part int, block int, before bigint, doc_ids array<bigint>, sizes array<bigint>, payload binary").write.parquet(f"{path}/blocks")
     store.forget(encoded)
 
