@@ -1,8 +1,16 @@
-"""From raw documents to token ids in five stages.
+"""From raw documents to token counts and digests of token ids and decoded texts in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
 kept; its result is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents.
+the last return the columns of documents, others of the same table included.
+
+Defined results: a null or empty text is clean of toxic words as far as the classifier
+tells, loses no line, is a near copy of all others without words (one stays), holds no
+benchmark window, and has no ids. Of rows equal in id and text one stays after the
+SimHash stage, and of a group of near copies the row of the smallest id (ties: of the
+smallest text digest; a null id comes last). A score of just its threshold rejects. Very
+long texts pass through every stage whole. Empty tables give no rows; without labels
+nothing is toxic, without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ Defined results: lines are parted by \\n alone and compared as they are; texts o
 fewer than three lines, null and empty texts stay as they are; rows equal in id and
 text are one occurrence and treated alike; a null id comes after all others; other
 columns pass through untouched; an empty table gives none. A text that loses all its
-lines becomes empty.
+lines becomes empty. Very long texts are cut whole.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ Defined results: matches never cross documents; overlaps count and repeats are j
 on the input; repeated rows are occurrences like any other; null and empty texts and
 those shorter than NEED lose nothing; a null id stays null; other columns are ignored;
 an empty table gives none. A cut inside a character leaves bytes that aren't UTF-8.
+Very long texts are worked on whole, in a block of their own. Ties: of two equal strings
+both go, and of grams with equal hashes the first in a window is its anchor.
 """
 
 from __future__ import annotations
