@@ -7,11 +7,16 @@
 3. Sorting. Each occurrence of a repeated anchor goes to the anchor's bucket with the
    bytes that any window around it can hold. There suffixes are sorted forwards and
    backwards by hash comparison, common extensions are found by binary search, and
-   what is claimed is compared byte by byte.
+   what is claimed is compared byte by byte. An anchor of more than HOT occurrences has
+   no bucket of its own: places of windows around it are taken PLACES at a time, and its
+   occurrences go, once for each such segment, to the bucket of the bytes that all
+   windows of the segment share, with the bytes that they reach over. Two equal windows
+   have an equal place, and so meet there.
 4. Removal. Covered ranges return to their block, and are merged and cut there.
 
 Anchors that many texts share are listed once a block in step 2; in step 3 equal
-surroundings are sent once a chunk of a block.
+surroundings are sent once a chunk of a block. Around a hot anchor, texts can differ
+within a bucket's group in 2 * (PLACES - 1) bytes and no others, however many they are.
 
 Defined results: matches never cross documents; overlaps count and repeats are judged
 on the input; repeated rows are occurrences like any other; null and empty texts and
@@ -24,9 +29,11 @@ both go, and of grams with equal hashes the first in a window is its anchor.
 from __future__ import annotations
 
 import hashlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +44,21 @@ from .suffixes import Strings, repeated_around
 NEED = 200
 GRAM = NEED // 2
 WINDOW = NEED - GRAM + 1
+#: Occurrences from which on an anchor's surroundings are dealt by segments of window
+#: places, and the places of a segment.
+HOT = 10_000
+PLACES = 3
 #: Bytes that are sorted at once in a bucket, unless one anchor's occurrences have more.
 SORTED_BYTES = 2 << 20
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash) of the anchors of some texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash, least place, greatest place) of the anchors of some texts; the
+    places are those of the anchor in the windows that have it."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     none = np.zeros(0, np.int64)
     if not len(lens) or lens.max() < NEED:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none, none
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(lens) - lens
     n = len(data) - GRAM + 1
@@ -65,13 +77,19 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     long = lens >= NEED
     inside[begin[long]] += 1
     np.add.at(inside, begin[long] + lens[long] - NEED + 1, -1)
-    at = np.unique((least[np.cumsum(inside[:windows]) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    window = np.flatnonzero(np.cumsum(inside[:windows]) > 0)
+    least = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # never falls from window to window
+    first = np.flatnonzero(np.diff(least, prepend=-1))
+    last = np.append(first[1:], len(least)) - 1
+    at = least[first]
     text = np.searchsorted(begin, at, side="right") - 1
-    return text, at - begin[text], W.mix(grams[at] + np.uint64(1))  # least hashes are small; mixed, they spread over buckets
+    # least hashes are small; mixed, they spread over buckets
+    return text, at - begin[text], W.mix(grams[at] + np.uint64(1)), at - window[last], at - window[first]
 
 
-def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
-    """Block rows of kind 0 with the block's anchor hashes that occur twice or more anywhere."""
+def _repeated(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """Block rows of kind 0 with the block's anchor hashes that occur twice or more anywhere,
+    and which of them occur more than ``hot`` times."""
 
     def listed(batches):
         for block, _, texts in X.blocks(batches):
@@ -81,25 +99,25 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
             for b in range(buckets):
                 if cut[b] < cut[b + 1]:
                     own = slice(cut[b], cut[b + 1])
-                    blob = X.press(X.deltas(hashes[own]), np.packbits(counts[own] > 1).tobytes())
+                    blob = X.press(X.deltas(hashes[own]), counts[own].astype(np.uint32))
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
 
     def answered(batches):
         lists = []
         for batch in batches:
             for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                deltas, twice = X.expand(blob, np.uint64, bytes)
-                hashes = np.cumsum(deltas, dtype=np.uint64)
-                lists.append((bucket, block, hashes, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(hashes)).astype(bool)))
+                deltas, counts = X.expand(blob, np.uint64, np.uint32)
+                lists.append((bucket, block, np.cumsum(deltas, dtype=np.uint64), counts))
         if lists:
-            every, counts = np.unique(np.concatenate([h for _, _, h, _ in lists]), return_counts=True)
-            again = counts > 1
-            for _, _, h, twice in lists:
-                again[np.searchsorted(every, h[twice])] = True
+            every = np.unique(np.concatenate([h for _, _, h, _ in lists]))
+            total = np.zeros(len(every), np.int64)
+            for _, _, h, counts in lists:
+                total[np.searchsorted(every, h)] += counts
             for bucket, block, h, _ in lists:
-                own = h[again[np.searchsorted(every, h)]]
-                if len(own):
-                    yield X.block_rows([(block, 0, bucket, None, None, X.press(X.deltas(own)))])
+                often = total[np.searchsorted(every, h)]
+                own = often > 1
+                if own.any():
+                    yield X.block_rows([(block, 0, bucket, None, None, X.press(X.deltas(h[own]), (often[own] > hot).view(np.uint8)))])
 
     return docs.mapInArrow(listed, "bucket int, block bigint, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(answered, X.BLOCK_SCHEMA)
 
@@ -107,24 +125,39 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
 _REQUEST = (np.uint64, np.uint16, np.uint16, np.uint8, bytes, np.int32, np.int32, np.int64)
 
 
+def _by_segment(texts: list[bytes], text: np.ndarray, at: np.ndarray, least: np.ndarray, greatest: np.ndarray):
+    """(key, text, start, anchor, end) of the segments of window places around some anchors."""
+    for t, p, low, high in zip(text.tolist(), at.tolist(), least.tolist(), greatest.tolist()):
+        body = texts[t]
+        for j in range(low // PLACES, high // PLACES + 1):
+            a, b = j * PLACES, min((j + 1) * PLACES, WINDOW) - 1
+            yield xxhash.xxh64_intdigest(body[p - a : p + NEED - b], j), t, max(0, p - b), p, min(len(body), p + NEED - a)
+
+
 def _surroundings(batches, buckets: int):
     """Requests (bucket, block, chunk, blob): occurrences of repeated anchors with the bytes around them."""
     held, members = None, None
     for block, payloads, seq, _, texts in X.walk(batches):
         if payloads is not held:
-            known = [np.cumsum(X.expand(body, np.uint64)[0], dtype=np.uint64) for _, body in payloads]
-            held, members = payloads, np.unique(np.concatenate(known)) if known else None
+            known = [X.expand(body, np.uint64, bool) for _, body in payloads]
+            held, members = payloads, None
+            if known:
+                members, hot = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in known]), np.concatenate([f for _, f in known])
+                order = np.argsort(members)
+                members, hot = members[order], hot[order]
         if members is None:
             continue
-        text, at, hashes = anchors(texts)
+        text, at, hashes, least, greatest = anchors(texts)
         to = np.minimum(np.searchsorted(members, hashes), len(members) - 1)
-        some = np.flatnonzero(members[to] == hashes)
-        some = some[np.argsort(hashes[some], kind="stable")]
+        repeated = members[to] == hashes
+        one, split = np.flatnonzero(repeated & ~hot[to]), np.flatnonzero(repeated & hot[to])
+        found = [(h, t, max(0, p - NEED + GRAM), p, p + NEED) for h, t, p in zip(hashes[one].tolist(), text[one].tolist(), at[one].tolist())]
+        found.extend(_by_segment(texts, text[split], at[split], least[split], greatest[split]))
+        found.sort(key=itemgetter(0))
         entries: dict[tuple[int, int, bytes], int] = {}
         spots, twice, of = [], [], []
-        for h, t, p in zip(hashes[some].tolist(), text[some].tolist(), at[some].tolist()):
-            low = max(0, p - NEED + GRAM)
-            key = (h, p - low, texts[t][low : p + NEED])
+        for h, t, low, p, end in found:
+            key = (h, p - low, texts[t][low:end])
             e = entries.setdefault(key, len(entries))
             if e == len(twice):
                 twice.append(0)
@@ -199,12 +232,12 @@ def _covered(batches):
             yield X.block_rows([(a[1], 0, a[0], None, int(a[2]).to_bytes(4, "little"), body)])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, or kept (bytes) with removed (starts and ends)."""
     docs = X.plain(docs, id_col, text_col)
     n = buckets = X.partitions(docs)
     texts = X.text_rows(docs)  # first in each union, which keeps its partition numbers
-    asked = X.at_blocks(texts.unionByName(_repeated(docs, buckets)), n).mapInArrow(lambda b: _surroundings(b, buckets), "bucket int, block bigint, seq int, blob binary")
+    asked = X.at_blocks(texts.unionByName(_repeated(docs, buckets, hot)), n).mapInArrow(lambda b: _surroundings(b, buckets), "bucket int, block bigint, seq int, blob binary")
     ranges = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_covered, X.BLOCK_SCHEMA)
 
     def cut(batches):

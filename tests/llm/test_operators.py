@@ -354,17 +354,35 @@ def test_repeated_strings(spark, docs_dir, texts):
     assert _rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _cut(texts)
 
 
-def test_repeated_strings_around_one_passage(spark, tmp_path):
+@pytest.mark.parametrize("hot", [0, 40, substrings.HOT])
+def test_repeated_strings_around_one_passage(spark, tmp_path, hot):
     rng = random.Random(3)
     passage = "".join(rng.choice("abc def ghi") for _ in range(400))
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
     rows = [(k, some("xyz uvw", 300) + passage[rng.randint(0, 150) : rng.randint(200, 400)] + some("qrs", 150)) for k in range(150)]
     rows += [(500, passage[:200]), (501, passage[:200]), (502, passage * 2), (503, "q" + passage[:199]), (504, "abc" * 400 + "d" + "abc" * 300)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    got = substrings.remove_repeats(spark.read.parquet(str(tmp_path / "d")))
+    got = substrings.remove_repeats(spark.read.parquet(str(tmp_path / "d")), hot=hot)
     assert _rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _cut(rows)
 
 
+def test_repeated_strings_split_whatever_occurs_twice(spark, docs_dir, texts):
+    got = substrings.remove_repeats(spark.read.parquet(f"{docs_dir}/documents.parquet"), hot=1)
+    assert _rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _cut(texts)
+
+
+def test_groups_around_a_hot_anchor_stay_small():
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260)).encode()
+    texts = [passage + "".join(rng.choice("ab") for _ in range(200)).encode() for _ in range(2_000)]
+    text, at, _, least, greatest = substrings.anchors(texts)
+    inside = at + substrings.GRAM <= len(passage)
+    groups = defaultdict(set)
+    for key, t, start, _, end in substrings._by_segment(texts, *(x[inside] for x in (text, at, least, greatest))):
+        groups[key].add(texts[t][start:end])
+    assert max(map(len, groups.values())) <= 2 ** (2 * (substrings.PLACES - 1))
+
+
 # BPE
 
 
