@@ -93,7 +93,7 @@ def _repeated(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
 
     def listed(batches):
         for block, _, texts in X.blocks(batches):
-            found = [anchors(texts[i:j])[2] for i, j in W.some_at_once(texts)]
+            found = [anchors(texts[i:j])[2] for i, j in W.some_at_once(texts, 1 << 20)]
             hashes, counts = np.unique(np.concatenate(found), return_counts=True)
             cut = X.cuts(hashes, buckets)
             for b in range(buckets):

@@ -97,7 +97,7 @@ class Network:
         return np.maximum(np.concatenate(maxima, axis=1), 0), x, acts, at
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of any number of texts, about a megabyte at once."""
+        """Scores of any number of texts, some at once."""
         out = np.zeros(len(texts))
         for i, j in W.some_at_once(texts):
             p, *_ = self.pooled(*features(texts[i:j]))

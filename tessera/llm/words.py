@@ -94,7 +94,7 @@ class Words:
         return b" ".join([self.bytes[s:e] for s, e in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist())])
 
 
-def some_at_once(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def some_at_once(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes, one text at least."""
     start, held = 0, 0
     for k, t in enumerate(texts):
