@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, bpe_count, decontam, katz, line_dedup, quality, simhash, substrings, token_files, toxicity
+from . import bpe_codec, bpe_count, clusters, decontam, extraction, katz, line_dedup, phrases, quality, simhash, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_files": op2_token_files,
@@ -63,10 +75,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_collocations": op12_collocations,
+    "op13_main_text": op13_main_text,
 }
 #: Where SQL can say the same; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_ledger": quality.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_centroid_clusters": clusters.ORACLE_SQL,
+    "op12_collocations": phrases.ORACLE_SQL,
 }
