@@ -16,8 +16,10 @@
    a longer one is inside one that is a word longer and found as often or more, so edges
    tell which nodes go and nodes which pairs. Counts of parts come by one join.
 
-Counts are added as decimals where a product may pass 64 bits. Nodes meet by their three
-words, so a very common pair is dealt by what follows it.
+Scores are decimals where a product may pass 64 bits. All grams of a pair of words meet in
+one task, where edges, nodes and pairs are added up one after another without another
+shuffle. A pair of which each word makes up more than HOT of all words (there are fewer
+than 1 / HOT of them) is dealt by the word after it, and its own sum is added up after that.
 
 Defined results: a null or empty text has no words; a null language is ``und``; repeated
 rows count again; ids are not used and may be null or repeated; other columns are ignored;
@@ -44,6 +46,7 @@ LEAST, KEEP, TOP = 30, 80, 2000
 BLOCK_BYTES = 8 << 20
 #: Parts into which a language is dealt for a first cut to TOP.
 SALTS = 64
+HOT = 1e-3
 TOKENS, WORDS = 0, 1
 
 _BLOCKS = "block bigint, kind int, lang string, place bigint, word string, n bigint, body binary"
@@ -116,7 +119,8 @@ def longest_grams(ids: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, ...
     return (*(numbers[x.astype(np.int64)] for x in (front >> half, front & low, back >> half, back & low)), counts)
 
 
-def _grams(batches):
+def _grams(batches, hot: np.ndarray):
+    """(w1 .. w4, n, salt) of grams of two words or more; salt is 0 but for pairs of hot words."""
     for batch in batches:
         for body, known in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             (ids,) = X.expand(body, np.uint32)
@@ -124,7 +128,31 @@ def _grams(batches):
             pairs = known.values.flatten() if known.is_valid else ()
             if len(pairs):
                 numbers[pairs[0].to_numpy(zero_copy_only=False)] = pairs[1].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in longest_grams(ids, numbers)], names=[*_GRAM, "n"])
+            *words, n = longest_grams(ids, numbers)
+            salt = np.where(np.isin(words[0], hot) & np.isin(words[1], hot), 1 + words[2] % SALTS, 0)
+            two = words[1] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[two], pa.int64()) for c in (*words, n, salt)], names=[*_GRAM, "n", "salt"])
+
+
+def _added(grams: DataFrame, least: int) -> DataFrame:
+    """(w1 .. w4, f) of the edges, nodes and pairs found ``least`` times or more, zeros for missing words.
+
+    After each sum a gram passes its count on to the one without its last word, and stays
+    itself if it is common; all of it within the partitions of (w1, w2, salt).
+    """
+    pair, f = ["w1", "w2", "salt"], F.sum("n").alias("n")
+    zero, common = F.lit(0).cast("bigint"), F.col("n") >= least
+    four = grams.repartition(*pair).groupBy(*pair, "w3", "w4").agg(f)
+    to_three = F.when((F.col("w4") > 0) & common, F.array("w4", zero)).otherwise(F.array(zero))
+    three = four.select(*pair, "w3", F.explode(to_three).alias("w4"), "n").groupBy(*pair, "w3", "w4").agg(f)
+    rest = lambda *ws: F.struct(*[w.cast("bigint").alias(n) for w, n in zip(ws, ("w3", "w4"))])
+    to_two = F.when(F.col("w4") > 0, F.array(rest(F.col("w3"), F.col("w4")))).when((F.col("w3") > 0) & common, F.array(rest(F.col("w3"), zero), rest(zero, zero)))
+    two = three.select(*pair, F.inline(to_two.otherwise(F.array(rest(zero, zero)))), "n")
+    two = two.groupBy(*pair, "w3", "w4").agg(f).where(common | (F.col("salt") > 0) & (F.col("w3") == 0))
+    rows = store.written(two, "grams")
+    parts = (F.col("salt") > 0) & (F.col("w3") == 0)
+    whole = rows.where(parts).groupBy(*_GRAM).agg(f).where(common)
+    return rows.where(~parts).select(*_GRAM, F.col("n").alias("f")).unionByName(whole.withColumnRenamed("n", "f"))
 
 
 def _common_words(listed: DataFrame, least: int) -> DataFrame:
@@ -215,16 +243,17 @@ def collocations(docs: DataFrame, least: int = LEAST, keep: int = KEEP, top: int
     totals = listed.groupBy("lang").agg(F.sum("n").alias("total"))
     common = _common_words(listed, least)
     known = listed.join(common, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    grams = blocks.where(F.col("kind") == TOKENS).select("block", "body").join(known, "block").select("body", "known").mapInArrow(_grams, "w1 bigint, w2 bigint, w3 bigint, w4 bigint, n bigint")
+    share = HOT * (listed.agg(F.sum("n")).first()[0] or 0)
+    hot = np.array([r["id"] for r in common.where(F.col("f") > share).select("id").collect()], np.int64)  # fewer than 1 / HOT
+    joined = blocks.where(F.col("kind") == TOKENS).select("block", "body").join(known, "block").select("body", "known")
+    grams = joined.mapInArrow(lambda b: _grams(b, hot), "w1 bigint, w2 bigint, w3 bigint, w4 bigint, n bigint, salt bigint")
 
     three = ["w1", "w2", "w3"]
-    summed = grams.repartition(*three).groupBy(*_GRAM).agg(F.sum("n").alias("n"))
-    out = F.collect_list(F.when((F.col("w4") > 0) & (F.col("n") >= least), F.struct("w4", "n")))
-    flow = store.written(summed.groupBy(*three).agg(F.sum("n").alias("f"), out.alias("out")), "flow")
-    pairs = store.written(flow.where("w2 > 0").groupBy("w1", "w2").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "pairs")
-    nodes = flow.where((F.col("w3") > 0) & (F.col("f") >= least))
-    edges = nodes.select(*three, "f", F.inline("out")).select(*_GRAM, "n", "f")
-    chains, branches = paths(nodes.select(*three, "f"), edges)
+    added = store.written(_added(grams, least), "common-grams")
+    pairs = added.where("w3 = 0").select("w1", "w2", "f")
+    nodes = added.where("w3 > 0 and w4 = 0").select(*three, "f")
+    edges = added.where("w4 > 0").withColumnRenamed("f", "n").join(nodes, three)
+    chains, branches = paths(nodes, edges.select(*_GRAM, "n", "f"))
     chains = store.written(chains, "paths")
 
     zero = F.lit(0).cast("bigint")
