@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import store
 from . import words as W
 from .suffixes import Strings, repeated_around
 
@@ -87,20 +88,29 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return text, at - begin[text], W.mix(grams[at] + np.uint64(1)), at - window[last], at - window[first]
 
 
-def _repeated(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
+def _repeated(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
     """Block rows of kind 0 with the block's anchor hashes that occur twice or more anywhere,
-    and which of them occur more than ``hot`` times."""
+    and which of them occur more than ``hot`` times. A block whose rows several tasks read is
+    listed and answered by each of them."""
+
+    def sent(block, found):
+        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+        cut = X.cuts(hashes, buckets)
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            own = slice(cut[b], cut[b + 1])
+            blob = X.press(X.deltas(hashes[own]), counts[own].astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
 
     def listed(batches):
-        for block, _, texts in X.blocks(batches):
-            found = [anchors(texts[i:j])[2] for i, j in W.some_at_once(texts, 1 << 20)]
-            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-            cut = X.cuts(hashes, buckets)
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    own = slice(cut[b], cut[b + 1])
-                    blob = X.press(X.deltas(hashes[own]), counts[own].astype(np.uint32))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
+        now, found = None, []
+        for block, _, _, _, texts in X.walk(batches):
+            if found and block != now:
+                yield from sent(now, found)
+                found = []
+            now = block
+            found += [anchors(texts[i:j])[2] for i, j in W.some_at_once(texts, 1 << 20)]
+        if found:
+            yield from sent(now, found)
 
     def answered(batches):
         lists = []
@@ -119,7 +129,7 @@ def _repeated(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
                 if own.any():
                     yield X.block_rows([(block, 0, bucket, None, None, X.press(X.deltas(h[own]), (often[own] > hot).view(np.uint8)))])
 
-    return docs.mapInArrow(listed, "bucket int, block bigint, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(answered, X.BLOCK_SCHEMA)
+    return texts.mapInArrow(listed, "bucket int, block bigint, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(answered, X.BLOCK_SCHEMA)
 
 
 _REQUEST = (np.uint64, np.uint16, np.uint16, np.uint8, bytes, np.int32, np.int32, np.int64)
@@ -236,8 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, or kept (bytes) with removed (starts and ends)."""
     docs = X.plain(docs, id_col, text_col)
     n = buckets = X.partitions(docs)
-    texts = X.text_rows(docs)  # first in each union, which keeps its partition numbers
-    asked = X.at_blocks(texts.unionByName(_repeated(docs, buckets, hot)), n).mapInArrow(lambda b: _surroundings(b, buckets), "bucket int, block bigint, seq int, blob binary")
+    texts = store.written(X.text_rows(docs), "blocks")  # once: what a block holds must not depend on how a later step splits its input
+    asked = X.at_blocks(texts.unionByName(_repeated(texts, buckets, hot)), n).mapInArrow(lambda b: _surroundings(b, buckets), "bucket int, block bigint, seq int, blob binary")
     ranges = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_covered, X.BLOCK_SCHEMA)
 
     def cut(batches):

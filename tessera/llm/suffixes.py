@@ -5,6 +5,10 @@ Strings are stretches of one buffer around a spot: ``right`` bytes from it and
 at once, a binary search over lengths finds how far two strings agree, and the byte
 after that decides their order. Groups are sorted side by side: each merge finds all
 elements' ranks in their sibling runs by binary search.
+
+Equal hashes are verified: of neighbours in a sorted group the agreement is compared byte
+by byte, which with the byte after it proves the order. Where a collision is found, the
+strings are sorted by their bytes instead and agreements are cut to what bytes show.
 """
 
 from __future__ import annotations
@@ -49,16 +53,29 @@ class Strings:
             i, j = np.maximum(self.spot[a] - n - 1, 0), np.maximum(self.spot[b] - n - 1, 0)
         return np.where(ended, np.sign(own[a] - own[b]), np.sign(self.data[i].astype(np.int64) - self.data[j]))
 
-    def equal_bytes(self, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
-        """Whether each pair's stretches really are the same bytes."""
+    def really_agree(self, a: np.ndarray, b: np.ndarray, forward: bool = True) -> tuple[np.ndarray, bool]:
+        """``agree`` with bytes compared, and whether any hashes were equal where bytes weren't."""
+        found, collided = self.agree(a, b, forward), False
         for k in range(0, len(a), 4_000):
-            s = slice(k, k + 4_000)
-            size = left[s] + right[s]
-            shift = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            x = self.data[np.repeat(self.spot[a[s]] - left[s], size) + shift]
-            if not np.array_equal(x, self.data[np.repeat(self.spot[b[s]] - left[s], size) + shift]):
-                return False
-        return True
+            size = found[k : k + 4_000]
+            x, y = self.spot[a[k : k + 4_000]], self.spot[b[k : k + 4_000]]
+            begin = np.cumsum(size) - size
+            shift = np.arange(int(size.sum())) - np.repeat(begin, size)
+            if not forward:
+                shift = -1 - shift
+            other = np.flatnonzero(self.data[np.repeat(x, size) + shift] != self.data[np.repeat(y, size) + shift])
+            if len(other):
+                collided = True
+                pair = np.searchsorted(begin, other, side="right") - 1
+                pair, first = np.unique(pair, return_index=True)
+                size[pair] = other[first] - begin[pair]
+        return found, collided
+
+    def by_bytes(self, start: np.ndarray, forward: bool = True) -> np.ndarray:
+        """What ``merge_sort`` gives, by comparing bytes alone."""
+        text = self.data.tobytes()
+        own = lambda i: text[self.spot[i] : self.spot[i] + self.right[i]] if forward else text[self.spot[i] - self.left[i] : self.spot[i]][::-1]
+        return np.array(sorted(range(len(start)), key=lambda i: (start[i], own(i))), np.int64)
 
 
 def merge_sort(strings: Strings, start: np.ndarray, size: np.ndarray, forward: bool = True) -> np.ndarray:
@@ -88,6 +105,19 @@ def merge_sort(strings: Strings, start: np.ndarray, size: np.ndarray, forward: b
     return now
 
 
+def sorted_groups(strings: Strings, start: np.ndarray, size: np.ndarray, forward: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): strings in sorted order within their groups, and the bytes that each one
+    shares with the one before it, -1 for the first of a group; no collision shows in either."""
+    inner = np.flatnonzero(start[1:] == start[:-1]) + 1
+    order = merge_sort(strings, start, size, forward)
+    shared = np.full(len(start), -1, np.int64)
+    shared[inner], collided = strings.really_agree(order[inner - 1], order[inner], forward)
+    if collided or (np.bincount(order, minlength=len(order)) != 1).any() or (strings.order(order[inner - 1], order[inner], forward) > 0).any():
+        order = strings.by_bytes(start, forward)
+        shared[inner], _ = strings.really_agree(order[inner - 1], order[inner], forward)
+    return order, shared
+
+
 def repeated_around(strings: Strings, start: np.ndarray, size: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(left, right) of each string: the reach of the stretches around its spot that it
     shares with another string of its group and that are ``need`` bytes long or more;
@@ -96,18 +126,15 @@ def repeated_around(strings: Strings, start: np.ndarray, size: np.ndarray, need:
     Groups are sorted forwards and backwards. From the longest agreement down, runs of
     neighbours that agree forwards on r bytes are clusters; in one, backward neighbours
     agree backwards the most, and l + r >= need counts. Only clusters that grew at r are
-    looked at. Raises ArithmeticError if hashes were equal where bytes weren't.
+    looked at.
     """
     count = len(start)
     left, right = np.zeros(count, np.int64), np.zeros(count, np.int64)
     if not count:
         return left, right
-    ahead = merge_sort(strings, start, size, True)
+    ahead, shared = sorted_groups(strings, start, size, True)
     rank = np.empty(count, np.int64)
-    rank[merge_sort(strings, start, size, False)] = np.arange(count)
-    shared = np.full(count, -1, np.int64)  # with the string before, within a group
-    inner = np.flatnonzero(start[1:] == start[:-1]) + 1
-    shared[inner] = strings.agree(ahead[inner - 1], ahead[inner])
+    rank[sorted_groups(strings, start, size, False)[0]] = np.arange(count)
     least = need - int(strings.left.max())
     for r in sorted({int(x) for x in np.unique(shared) if x >= max(least, 1)}, reverse=True):
         cluster = np.cumsum(shared < r) - 1
@@ -119,11 +146,9 @@ def repeated_around(strings: Strings, start: np.ndarray, size: np.ndarray, need:
         own, of = own[by], of[by]
         pairs = np.flatnonzero(of[1:] == of[:-1])
         a, b = own[pairs], own[pairs + 1]
-        back = strings.agree(a, b, False)
+        back, _ = strings.really_agree(a, b, False)
         ok = back + r >= need
         a, b, back = a[ok], b[ok], back[ok]
-        if not strings.equal_bytes(a, b, back, np.full(len(a), r)):
-            raise ArithmeticError("two different stretches have one hash")
         for e in (a, b):
             np.maximum.at(left, e, back)
             right[e] = np.maximum(right[e], r)
