@@ -1,27 +1,47 @@
 """Operator 5: BPE encoding and decoding through a table of distinct words.
 
-Words are split in Spark, each distinct word is encoded once by the vocabulary's own
-library, and its ids are joined back by position. What is decoded are the ids of the
-documents: each is joined with its piece in the id-to-piece table, whose size is the
-vocabulary's, and the pieces of a document are put together.
+1. Spark splits texts into words. Blocks of documents, written once, hold their words as
+   numbers, and list what each of these places stands for.
+2. The distinct words of all blocks are encoded once each by the vocabulary's own library.
+3. Decoding is a join: each id of a distinct word, with its place in it, meets the
+   id-to-piece table, whose size is the vocabulary's, and a word's pieces are put together.
+4. Ids and pieces are joined with the blocks' lists by word and go back to their block by
+   place, where those of a document follow each other.
+
+Words are cut before ASCII blanks that follow something else, where no token of such a
+vocabulary reaches over; joined, they are the text.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 repeated rows each give a row; a null id stays null; other columns are ignored; an
 empty table gives none. Special strings inside texts become their special ids, and
 are decoded to themselves. Very long texts are encoded whole. Ties don't arise: no
-row's result depends on another row.
+row's result depends on another row. An id without a piece ends the job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import store
+
+BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
+#: Before an ASCII blank, but not after a blank of any kind, or a control that some engines take for one.
+CUT = r"(?<=[^\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff])(?=[\t-\r ])"
+TEXTS, WORDS = 0, 1
+
+_BLOCKS = "block bigint, kind int, place int, word string, ids array<bigint>, body binary"
+_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("word", pa.string()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())])
 
 
 def byte_symbols() -> dict[str, int]:
@@ -65,26 +85,48 @@ def pieces(vocabulary: str) -> dict[int, bytes]:
     return table | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
 
-class IdTable:
-    """What each id of a vocabulary stands for, to be joined with the ids of documents."""
-
-    def __init__(self, vocabulary: str):
-        table = pieces(vocabulary)
-        ids = range(1 + max(table))
-        self.wide = "<u2" if len(ids) <= 1 << 16 else "<u4"
-        self.piece = pa.array([table.get(i) for i in ids], pa.large_binary())
-        self.decimal = pa.array([b"%d," % i for i in ids], pa.large_binary())
-
-    @staticmethod
-    def joined(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
-        """The column's values of runs of ids, each run put together. An unknown id is an error."""
-        found = column.take(pa.array(ids))
-        if found.null_count:
-            raise KeyError("an id without a piece")
-        _, offsets, data = found.buffers()
-        at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist()
-        values = memoryview(data) if data else memoryview(b"")
-        return [values[s:e] for s, e in zip(at, at[1:])]
+def _numbered(batches, limit: int = BLOCK_BYTES, chunk: int = CHUNK_BYTES):
+    """Rows of kind TEXTS, some documents' ids with sizes and word numbers, and of kind WORDS, a block's word by place."""
+    home, blocks = TaskContext.get().partitionId() << 24, itertools.count()
+    block, held, own = home + next(blocks), 0, defaultdict(itertools.count().__next__)
+
+    def rows(n: int, kind: int, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) if f.name not in ("block", "kind") else pa.array([{"block": block, "kind": kind}[f.name]] * n, f.type) for f in _ARROW], schema=_ARROW)
+
+    def listed():
+        words = list(own)
+        for k in range(0, len(words), 50_000):
+            some = words[k : k + 50_000]
+            yield rows(len(some), WORDS, place=np.arange(k, k + len(some), dtype=np.int32), word=some)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(1)
+        ends = texts.offsets.to_numpy()
+        values = texts.values
+        length = np.concatenate([[0], np.cumsum(pc.binary_length(values.cast(pa.binary())).to_numpy(zero_copy_only=False), dtype=np.int64)])[ends]
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(length, length[i] + chunk, side="right")) - 1)
+            if held and held + length[j] - length[i] > limit:
+                yield from listed()
+                block, held, own = home + next(blocks), 0, defaultdict(itertools.count().__next__)
+            coded = values.slice(ends[i], ends[j] - ends[i]).dictionary_encode()
+            number = np.fromiter(map(own.__getitem__, coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary))
+            body = X.press(np.diff(ends[i : j + 1]).astype(np.int64), number[coded.indices.to_numpy()])
+            yield rows(1, TEXTS, ids=[batch.column(0).slice(i, j - i).to_pylist()], body=[body])
+            held += length[j] - length[i]
+            i = j
+    yield from listed()
+
+
+def joined(column: pa.Array, places: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The column's values at runs of places, each run put together."""
+    _, offsets, data = column.take(pa.array(places)).buffers()
+    at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist()
+    values = memoryview(data) if data else memoryview(b"")
+    return [values[s:e] for s, e in zip(at, at[1:])]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
@@ -93,38 +135,51 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     digests: n_tokens, ids_sha256 and decoded_sha256 instead of n_tokens, ids and
     decoded. A digest is of the decimal ids joined by commas, or of the UTF-8 text.
     """
-
-    def work():
-        tokenizer, wide, known = encoder(vocabulary), IdTable(vocabulary).wide, {}
-
-        def one(words):
-            new = [w for w in words if w not in known]
-            ids, counts = encode_words(tokenizer, new)
-            flat, ends = ids.astype(wide).tobytes(), (np.cumsum(counts, dtype=np.int64) * np.dtype(wide).itemsize).tolist()
-            known.update(zip(new, [flat[s:e] for s, e in zip([0, *ends], ends)], strict=True))
-            return X.pack([known[w] for w in words])
-
-        return one
-
-    class Finish:
-        payloads: list | None = None
-        table: IdTable | None = None
-
-        def __call__(self, payloads, doc_ids, texts):
-            self.table = table = self.table or IdTable(vocabulary)
-            if payloads is not self.payloads:
-                self.payloads, self.ids = payloads, {}
-                for words, ids in payloads:
-                    self.ids.update(zip(X.unpack(words), X.unpack(ids), strict=True))
-            own = [b"".join(map(self.ids.__getitem__, X.glued_words(t))) for t in texts]
-            ids = np.frombuffer(b"".join(own), table.wide)
-            n = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(table.wide).itemsize
-            ends = np.cumsum(n)
-            back = [str(x, "utf-8", "replace") for x in table.joined(table.piece, ids, ends)]
-            if not digests:
-                return doc_ids, n, [x.tolist() for x in np.split(ids, ends[:-1])], back
-            listed = [hashlib.sha256(x[:-1]).hexdigest() for x in table.joined(table.decimal, ids, ends)]
-            return doc_ids, n, listed, [hashlib.sha256(x.encode()).hexdigest() for x in back]
-
-    schema = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return X.by_distinct_word(X.plain(docs, id_col, text_col), X.glued_words, work, Finish(), schema)
+    spark = docs.sparkSession
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda w: w != "")
+    blocks = store.written(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(_numbered, _BLOCKS), "blocks", by=["kind"])
+    listed = blocks.where(F.col("kind") == WORDS).select("block", "place", "word")
+
+    def encode(batches):
+        tokenizer = encoder(vocabulary)
+        for b in batches:
+            if b.num_rows:
+                ids, counts = encode_words(tokenizer, b.column(0).cast(pa.binary()).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["word", "ids"])
+
+    encoded = listed.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
+    table = spark.createDataFrame([(i, bytearray(p)) for i, p in pieces(vocabulary).items()], "id int, piece binary")  # as long as the vocabulary
+    met = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
+    piece = F.coalesce("piece", F.raise_error(F.lit("an id without a piece")).cast("binary"))
+    coded = met.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", piece.alias("piece")))).alias("own"))
+    coded = coded.select(
+        "word",
+        F.size("own").alias("n"),
+        F.concat(F.array_join(F.transform("own", lambda x: x["id"].cast("string")), ","), F.lit(",")).alias("listed"),
+        F.aggregate("own", F.lit(b""), lambda acc, x: F.concat(acc, x["piece"])).alias("piece"),
+    )
+    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("listed", F.lit("")).alias("listed"), F.coalesce("piece", F.lit(b"")).alias("piece"))
+    fields = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
+
+    def finish(known: pa.Table, texts: pa.Table) -> pa.Table:
+        order = np.argsort(known.column("place").to_numpy())
+        counts = known.column("n").to_numpy()[order].astype(np.int64)
+        ids_of, piece_of = (known.column(c).cast(pa.large_binary()).combine_chunks().take(pa.array(order)) for c in ("listed", "piece"))
+        done = []
+        for doc_ids, body in zip(texts.column("ids").to_pylist(), texts.column("body").to_pylist(), strict=True):
+            sizes, places = X.expand(body, np.int64, np.uint32)
+            ends = np.cumsum(sizes)
+            total = np.concatenate([[0], np.cumsum(counts[places])])[np.concatenate([[0], ends])]
+            back = [str(x, "utf-8", "replace") for x in joined(piece_of, places, ends)]
+            ids = joined(ids_of, places, ends)
+            if digests:
+                columns = [hashlib.sha256(x[:-1]).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in back]
+            else:
+                columns = [[int(i) for i in bytes(x[:-1]).split(b",") if i] for x in ids], back
+            done.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((doc_ids, np.diff(total), *columns), arrow)], schema=arrow))
+        return pa.concat_tables(done) if done else arrow.empty_table()
+
+    texts = blocks.where(F.col("kind") == TEXTS).select("block", "ids", "body")
+    return answers.groupBy("home").cogroup(texts.groupBy("block")).applyInArrow(finish, f"doc_id bigint, n_tokens bigint, {fields}")

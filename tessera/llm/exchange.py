@@ -1,14 +1,14 @@
-"""Exchange of distinct words between blocks of documents and word buckets.
+"""Blocks of documents, and packed rows that travel between them and buckets.
 
 A *block* is a run of documents of one input partition, at most ``BLOCK_BYTES`` of
-text unless one document alone is longer. Each block lists its distinct words once;
-the lists are dealt to buckets by word hash, a bucket works out a payload for each
-distinct word, and the payloads travel back to the block, where they meet its texts.
-A word that makes up a third of the corpus therefore costs one entry per block, no
-text is grouped by key, and each Python task holds one block or one bucket.
-
-Rows are packed: word lists and texts travel as zstd frames, which keeps the shuffle
-near the size of the compressed input.
+text unless one document alone is longer. Blocks list what they hold once, however often
+it occurs, so that what makes up a third of the corpus costs one entry per block; no text
+is grouped by key, and each Python task holds one block or one bucket. Blocks are written
+before they are read more than once: their names are those of partitions, which differ
+from one reading of a table to the next.
+
+Lists and texts travel as zstd frames, which keeps shuffles near the size of the
+compressed input.
 """
 
 from __future__ import annotations
@@ -198,58 +198,3 @@ def walk(batches: Iterator[pa.RecordBatch], open_body: Callable = unpack) -> Ite
                 payloads.append((head, body))
             else:
                 yield block, payloads, seq, ids, open_body(body)
-
-
-def finished(rows: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish(payloads, ids, texts)`` for each chunk of texts gives columns of the result.
-
-    payloads: the (head, body) pairs of the block's rows of kind 0; the same list
-    object for all chunks of a block, so ``finish`` can be a class that keeps state.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches):
-        for _, payloads, _, ids, texts in walk(batches):
-            got = finish(payloads, ids, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, arrow, strict=True)], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
-
-
-def by_distinct_word(docs: DataFrame, split: Callable, work: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Results of documents from payloads of their distinct words.
-
-    split(text) gives a text's words; work() gives a function from a list of
-    distinct words to a packed payload, made once per task; finish(payloads, ids,
-    texts) gives the columns of ``schema``. ``docs`` has (doc_id, text) and must give
-    the same rows in the same partitions when it is read again: a table, not the
-    output of a random operator. If it doesn't, a lookup fails and so does the job.
-    """
-    n = buckets = partitions(docs)
-
-    def listed(batches):
-        for block, _, texts in blocks(batches):
-            words: set[bytes] = set()
-            for t in texts:
-                words.update(split(t))
-            dealt = [(b, ws) for b, ws in enumerate(deal(list(words), buckets)) if ws]
-            for k in range(0, len(dealt), 64):
-                some = dealt[k : k + 64]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([pack(ws) for _, ws in some], pa.binary())],
-                    names=["bucket", "block", "words"],
-                )
-
-    def answered(batches):
-        one = work()
-        for batch in batches:
-            for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                yield block_rows([(block, 0, bucket, None, blob, one(unpack(blob)))])
-
-    asked = docs.mapInArrow(listed, "bucket int, block bigint, words binary").repartitionById(buckets, F.col("bucket"))
-    # texts first: a union keeps the partition numbers of its first side, and blocks are named by them
-    rows = text_rows(docs).unionByName(asked.mapInArrow(answered, BLOCK_SCHEMA))
-    return finished(at_blocks(rows, n), finish, schema)
