@@ -166,8 +166,9 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str =
     tagged = docs.select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text"), digest.alias("tag"))
     prefix = prefixes(tagged, _of_items(items, size, item_id, item_text).select("window").distinct())
     found = store.written(candidates(tagged, prefix, size).where("size(near) > 0"), "candidates")
-    hit = occurrences(found, prefix).select("row").distinct().join(found, "row").select(F.col("tag").alias("__tag")).distinct()
-    return docs.join(hit, digest == F.col("__tag"), "left_anti")
+    hit = occurrences(found, prefix).select("row").distinct().join(found, "row").select("tag").distinct()
+    rows = docs.select(F.struct("*").alias("row"), digest.alias("tag"))  # no name of docs can clash in there
+    return rows.join(hit, "tag", "left_anti").select("row.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -188,6 +188,6 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", te
     fps = store.written(fingerprints(plain.select("doc_id", "text", _key(F.col("doc_id"), F.col("text")).alias("key")), size), "fingerprints")
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     least = _rooted(fps.groupBy("fp").agg(F.min(spot).alias("first"))).groupBy("root").agg(F.min("first").alias("first"))
-    kept = least.select(F.col("first.key").alias("__kept"))
-    keyed = docs.withColumn("__key", _key(docs[id_col], docs[text_col]))
-    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = least.select("first.key")
+    rows = docs.select(F.struct("*").alias("row"), _key(docs[id_col], docs[text_col]).alias("key"))  # no name of docs can clash in there
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
