@@ -14,6 +14,8 @@ that just meets a limit (a tie) passes its rule.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -143,9 +145,25 @@ def ablations(table: DataFrame, policy: str = "v2") -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def kept_without(failed: Column, policy: str) -> Column:
+    """The bits of a policy's rules of which any one left out would keep the row: all, one or none."""
+    own = failed.bitwiseAND(F.lit(POLICIES[policy]))
+    return F.when(own == 0, F.lit(POLICIES[policy])).when(own.bitwiseAND(own - 1) == 0, own).otherwise(F.lit(0)).cast("bigint")
+
+
 def query(docs: DataFrame) -> DataFrame:
+    """The ledger's rows with the verdict of the newest policy, of each policy, and what leaving out one rule would do."""
+    failed = F.col("failed")
     out = apply_policy(stored_ledger(docs), "v2")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failed", "policy", "sole_failure")
+    by_policy = [keeps(failed, p).alias(f"kept_{p}") for p in POLICIES]
+    base = (failed.bitwiseAND(F.lit(BASE)) != 0).alias("base_failed")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept", "failed", "policy", "sole_failure", *by_policy, kept_without(failed, "v2").alias("kept_without"))
+
+
+def ablation_query(docs: DataFrame) -> DataFrame:
+    """(policy, rule, n_failed, n_only, n_kept_without) of all policies and their rules, from one stored ledger."""
+    table = stored_ledger(docs)
+    return functools.reduce(DataFrame.unionByName, [ablations(table, p).select(F.lit(p).alias("policy"), "*") for p in POLICIES])
 
 
 ORACLE_SQL = r"""
@@ -171,6 +189,16 @@ f AS (SELECT *, """ + " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 EN
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   (failed & {BASE}) <> 0 AS base_failed, (failed & {POLICIES["v2"]}) = 0 AS kept, CAST(failed AS BIGINT) AS failed, 'v2' AS policy,
-  CAST(CASE WHEN bit_count(failed & {POLICIES["v2"]}) = 1 THEN failed & {POLICIES["v2"]} ELSE 0 END AS BIGINT) AS sole_failure
+  CAST(CASE WHEN bit_count(failed & {POLICIES["v2"]}) = 1 THEN failed & {POLICIES["v2"]} ELSE 0 END AS BIGINT) AS sole_failure,
+  """ + ", ".join(f"(failed & {mask}) = 0 AS kept_{p}" for p, mask in POLICIES.items()) + f""",
+  CAST(CASE bit_count(failed & {POLICIES["v2"]}) WHEN 0 THEN {POLICIES["v2"]} WHEN 1 THEN failed & {POLICIES["v2"]} ELSE 0 END AS BIGINT) AS kept_without
 FROM f
 """
+#: The same rules; what each rule of a policy fails, alone rejects, and what is kept without it.
+ABLATIONS_SQL = ORACLE_SQL.rpartition("SELECT doc_id")[0] + " UNION ALL ".join(
+    f"""SELECT '{p}' AS policy, '{rule}' AS rule, CAST(count(*) FILTER ((failed & {bit}) <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER ((failed & {mask}) = {bit}) AS BIGINT) AS n_only,
+  CAST(count(*) FILTER ((failed & {mask & ~bit}) = 0) AS BIGINT) AS n_kept_without FROM f"""
+    for p, mask in POLICIES.items()
+    for rule, bit in BIT.items()
+    if bit & mask
+)

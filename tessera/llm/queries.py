@@ -36,6 +36,10 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation_query(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_repeated_strings": op4_repeated_strings,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_quality_ledger": op6_quality_ledger,
+    "quality_ablations": quality_ablations,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
@@ -82,6 +87,7 @@ QUERIES = {
 #: Where SQL can say the same; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_ledger": quality.ORACLE_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op11_centroid_clusters": clusters.ORACLE_SQL,
