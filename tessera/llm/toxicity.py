@@ -37,6 +37,8 @@ from . import words as W
 
 ROWS, DIM, WIDTHS, FILTERS, PAD = 1 << 18, 8, (1, 2, 3), 8, 3
 SAMPLE = 3000
+#: Parts of a class and language that are ranked by themselves before the whole is.
+RANKED = 64
 #: Rows of the table that fewer texts of the sample touch stay zero, as do those of words never seen.
 COMMON = 4
 #: Calibration: one clean row in so many may be rejected, and no cut is lower than LEAST.
@@ -239,8 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     lab = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     lab = lab.where(fold(F.col("id")) != HELD).groupBy("id").agg(F.max("toxic").alias("toxic"))
     lab = store.written(lab.join(texts.groupBy("id").agg(F.min("lang").alias("lang")), "id"), "labelled")  # of what the documents have
-    order = Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("id"), "id")
-    ranked = lab.where(fold(F.col("id")) != ASIDE).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample)
+    least = [F.xxhash64("id"), F.col("id")]
+    turn = lambda *by: F.row_number().over(Window.partitionBy("toxic", "lang", *by).orderBy(*least))
+    ranked = lab.where(fold(F.col("id")) != ASIDE)
+    for by in ([F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(RANKED))], []):  # by parts first, so that no task ranks all ids
+        ranked = ranked.withColumn("turn", turn(*by)).where(F.col("turn") <= sample)
     chosen = [ranked.where(F.col("toxic") == c).orderBy("turn", F.xxhash64("id"), "id").limit(sample).select("id", "toxic") for c in (0, 1)]
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.max("text").alias("text"))
     rows = sorted(rows.select("id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect(), key=lambda r: r.id)  # 2 * sample at most
