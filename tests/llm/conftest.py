@@ -43,6 +43,15 @@ def docs_dir(spark, tmp_path_factory):
     more = [(900, "Solo"), (901, "THE the zzq"), (902, None), (903, "..."), (904, "é ΑΣ ÉÀ"), (905, "solo"), (906, PASSAGE)]
     items.unionByName(spark.createDataFrame(more, items.schema)).write.parquet(f"{at}/benchmark.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 90")
+    own = [list(r.embedding) for r in vectors.where("vec_id < 3").orderBy("vec_id").collect()]
+    odd = [own[0], None, [], own[1][:63], [*own[1], 0.0], [None, *own[1][1:]], [float("nan"), *own[1][1:]], [float("inf"), *own[1][1:]], [0.5] * 64, [0.5] * 64]
+    rows = [(k if k % 4 else None, v, 0) for k, v in enumerate(odd, 900)] + [(0, own[0], 0), (0, own[2], 0)]
+    vectors = vectors.unionByName(spark.createDataFrame(rows, vectors.schema)).selectExpr("*", "1 AS key", "'c' AS cells", "2 AS cluster", "array(1) AS vector")
+    vectors.repartition(3).write.parquet(f"{at}/embeddings.parquet")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    rows = [(901, "u", None), (902, None, ""), (None, "u", " \n "), (901, "u", "<p>a<p>b"), (903, "u", "no tags at all, and a text that is long enough to be one.")]
+    pages.unionByName(spark.createDataFrame(rows, pages.schema)).selectExpr("*", "'t' AS text", "0 AS n_chars").repartition(3).write.parquet(f"{at}/pages.parquet")
     return str(at)
 
 
@@ -55,6 +64,6 @@ def texts(spark, docs_dir):
 @pytest.fixture(scope="session")
 def empty_dir(spark, docs_dir, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings", "pages"):
         spark.read.parquet(f"{docs_dir}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return str(at)
