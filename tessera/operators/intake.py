@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import json as J
 from tessera.functions.text import js_trim, text
 from tessera.sources.schemas import REQUEST, REQUEST_FIELDS, RESPONSE
 
@@ -22,19 +23,21 @@ def request_json() -> Column:
 
 
 def is_bound(body: Column) -> Column:
-    """Whether a body is an object with all fields, each of them a string; other keys don't matter."""
-    parsed = F.try_parse_json(body)
-    kinds = [F.schema_of_variant(F.try_variant_get(parsed, f"$.{f}", "variant")) == "STRING" for f in REQUEST_FIELDS]
-    all_strings = kinds[0]
-    for k in kinds[1:]:
-        all_strings = all_strings & k
-    return F.coalesce(all_strings, F.lit(False))
+    """Whether a body is one JSON object with all fields, each of them a string; other keys don't matter.
+
+    Of a key that is given twice the last one counts, and nothing may follow the object.
+    """
+    text = J.body_text(body)
+    bound = J.is_object(text)
+    for f in REQUEST_FIELDS:
+        bound = bound & J.is_string(J.field(text, f), J.field(text, f, "string"))
+    return F.coalesce(bound, F.lit(False))
 
 
 def bind(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Bodies that bind, with their fields as columns."""
-    bound = bodies.where(is_bound(F.col(body)))
-    return bound.withColumns({f.name: F.try_variant_get(F.try_parse_json(F.col(body)), f"$.{f.name}", f.dataType.simpleString()) for f in REQUEST}).drop(body)
+    bound, text = bodies.where(is_bound(F.col(body))), J.body_text(F.col(body))
+    return bound.withColumns({f.name: J.field(text, f.name, f.dataType.simpleString()) for f in REQUEST}).drop(body)
 
 
 def response(accepted: DataFrame) -> DataFrame:

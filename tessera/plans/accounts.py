@@ -35,23 +35,36 @@ SELECT c_custkey,
 FROM {customer}
 """
 
+#: Whole requests are built around ``whole``; what binds differs in repeated keys, blanks and what follows.
 BODIES = """
-SELECT c_custkey, CASE c_custkey % 8
+SELECT c_custkey, CASE c_custkey % 17
   WHEN 0 THEN 'not json' WHEN 1 THEN '[1]' WHEN 2 THEN '"a"'
   WHEN 3 THEN concat('{{"first_name":"', c_name, '","last_name":"x","email":"e","password":"p"}}')
   WHEN 4 THEN concat('{{"first_name":', CAST(c_custkey AS VARCHAR(20)), ',"last_name":"x","email":"e","password":"p","confirm_password":"p"}}')
   WHEN 5 THEN '{{"first_name":"f","last_name":null,"email":"e","password":"p","confirm_password":"p"}}'
   WHEN 6 THEN concat('{{"first_name":"', c_name, '","last_name":"","email":"e","password":"p","confirm_password":"q","more":[1]}}')
-  ELSE concat('{{"first_name":"', c_name, '","last_name":"x","email":"e","password":"p","confirm_password":"p"}}') END AS body
-FROM {customer}
+  WHEN 7 THEN concat(whole, ' x') WHEN 8 THEN concat(whole, '{{"a":1}}') WHEN 9 THEN concat('[', whole, ']') WHEN 10 THEN concat(whole, ']')
+  WHEN 11 THEN concat(' ', whole, '  ')
+  WHEN 12 THEN concat('{{"first_name":"a","first_name":"b",', substring(whole, 2))
+  WHEN 13 THEN concat(substring(whole, 1, length(whole) - 1), ',"email":5}}')
+  WHEN 14 THEN concat(substring(whole, 1, length(whole) - 1), ',"more":{{"a":1,"a":2}}}}')
+  WHEN 15 THEN concat('{{"email":{{"a":1,"a":2}},', substring(whole, 2))
+  ELSE whole END AS body
+FROM (SELECT c_custkey, c_name, concat('{{"first_name":"', c_name, '","last_name":"x","email":"e","password":"p","confirm_password":"p"}}') AS whole FROM {customer})
 """
 
 ANSWERS = """
 SELECT event_id,
   CASE event_id % 7 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 299 WHEN 3 THEN 300 WHEN 4 THEN 422 WHEN 5 THEN 200 END AS status,
-  CASE event_id % 11 WHEN 0 THEN '{{"message":"hi"}}' WHEN 1 THEN '{{"message":""}}' WHEN 2 THEN '{{}}' WHEN 3 THEN '{{"message":null}}'
+  CASE event_id % 31 WHEN 0 THEN '{{"message":"hi"}}' WHEN 1 THEN '{{"message":""}}' WHEN 2 THEN '{{}}' WHEN 3 THEN '{{"message":null}}'
     WHEN 4 THEN '{{"message":0}}' WHEN 5 THEN '{{"message":false}}' WHEN 6 THEN 'null' WHEN 7 THEN '{{"detail":[]}}' WHEN 8 THEN 'oops'
-    WHEN 9 THEN '{{"message":"Welcome"}}' END AS body
+    WHEN 9 THEN '{{"message":"Welcome"}}' WHEN 10 THEN '{{"message":"hi"}}{{' WHEN 11 THEN '{{"message":"hi"}}]' WHEN 12 THEN '{{"message":"a","message":"b"}}'
+    WHEN 13 THEN '{{"message":[1,2]}}' WHEN 14 THEN '{{"message":{{"a":1}}}}' WHEN 15 THEN '{{"message":[]}}' WHEN 16 THEN '{{"message":1e21}}'
+    WHEN 17 THEN '{{"message":12345678901234567890}}' WHEN 18 THEN '{{"message":[1,[2,null,[]],{{"b":[3]}},"x",true,-1.5e-7]}}'
+    WHEN 19 THEN concat('{{"message":', CAST(event_id AS VARCHAR(20)), '.125}}') WHEN 20 THEN '{{"message":-0.0}}' WHEN 21 THEN '{{"message":true}}'
+    WHEN 22 THEN '[{{"message":"x"}}]' WHEN 23 THEN ' {{"message":"sp"}} ' WHEN 24 THEN '"message"' WHEN 25 THEN '{{"message":0.000001}}'
+    WHEN 26 THEN '{{"message":{{"toString":1}}}}' WHEN 27 THEN '{{"message":"b","message":0}}' WHEN 28 THEN '{{"message":1e400}}'
+    WHEN 29 THEN '{{"message":0.00000012}}' END AS body
 FROM {events}
 """
 
@@ -192,6 +205,28 @@ def _email_error(c: str, missing: str, wrong: str) -> str:
     return f"CASE WHEN {_trim(c)} = '' THEN '{missing}' WHEN NOT regexp_matches({_trim(c)}, '{EMAIL}') THEN '{wrong}' END"
 
 
+_DOUBLE = "TRY_CAST(({v}) ->> '$' AS DOUBLE)"
+
+
+def _number(x: str) -> str:
+    """A double that isn't zero in the notation of pages."""
+    shown = f"CAST(abs({x}) AS VARCHAR)"
+    return f"""(SELECT CASE WHEN isinf({x}) THEN 'Infinity' WHEN k <= n AND n <= 21 THEN rpad(d, CAST(n AS INTEGER), '0') WHEN n > 0 AND n <= 21 THEN d[:n] || '.' || d[n + 1:]
+    WHEN n > -6 AND n <= 0 THEN '0.' || repeat('0', -n) || d ELSE d[1] || CASE WHEN k > 1 THEN '.' || d[2:] ELSE '' END || 'e' || CASE WHEN n > 1 THEN '+' ELSE '-' END || CAST(abs(n - 1) AS VARCHAR) END
+  FROM (SELECT trim(w, '0') AS d, length(trim(w, '0')) AS k, i + e - (length(w) - length(ltrim(w, '0'))) AS n FROM (
+    SELECT replace(split_part({shown}, 'e', 1), '.', '') AS w, length(split_part(split_part({shown}, 'e', 1), '.', 1)) AS i, coalesce(TRY_CAST(split_part({shown}, 'e', 2) AS INTEGER), 0) AS e)))"""
+
+
+def _shown(kind: str, v: str) -> str:
+    number = _DOUBLE.format(v=v)
+    return f"""CASE {kind} WHEN 'NULL' THEN '' WHEN 'ARRAY' THEN '' WHEN 'OBJECT' THEN '[object Object]' WHEN 'VARCHAR' THEN {v} ->> '$' WHEN 'BOOLEAN' THEN {v} ->> '$'
+  ELSE CASE WHEN {number} = 0 THEN '0' WHEN {number} < 0 THEN '-' || {_number(number)} ELSE {_number(number)} END END"""
+
+
+def _odd(v: str) -> str:
+    return f"coalesce(json_type({v}) = 'OBJECT' AND list_contains(json_keys({v}), 'toString'), FALSE)"
+
+
 _FORMS = SIGNUP_FORMS.format(customer="customer")
 _VALID = f"""
 SELECT *, coalesce(e_first_name, e_last_name, e_email, e_password, e_confirm_password, e_terms) IS NULL AS is_valid FROM (
@@ -228,17 +263,22 @@ ORACLE_SQL = {
     "signup_accept_redacted": f"SELECT 'Signup successful' AS message, {_trim('first_name')} AS first_name, {_trim('last_name')} AS last_name, {_trim('email')} AS email FROM ({_VALID}) WHERE is_valid",
     "signup_request_json": f"""SELECT c_custkey, CAST(to_json(struct_pack(first_name := {_trim("first_name")}, last_name := {_trim("last_name")}, email := {_trim("email")},
   password := password, confirm_password := confirm_password)) AS VARCHAR) AS body FROM ({_FORMS})""",
-    "signup_bind": f"""SELECT c_custkey, CASE WHEN json_valid(body) THEN coalesce({" AND ".join(f"json_type(body, '$.{f}') = 'VARCHAR'" for f in _FIELDS)}, FALSE) ELSE FALSE END AS bound
+    "signup_bind": f"""SELECT c_custkey, CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT' THEN {" AND ".join(f"coalesce((SELECT arg_max(e.type, e.rowid) FROM json_each(CASE WHEN json_valid(body) THEN body END) e WHERE e.key = '{f}') = 'VARCHAR', FALSE)" for f in _FIELDS)} ELSE FALSE END AS bound
 FROM ({BODIES.format(customer="customer")})""",
     "login_validate": f"""SELECT c_custkey, e_email, e_password, CASE WHEN e_email IS NULL AND e_password IS NULL THEN 'Login successful!' ELSE 'Please fix the errors above.' END AS message FROM (
 SELECT c_custkey, {_email_error("email", "Email is required.", "Please enter a valid email.")} AS e_email,
   CASE WHEN password = '' THEN 'Password is required.' WHEN {_u16("password")} < 8 THEN 'Password must be at least 8 characters.' END AS e_password
 FROM ({LOGIN_FORMS.format(customer="customer")}))""",
-    "signup_outcome": f"""SELECT event_id, CASE WHEN status IS NULL OR body IS NULL OR NOT json_valid(body) THEN '{outcome.UNREACHABLE}'
-  WHEN status NOT BETWEEN 200 AND 299 THEN '{outcome.FAILED}' WHEN body = 'null' THEN '{outcome.UNREACHABLE}'
-  ELSE coalesce(CASE WHEN json_type(body, '$.message') = 'VARCHAR' THEN nullif(json_extract_string(body, '$.message'), '')
-    WHEN json_extract_string(body, '$.message') NOT IN ('0', 'false') THEN json_extract_string(body, '$.message') END, '{outcome.DEFAULT}') END AS outcome
-FROM ({ANSWERS.format(events="events")})""",
+    "signup_outcome": f"""WITH a AS MATERIALIZED (SELECT event_id, status, CASE WHEN json_valid(body) THEN body END AS body, coalesce(json_valid(body), FALSE) AS ok FROM ({ANSWERS.format(events="events")})),
+m AS (SELECT DISTINCT body, (SELECT arg_max(e.value, e.rowid) FROM json_each(body) e WHERE e.key = 'message') AS v FROM a WHERE ok AND json_type(body) = 'OBJECT'),
+l AS (SELECT body, string_agg({_shown("t.type", "t.value")}, ',' ORDER BY t.rowid) AS text, bool_or({_odd("t.value")}) AS odd
+  FROM m, json_tree(v) t WHERE json_type(v) = 'ARRAY' AND regexp_full_match(t.fullkey, '\\$(\\[[0-9]+\\])+') AND (t.type <> 'ARRAY' OR json_array_length(t.value) = 0) GROUP BY body),
+x AS (SELECT body, CASE json_type(v) WHEN 'VARCHAR' THEN nullif(v ->> '$', '') WHEN 'BOOLEAN' THEN nullif(v ->> '$', 'false') WHEN 'ARRAY' THEN CASE WHEN odd THEN '{outcome.UNREACHABLE}' ELSE coalesce(text, '') END
+    WHEN 'OBJECT' THEN CASE WHEN {_odd("v")} THEN '{outcome.UNREACHABLE}' ELSE '[object Object]' END
+    ELSE CASE WHEN v IS NULL OR json_type(v) = 'NULL' OR {_DOUBLE.format(v="v")} = 0 THEN NULL ELSE {_number(_DOUBLE.format(v="v"))} END END AS shown FROM m LEFT JOIN l USING (body))
+SELECT event_id, CASE WHEN status IS NULL OR NOT ok THEN '{outcome.UNREACHABLE}' WHEN status NOT BETWEEN 200 AND 299 THEN '{outcome.FAILED}'
+  WHEN json_type(body) = 'NULL' THEN '{outcome.UNREACHABLE}' ELSE coalesce(shown, '{outcome.DEFAULT}') END AS outcome
+FROM a LEFT JOIN x USING (body)""",
     "typing_current_error": f"""SELECT user_id, event_id, nullif(last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS current_error
 FROM (SELECT *, CASE WHEN {_trim("value")} <> '' THEN coalesce({_email_error("value", "Email is required.", "Please enter a valid email.")}, '') END AS e FROM ({_INPUTS}))""",
     "typing_password_error": f"""SELECT user_id, event_id, nullif(last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS current_error
