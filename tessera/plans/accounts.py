@@ -125,12 +125,13 @@ def signup_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typing_current_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _inputs(spark, sf_dir)
-    return events.select("user_id", "event_id", sessions.current_error(events, "user_id", ["ts", "event_id"], "value").alias("current_error"))
+    events = _inputs(spark, sf_dir).select("user_id", _micros(), "event_id", "value")
+    return sessions.current_errors(events, "user_id", "micros", "event_id", "value").select("user_id", "event_id", "current_error")
 
 
 def toggle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inputs(spark, sf_dir).where("event_type = 'click'").select("user_id", "event_id", sessions.is_visible("user_id", ["ts", "event_id"]).alias("visible"))
+    clicks = _inputs(spark, sf_dir).where("event_type = 'click'").select("user_id", _micros(), "event_id")
+    return sessions.visibility(clicks, "user_id", "micros", "event_id").select("user_id", "event_id", "visible")
 
 
 def submit_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +140,9 @@ def submit_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typing_password_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _inputs(spark, sf_dir)
-    error = sessions.current_error(events, "user_id", ["ts", "event_id"], "password", validate.login_password_error, is_empty)
-    return events.select("user_id", "event_id", error.alias("current_error"))
+    events = _inputs(spark, sf_dir).select("user_id", _micros(), "event_id", "password")
+    shown = sessions.current_errors(events, "user_id", "micros", "event_id", "password", validate.login_password_error, is_empty)
+    return shown.select("user_id", "event_id", "current_error")
 
 
 def signup_field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,19 +153,22 @@ def forgot_password(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.forgot_password(_inputs(spark, sf_dir).where("event_type = 'error'").select("event_id"))
 
 
-def _stored(inputs: DataFrame) -> DataFrame:
-    forms = inputs.select("user_id", _micros(), "event_id", F.col("value").alias("email"), "password", "remember", (F.col("event_type") == "signup").alias("is_submit"))
-    return sessions.remembered(forms, "user_id", "micros", "event_id", "is_submit", DAY_MICROS)
+def _login_events(inputs: DataFrame) -> DataFrame:
+    return inputs.select("user_id", _micros(), "event_id", F.col("value").alias("email"), "password", "remember", (F.col("event_type") == "signup").alias("is_submit"))
+
+
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.stored_history(_login_events(_inputs(spark, sf_dir)), "user_id", "micros", "event_id", "is_submit", DAY_MICROS)
 
 
 def remembered_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(_inputs(spark, sf_dir)).where(outcome.truthy(F.col("email")))
+    stored = sessions.remembered(_login_events(_inputs(spark, sf_dir)), "user_id", "micros", "event_id", "is_submit", DAY_MICROS)
+    return stored.where(outcome.truthy(F.col("email")))
 
 
 def restored_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = _inputs(spark, sf_dir)
-    loads = inputs.where("event_type = 'view'").select("user_id", "event_id")
-    return sessions.restored(loads, _stored(inputs), "user_id").select("user_id", "event_id", "email", "remember")
+    loads = _inputs(spark, sf_dir).where("event_type = 'view'").select("user_id", "event_id", _micros())
+    return sessions.restored(loads, stored_history(spark, sf_dir), "user_id", "micros").select("user_id", "event_id", "email", "remember")
 
 
 def email_rule_on_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +191,7 @@ QUERIES = {
     "typing_password_error": typing_password_error,
     "toggle_state": toggle_state,
     "submit_suppress": submit_suppress,
+    "stored_history": stored_history,
     "remembered_email": remembered_email,
     "restored_session": restored_session,
     "email_rule_on_text": email_rule_on_text,
@@ -241,19 +246,19 @@ SELECT *, CASE WHEN {_trim("first_name")} = '' THEN 'First name is required.' EN
 FROM ({_FORMS}))
 """
 _INPUTS = INPUTS.format(events="events")
-#: Submits that pass both rules, then from one that is taken to the next one after its delay;
-#: the form's last event before the last delay ends tells what is stored.
-_STORED = f"""
-SELECT user_id, email FROM (
-  SELECT user_id, remember, {_trim("value")} AS email, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k
+#: Submits that pass both rules, then from one that is taken to the next one after its delay; the
+#: form's last event before the delay ends tells what is stored from then on, until the next one does.
+_HISTORY = f"""
+SELECT user_id, t + {DAY_MICROS} AS since, lead(t + {DAY_MICROS}) OVER (PARTITION BY user_id ORDER BY t) AS until, CASE WHEN remember THEN email END AS email FROM (
+  SELECT user_id, t, remember, {_trim("value")} AS email, row_number() OVER (PARTITION BY user_id, t ORDER BY ts DESC, event_id DESC) AS k
   FROM ({_INPUTS}) JOIN (
     WITH RECURSIVE v AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM ({_INPUTS})
         WHERE event_type = 'signup' AND regexp_matches({_trim("value")}, '{EMAIL}') AND {_u16("password")} >= 8),
       a AS (SELECT user_id, min(t) AS t FROM v GROUP BY user_id
         UNION ALL SELECT a.user_id, (SELECT min(v.t) FROM v WHERE v.user_id = a.user_id AND v.t >= a.t + {DAY_MICROS}) FROM a WHERE a.t IS NOT NULL)
-    SELECT user_id, max(t) AS t FROM a GROUP BY user_id) USING (user_id)
+    SELECT user_id, t FROM a WHERE t IS NOT NULL) USING (user_id)
   WHERE epoch_us(ts) >= t AND epoch_us(ts) < t + {DAY_MICROS})
-WHERE k = 1 AND remember
+WHERE k = 1
 """
 _FIELDS = ("first_name", "last_name", "email", "password", "confirm_password")
 
@@ -291,8 +296,9 @@ FROM ({_INPUTS}) WHERE event_type = 'click'""",
 a AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
   UNION ALL SELECT a.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = a.user_id AND e.t >= a.t + {DAY_MICROS}) FROM a WHERE a.t IS NOT NULL)
 SELECT user_id, count(t) AS n_accepted FROM a GROUP BY user_id""",
-    "remembered_email": f"SELECT user_id, email FROM ({_STORED}) WHERE coalesce(email, '') <> ''",
+    "stored_history": f"SELECT user_id, since, until, email FROM ({_HISTORY})",
+    "remembered_email": f"SELECT user_id, email FROM ({_HISTORY}) WHERE until IS NULL AND coalesce(email, '') <> ''",
     "restored_session": f"""SELECT i.user_id, i.event_id, nullif(s.email, '') AS email, coalesce(s.email, '') <> '' AS remember
-FROM ({_INPUTS}) i LEFT JOIN ({_STORED}) s USING (user_id) WHERE i.event_type = 'view'""",
+FROM ({_INPUTS}) i LEFT JOIN ({_HISTORY}) s ON s.user_id = i.user_id AND s.since <= epoch_us(i.ts) AND (s.until IS NULL OR epoch_us(i.ts) < s.until) WHERE i.event_type = 'view'""",
     "email_rule_on_text": f"SELECT doc_id, token FROM (SELECT doc_id, unnest(string_split_regex(text, '[{WS}]+')) AS token FROM documents) WHERE regexp_matches(token, '{EMAIL}')",
 }

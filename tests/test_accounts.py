@@ -59,7 +59,7 @@ def test_outcome(spark):
 def test_typing(spark):
     values = ["a", "a@b.c", "zz", "", "  ", "q@w.e"]
     df = spark.createDataFrame([("s", k, v) for k, v in enumerate(values)], "s string, seq int, value string")
-    got = {r.seq: r.e for r in df.select("seq", sessions.current_error(df, "s", ["seq"], "value").alias("e")).collect()}
+    got = {r.seq: r.current_error for r in sessions.current_errors(df, "s", "seq", "seq", "value").collect()}
     wrong = "Please enter a valid email."
     assert [got[k] for k in range(6)] == [wrong, None, wrong, wrong, wrong, None]
 
@@ -146,14 +146,24 @@ LOGINS = [
     ("f", 3, 1, "f@b.c", GOOD, True, True), ("f", 3, 2, " ", GOOD, True, False),
     ("g", 1, 1, "g@b.c", GOOD, None, True), (None, 1, 1, "a@b.c", GOOD, True, True), ("h", None, 1, "a@b.c", GOOD, True, True),
 ]
+HISTORY = [("a", 10, None, "new@b.c"), ("b", 10, None, None), ("d", 10, 20, "a@b.c"), ("d", 20, None, None), ("e", 13, None, "e@b.c"), ("f", 13, None, ""), ("g", 11, None, None)]
 STORED = {"a": "new@b.c", "e": "e@b.c", "f": ""}
 
 
 def test_remembered_after_a_login_that_was_taken(spark):
     got = sessions.remembered(spark.createDataFrame(LOGINS, LOGIN_EVENTS), "s", "t", "e", "is_submit", 10)
     assert {r.s: r.email for r in got.collect()} == STORED
-    loads = spark.createDataFrame([(k,) for k in "aefx"], "s string")
-    assert {r.s: (r.email, r.remember) for r in sessions.restored(loads, got, "s").collect()} == {"a": ("new@b.c", True), "e": ("e@b.c", True), "f": (None, False), "x": (None, False)}
+
+
+def test_history_and_what_a_load_restores(spark):
+    """Each login that was taken changes the store at the end of its delay, and a load sees what was there then."""
+    events = spark.createDataFrame(LOGINS, LOGIN_EVENTS)
+    history = sessions.stored_history(events, "s", "t", "e", "is_submit", 10)
+    assert sorted(map(tuple, history.collect()), key=repr) == HISTORY
+    rows = [("a", 9, None), ("a", 10, "new@b.c"), ("a", 99, "new@b.c"), ("d", 9, None), ("d", 10, "a@b.c"), ("d", 19, "a@b.c"), ("d", 20, None), ("f", 50, None), ("x", 5, None), (None, 20, None), ("a", None, None)]
+    loads = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, s string, t long, want string")
+    got = sessions.restored(loads, history, "s", "t").collect()
+    assert len(got) == len(rows) and all(r.email == r.want and r.remember == (r.want is not None) for r in got)
 
 
 def test_forgot_password(spark):
@@ -164,8 +174,8 @@ def test_a_blank_password_is_not_skipped(spark):
     from tessera.functions.text import is_empty
 
     df = spark.createDataFrame([("a", 1, "long enough"), ("a", 2, " "), ("a", 3, "")], "s string, seq int, value string")
-    got = df.select("seq", sessions.current_error(df, "s", ["seq"], "value", validate.login_password_error, is_empty).alias("e")).collect()
-    assert {r.seq: r.e for r in got} == {1: None} | dict.fromkeys((2, 3), "Password must be at least 8 characters.")
+    got = sessions.current_errors(df, "s", "seq", "seq", "value", validate.login_password_error, is_empty).collect()
+    assert {r.seq: r.current_error for r in got} == {1: None} | dict.fromkeys((2, 3), "Password must be at least 8 characters.")
 
 
 # streams
