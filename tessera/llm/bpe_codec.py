@@ -2,11 +2,13 @@
 
 1. Spark splits texts into words. Blocks of documents, written once, hold their words as
    numbers, and list what each of these places stands for.
-2. The distinct words of all blocks are encoded once each by the vocabulary's own library.
+2. The lists, a row for each block and word, become a table that is bucketed by word. Its
+   distinct words are encoded once each by the vocabulary's own library.
 3. Decoding is a join: each id of a distinct word, with its place in it, meets the
    id-to-piece table, whose size is the vocabulary's, and a word's pieces are put together.
-4. Ids and pieces are joined with the blocks' lists by word and go back to their block by
-   place, where those of a document follow each other.
+4. Encoded words are joined with the lists by word, without a shuffle, and their ids go
+   back to their block by place, where those of a document follow each other. Of pieces
+   that give the very word, as they nearly always do, only that is sent.
 
 Words are cut before ASCII blanks that follow something else, where no token of such a
 vocabulary reaches over; joined, they are the text.
@@ -38,10 +40,8 @@ from . import store
 BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
 #: Before an ASCII blank, but not after a blank of any kind, or a control that some engines take for one.
 CUT = r"(?<=[^\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff])(?=[\t-\r ])"
-TEXTS, WORDS = 0, 1
-
-_BLOCKS = "block bigint, kind int, place int, word string, ids array<bigint>, body binary"
-_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("word", pa.string()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())])
+_BLOCKS = "block bigint, ids array<bigint>, body binary"
+_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())])
 
 
 def byte_symbols() -> dict[str, int]:
@@ -86,18 +86,12 @@ def pieces(vocabulary: str) -> dict[int, bytes]:
 
 
 def _numbered(batches, limit: int = BLOCK_BYTES, chunk: int = CHUNK_BYTES):
-    """Rows of kind TEXTS, some documents' ids with sizes and word numbers, and of kind WORDS, a block's word by place."""
+    """Rows with some documents' ids, sizes and word numbers, and for each block one without ids that has its words."""
     home, blocks = TaskContext.get().partitionId() << 24, itertools.count()
     block, held, own = home + next(blocks), 0, defaultdict(itertools.count().__next__)
 
-    def rows(n: int, kind: int, **columns):
-        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) if f.name not in ("block", "kind") else pa.array([{"block": block, "kind": kind}[f.name]] * n, f.type) for f in _ARROW], schema=_ARROW)
-
-    def listed():
-        words = list(own)
-        for k in range(0, len(words), 50_000):
-            some = words[k : k + 50_000]
-            yield rows(len(some), WORDS, place=np.arange(k, k + len(some), dtype=np.int32), word=some)
+    def row(ids, body: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, ids, body), _ARROW)], schema=_ARROW)
 
     for batch in batches:
         if not batch.num_rows:
@@ -110,18 +104,28 @@ def _numbered(batches, limit: int = BLOCK_BYTES, chunk: int = CHUNK_BYTES):
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(length, length[i] + chunk, side="right")) - 1)
             if held and held + length[j] - length[i] > limit:
-                yield from listed()
+                yield row(None, X.pack([w.encode() for w in own]))
                 block, held, own = home + next(blocks), 0, defaultdict(itertools.count().__next__)
             coded = values.slice(ends[i], ends[j] - ends[i]).dictionary_encode()
             number = np.fromiter(map(own.__getitem__, coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary))
-            body = X.press(np.diff(ends[i : j + 1]).astype(np.int64), number[coded.indices.to_numpy()])
-            yield rows(1, TEXTS, ids=[batch.column(0).slice(i, j - i).to_pylist()], body=[body])
+            yield row(batch.column(0).slice(i, j - i).to_pylist(), X.press(np.diff(ends[i : j + 1]).astype(np.int64), number[coded.indices.to_numpy()]))
             held += length[j] - length[i]
             i = j
-    yield from listed()
+    if held or own:
+        yield row(None, X.pack([w.encode() for w in own]))
+
+
+def _listed(batches):
+    """(word, block, place) of blocks' words."""
+    for b in batches:
+        for block, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = X.unpack(body)
+            for k in range(0, len(words), 50_000):
+                some = pa.array(words[k : k + 50_000], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), block)), pa.array(np.arange(k, k + len(some), dtype=np.int32))], names=["word", "block", "place"])
 
 
-def joined(column: pa.Array, places: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+def _joined(column: pa.Array, places: np.ndarray, ends: np.ndarray) -> list[memoryview]:
     """The column's values at runs of places, each run put together."""
     _, offsets, data = column.take(pa.array(places)).buffers()
     at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist()
@@ -135,10 +139,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     digests: n_tokens, ids_sha256 and decoded_sha256 instead of n_tokens, ids and
     decoded. A digest is of the decimal ids joined by commas, or of the UTF-8 text.
     """
-    spark = docs.sparkSession
+    spark, n = docs.sparkSession, X.partitions(docs)
     words = F.filter(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda w: w != "")
-    blocks = store.written(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(_numbered, _BLOCKS), "blocks", by=["kind"])
-    listed = blocks.where(F.col("kind") == WORDS).select("block", "place", "word")
+    blocks = store.bucketed(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(_numbered, _BLOCKS), "blocks", n, "block")
+    listed = blocks.where("ids is null").select("block", "body").mapInArrow(_listed, "word string, block bigint, place int")
+    listed = store.bucketed(listed.repartition(n, "word"), "listed", n, "word")
 
     def encode(batches):
         tokenizer = encoder(vocabulary)
@@ -148,38 +153,50 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["word", "ids"])
 
-    encoded = listed.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
-    table = spark.createDataFrame([(i, bytearray(p)) for i, p in pieces(vocabulary).items()], "id int, piece binary")  # as long as the vocabulary
+    encoded = store.bucketed(listed.select("word").distinct().mapInArrow(encode, "word string, ids array<int>"), "encoded", n, "word")
+    table = pieces(vocabulary)
+    width = 2 if max(table) < 1 << 16 else 4
+    table = spark.createDataFrame([(i, bytearray(p)) for i, p in table.items()], "id int, piece binary")  # as long as the vocabulary
     met = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
     piece = F.coalesce("piece", F.raise_error(F.lit("an id without a piece")).cast("binary"))
-    coded = met.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", piece.alias("piece")))).alias("own"))
-    coded = coded.select(
-        "word",
-        F.size("own").alias("n"),
-        F.concat(F.array_join(F.transform("own", lambda x: x["id"].cast("string")), ","), F.lit(",")).alias("listed"),
-        F.aggregate("own", F.lit(b""), lambda acc, x: F.concat(acc, x["piece"])).alias("piece"),
-    )
-    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("listed", F.lit("")).alias("listed"), F.coalesce("piece", F.lit(b"")).alias("piece"))
-    fields = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
-
-    def finish(known: pa.Table, texts: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("place").to_numpy())
-        counts = known.column("n").to_numpy()[order].astype(np.int64)
-        ids_of, piece_of = (known.column(c).cast(pa.large_binary()).combine_chunks().take(pa.array(order)) for c in ("listed", "piece"))
+    own = met.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", piece.alias("piece")))).alias("own"))
+    together = lambda of: F.aggregate("own", F.lit(b""), lambda acc, x: F.concat(acc, of(x)))
+    packed = together(lambda x: F.unhex(F.lpad(F.hex(x["id"]), 2 * width, "0")))
+    back = together(lambda x: x["piece"])
+    coded = own.select("word", packed.alias("packed"), F.when(back != F.encode("word", "UTF-8"), back).alias("other"))
+    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("packed", F.lit(b"")).alias("packed"), "other")
+    kind = f">u{width}"
+    fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *fields])
+
+    def finish(known: pa.Table, rows: pa.Table) -> pa.Table:
+        packed, own = np.empty(known.num_rows, object), []
+        packed[known.column("place").to_numpy()] = known.column("packed").to_pylist()
+        texts, bodies = rows.column("ids").to_pylist(), rows.column("body").to_pylist()
+        for ids, body in zip(texts, bodies, strict=True):
+            own = X.unpack(body) if ids is None else own
+        for place, other in zip(*(known.filter(pc.is_valid(known.column("other"))).column(c).to_pylist() for c in ("place", "other"))):
+            own[place] = other
+        ids_of, piece_of = pa.array(packed.tolist(), pa.large_binary()), pa.array(own, pa.large_binary())
+        decimal = pa.array([b"%d," % i for i in range(1 << 16)], pa.large_binary()) if kind == ">u2" else None
         done = []
-        for doc_ids, body in zip(texts.column("ids").to_pylist(), texts.column("body").to_pylist(), strict=True):
+        for doc_ids, body in zip(texts, bodies, strict=True):
+            if doc_ids is None:
+                continue
             sizes, places = X.expand(body, np.int64, np.uint32)
             ends = np.cumsum(sizes)
-            total = np.concatenate([[0], np.cumsum(counts[places])])[np.concatenate([[0], ends])]
-            back = [str(x, "utf-8", "replace") for x in joined(piece_of, places, ends)]
-            ids = joined(ids_of, places, ends)
-            if digests:
-                columns = [hashlib.sha256(x[:-1]).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in back]
+            back = [str(x, "utf-8", "replace") for x in _joined(piece_of, places, ends)]
+            ids = [np.frombuffer(x, kind) for x in _joined(ids_of, places, ends)]
+            if not digests:
+                columns = [x.astype(np.int32) for x in ids], back
+            elif decimal is None:
+                columns = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in back]
             else:
-                columns = [[int(i) for i in bytes(x[:-1]).split(b",") if i] for x in ids], back
-            done.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((doc_ids, np.diff(total), *columns), arrow)], schema=arrow))
+                total = np.cumsum(list(map(len, ids)))
+                shown = _joined(decimal, np.concatenate(ids).astype(np.uint16), total)
+                columns = [hashlib.sha256(x[:-1]).hexdigest() for x in shown], [hashlib.sha256(x.encode()).hexdigest() for x in back]
+            done.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((doc_ids, list(map(len, ids)), *columns), arrow)], schema=arrow))
         return pa.concat_tables(done) if done else arrow.empty_table()
 
-    texts = blocks.where(F.col("kind") == TEXTS).select("block", "ids", "body")
-    return answers.groupBy("home").cogroup(texts.groupBy("block")).applyInArrow(finish, f"doc_id bigint, n_tokens bigint, {fields}")
+    schema = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    return answers.groupBy("home").cogroup(blocks.groupBy("block")).applyInArrow(finish, schema)

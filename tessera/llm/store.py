@@ -49,6 +49,15 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """``df`` as a table of the shared folder, bucketed and sorted by a column: what then meets by it needs no shuffle."""
+    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Drop a table of ``written`` that nothing will read again."""
     drop(df.sparkSession, df.stored_at)
