@@ -53,6 +53,16 @@ def partitions(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores where they come from fewer files than there are cores.
+
+    A small table's file is split by its size, but its rows may be in one of the splits.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = rows.rdd.getNumPartitions() <= 2 * cores and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if few else rows
+
+
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; other columns can't clash."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

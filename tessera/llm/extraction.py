@@ -5,7 +5,7 @@ around a block and the words of their classes, ids and roles, the element it sta
 length, share of links, and how its text reads. A two-label linear-chain field trained on
 PAGES labelled pages (of ``page_samples``, another set than those held out for tests)
 labels them; Viterbi's best path tells what is main text. Pages don't meet: there is no
-shuffle, and the network that tasks get is of a fixed size.
+shuffle but to spread a small table, and the network that tasks get is of a fixed size.
 
 Defined results: a null or empty page, and one without main text, has the empty text;
 repeated rows each give a row; a null id stays null; other columns are ignored; an empty
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import page_samples
 from .crf import Chain, viterbi
 from .page_blocks import Block, Reader, text_features
@@ -96,4 +97,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return X.spread(rows).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
