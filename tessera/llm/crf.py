@@ -5,6 +5,21 @@ from __future__ import annotations
 import numpy as np
 
 
+class Rows:
+    """A matrix of zeros and ones, by the places of the ones in each row; no row is without."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.at, self.first, self.sizes, self.width = np.array([k for row in rows for k in row], np.int64), np.cumsum(sizes) - sizes, sizes, width
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.at], self.first)
+
+    def transposed(self, values: np.ndarray) -> np.ndarray:
+        """The product of the matrix, transposed, with values."""
+        return np.bincount(self.at, np.repeat(values, self.sizes), self.width)
+
+
 class Chain:
     """Weights: one for each feature (for label 1, against 0), transitions by (from, to), and label 1 at start and end."""
 
@@ -12,49 +27,44 @@ class Chain:
         self.features = features
         self.weights, self.steps, self.ends = np.zeros(len(features)), np.zeros((2, 2)), np.zeros(2)
 
-    def loss(self, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, ridge: float = 0.0) -> tuple[float, list[np.ndarray]]:
+    def loss(self, x: Rows | np.ndarray, y: np.ndarray, sizes: np.ndarray, ridge: float = 0.0) -> tuple[float, list[np.ndarray]]:
         """Negative log-likelihood of sequences and its gradients.
 
         x: a row of features for each block; y: labels; sizes: blocks of each sequence, all above zero.
         """
         begin = np.cumsum(sizes) - sizes
-        many, longest = len(sizes), int(sizes.max())
-        spot = np.minimum(begin[:, None] + np.arange(longest), len(y) - 1)
-        inside = np.arange(longest) < sizes[:, None]
-        own = (x @ self.weights)[spot]
-        last = sizes - 1
-        score = np.zeros((many, longest, 2))
-        score[:, :, 1] = own
-        score[:, 0, 1] += self.ends[0]
-        score[np.arange(many), last, 1] += self.ends[1]
-
-        def joined(a):
-            top = a.max(axis=1)
-            return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
-
-        ahead, back = np.zeros((many, longest, 2)), np.zeros((many, longest, 2))
-        ahead[:, 0] = score[:, 0]
+        longest, every, last = int(sizes.max()), np.arange(len(sizes)), sizes - 1
+        spot = np.minimum(begin[None] + np.arange(longest)[:, None], len(y) - 1)  # a row for each place, a column for each sequence
+        inside = np.arange(longest)[:, None] < sizes[None]
+        one = (x @ self.weights)[spot]
+        own = one.copy()
+        own[0] += self.ends[0]
+        own[last, every] += self.ends[1]
+        (zz, zo), (oz, oo) = self.steps
+        plus = np.logaddexp
+        ahead, back = np.zeros((2, *one.shape)), np.zeros((2, *one.shape))
+        ahead[1, 0] = own[0]
         for t in range(1, longest):
-            ahead[:, t] = joined(ahead[:, t - 1][:, :, None] + self.steps[None]) + score[:, t]
+            z, o = ahead[:, t - 1]
+            ahead[0, t], ahead[1, t] = plus(z + zz, o + oz), plus(z + zo, o + oo) + own[t]
         for t in range(longest - 2, -1, -1):
-            from_next = joined((self.steps[None] + (score[:, t + 1] + back[:, t + 1])[:, None, :]).transpose(0, 2, 1))
-            back[:, t] = np.where(inside[:, t + 1][:, None], from_next, 0)
-        total = joined(ahead[np.arange(many), last])
-        label = np.where(inside, y[spot], 0)
-        pairs = inside[:, 1:]
-        gold = (own * label * inside).sum() + (self.ends[0] * label[:, 0]).sum() + (self.ends[1] * label[np.arange(many), last]).sum() + self.steps[label[:, :-1], label[:, 1:]][pairs].sum()
-        chance = np.exp(ahead + back - total[:, None, None])[:, :, 1]
-        over = (chance - label)[inside]
-        weights = x.T @ over + ridge * self.weights
-        ends = np.array([(chance[:, 0] - label[:, 0]).sum(), (chance - label)[np.arange(many), last].sum()]) + ridge * self.ends
-        both = ahead[:, :-1, :, None] + self.steps[None, None] + (score[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        expected = np.exp(both[pairs]).sum(axis=0)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (label[:, :-1][pairs], label[:, 1:][pairs]), 1)
+            z, o = back[0, t + 1], back[1, t + 1] + own[t + 1]
+            live = inside[t + 1]
+            back[0, t], back[1, t] = np.where(live, plus(zz + z, zo + o), 0), np.where(live, plus(oz + z, oo + o), 0)
+        total = plus(ahead[0, last, every], ahead[1, last, every])
+        label, pairs = np.where(inside, y[spot], 0), inside[1:]
+        gold = (one * label * inside).sum() + self.ends[0] * label[0].sum() + self.ends[1] * label[last, every].sum() + self.steps[label[:-1], label[1:]][pairs].sum()
+        over = np.exp(ahead[1] + back[1] - total) - label
+        excess = over.T[inside.T]
+        weights = (x.transposed(excess) if isinstance(x, Rows) else x.T @ excess) + ridge * self.weights
+        ends = np.array([over[0].sum(), over[last, every].sum()]) + ridge * self.ends
+        then = (back[0, 1:], back[1, 1:] + own[1:])
+        expected = np.array([[np.exp((ahead[i, :-1] + self.steps[i, j] + then[j] - total)[pairs]).sum() for j in (0, 1)] for i in (0, 1)])
+        seen = np.array([[((label[:-1] == i) & (label[1:] == j) & pairs).sum() for j in (0, 1)] for i in (0, 1)])
         loss = total.sum() - gold + ridge / 2 * ((self.weights**2).sum() + (self.steps**2).sum() + (self.ends**2).sum())
         return float(loss), [weights, expected - seen + ridge * self.steps, ends]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, ridge: float = 0.1, rounds: int = 100, rate: float = 0.2) -> Chain:
+    def fit(self, x: Rows | np.ndarray, y: np.ndarray, sizes: np.ndarray, ridge: float = 0.1, rounds: int = 100, rate: float = 0.2) -> Chain:
         """Adam over all sequences at once."""
         at = [self.weights, self.steps, self.ends]
         first, second = [np.zeros_like(p) for p in at], [np.zeros_like(p) for p in at]

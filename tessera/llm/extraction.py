@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import page_samples
-from .crf import Chain, viterbi
+from .crf import Chain, Rows, viterbi
 from .page_blocks import Block, Reader, text_features
 
 PAGES, SEED = 800, 20240301
@@ -48,9 +48,7 @@ def train(pages: list[list[tuple[Block, int]]]) -> Chain:
         for f in row:
             counts[f] = counts.get(f, 0) + 1
     chain = Chain({f: k for k, f in enumerate(sorted(f for f, n in counts.items() if n >= OFTEN))})
-    x = np.zeros((len(rows), len(chain.features)))
-    for k, row in enumerate(rows):
-        x[k, [chain.features[f] for f in row if f in chain.features]] = 1
+    x = Rows([[chain.features[f] for f in row if f in chain.features] for row in rows], len(chain.features))
     y = np.array([label for page in pages for _, label in page])
     return chain.fit(x, y, np.array(list(map(len, pages))))
 
