@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, bpe_count, clusters, decontam, extraction, katz, line_dedup, phrases, quality, simhash, substrings, token_files, toxicity
+from . import bpe_codec, bpe_count, clusters, decontam, extraction, katz, line_dedup, phrases, quality, simhash, store, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_folder(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with all that it writes in one folder, which ``store.done`` drops."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with store.folder(spark, query.__name__) as path:
+            out = query(spark, sf_dir)
+        out.stored_in = path
+        return out
+
+    return run
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -84,6 +100,7 @@ QUERIES = {
     "op12_collocations": op12_collocations,
     "op13_main_text": op13_main_text,
 }
+QUERIES = {name: _in_folder(query) for name, query in QUERIES.items()}
 #: Where SQL can say the same; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_ledger": quality.ORACLE_SQL,

@@ -1,14 +1,23 @@
-"""Tables written to the shared folder, which cut lineage and outlive executors."""
+"""Tables written to the shared folder, which cut lineage and outlive executors.
+
+What a query writes is in one folder (``folder``), which goes when the JVM ends or, once its
+result has been read, by ``done``.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset on a local master (tests), one of our own."""
@@ -21,9 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A fresh folder, in which tables are written until the context ends."""
+    path = new_path(spark, name)
+    token = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(token)
+
+
+def done(df: DataFrame) -> None:
+    """Drop all that a query of ``queries`` has written for a result that nothing will read again."""
+    drop(df.sparkSession, df.stored_in)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh place in the folder that is open or in the shared one, removed when the session's JVM ends."""
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, at = _hadoop(spark, path)
     fs.deleteOnExit(at)
     return path

@@ -47,6 +47,19 @@ def test_query_equals_sql(spark, docs_dir, name):
     assert got and got == rows_of_sql(queries.ORACLE_SQL[name], docs_dir)
 
 
+def test_what_a_query_writes_is_in_one_folder(spark, docs_dir):
+    from pathlib import Path
+
+    from tessera.llm import store
+
+    shared = Path(store.shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    out = queries.QUERIES["op8_simhash"](spark, docs_dir)
+    assert out.count() and len({p.name for p in set(shared.iterdir()) - before if p.name.startswith("op8_simhash-")}) == 1
+    store.done(out)
+    assert not [p for p in set(shared.iterdir()) - before if p.name.startswith("op8_simhash-")]
+
+
 # toxicity
 
 
