@@ -38,6 +38,7 @@ class Block(NamedTuple):
     around: frozenset  # of the elements around it: their names, and words of their classes, ids and roles
     parent: str
     linked: float  # share of the characters that are links
+    apart: int = 0  # whether it stands among other elements than the block before, its own aside
 
 
 def class_words(attributes: str) -> frozenset[str]:
@@ -51,7 +52,7 @@ class Reader:
     """Reads pages; of the words of classes and ids it keeps those in ``known``, or all."""
 
     def __init__(self, known: frozenset[str] | None = None):
-        self.known, self.words, self.sets = known, {}, {}
+        self.known, self.words, self.sets, self.inner = known, {}, {}, {}
 
     def _features(self, name: str, attributes: str) -> frozenset[str]:
         key = (name, attributes)
@@ -74,6 +75,14 @@ class Reader:
             self.sets.clear()
         return self.sets.setdefault(out, out)
 
+    def _within(self, around: frozenset, parent: str) -> frozenset:
+        key = (around, parent)
+        if (got := self.inner.get(key)) is None:
+            if len(self.inner) >= REMEMBERED:
+                self.inner.clear()
+            got = self.inner[key] = around - {f"<{parent}"}
+        return got
+
     def blocks(self, page: str) -> list[Block]:
         out: list[Block] = []
         stack: list[tuple[str, frozenset]] = []  # open elements, and what is around what follows their end
@@ -88,7 +97,8 @@ class Reader:
                 text = " ".join("".join(pieces).split())
                 if text:
                     parent = next((name for name, _ in reversed(stack) if name not in INLINE), "")
-                    out.append(Block(text, around, parent, min(1.0, linked / len(text))))
+                    within = self._within(around, parent)
+                    out.append(Block(text, around, parent, min(1.0, linked / len(text)), int(bool(out) and within != self._within(out[-1].around, out[-1].parent))))
                 pieces.clear()
             linked = 0
 

@@ -143,21 +143,22 @@ def test_field_gradients_equal_finite_differences():
     g = np.random.Generator(np.random.PCG64(3))
     sizes = np.array([4, 1, 6])
     x, y = (g.random((11, 5)) < 0.4).astype(float), g.integers(0, 2, 11)
-    chain = crf.Chain({str(k): k for k in range(5)})
+    chain = crf.Chain({str(k): k for k in range(5)}, 2)
+    kinds = g.integers(0, 2, 11)
     parts = [chain.weights, chain.steps, chain.ends]
     for p in parts:
         p[...] = g.normal(size=p.shape)
     x[:, 0] = 1
     rows = crf.Rows([np.flatnonzero(r).tolist() for r in x], 5)
-    assert abs(chain.loss(rows, y, sizes, 0.3)[0] - chain.loss(x, y, sizes, 0.3)[0]) < 1e-9
-    _, gradients = chain.loss(rows, y, sizes, 0.3)
+    assert abs(chain.loss(rows, y, sizes, 0.3, kinds)[0] - chain.loss(x, y, sizes, 0.3, kinds)[0]) < 1e-9
+    _, gradients = chain.loss(rows, y, sizes, 0.3, kinds)
     for p, grad in zip(parts, gradients):
         for at in np.ndindex(p.shape):
             old, h = p[at], 1e-5
             p[at] = old + h
-            up = chain.loss(x, y, sizes, 0.3)[0]
+            up = chain.loss(x, y, sizes, 0.3, kinds)[0]
             p[at] = old - h
-            down = chain.loss(x, y, sizes, 0.3)[0]
+            down = chain.loss(x, y, sizes, 0.3, kinds)[0]
             p[at] = old
             assert abs((up - down) / (2 * h) - grad[at]) < 1e-5
 
@@ -166,16 +167,16 @@ def test_field_loss_and_viterbi_equal_all_paths():
     g = np.random.Generator(np.random.PCG64(4))
     for n in range(1, 8):
         x, y = g.normal(size=(n, 3)), g.integers(0, 2, n)
-        chain = crf.Chain({str(k): k for k in range(3)})
-        chain.weights, chain.steps, chain.ends = g.normal(size=3), g.normal(size=(2, 2)), g.normal(size=2)
+        chain, kinds = crf.Chain({str(k): k for k in range(3)}, 3), g.integers(0, 3, n)
+        chain.weights, chain.steps, chain.ends = g.normal(size=3), g.normal(size=(3, 2, 2)), g.normal(size=2)
         own = x @ chain.weights
 
-        def worth(path, own=own, c=chain):
-            return sum(s for s, p in zip(own, path) if p) + sum(c.steps[a, b] for a, b in itertools.pairwise(path)) + c.ends[0] * path[0] + c.ends[1] * path[-1]
+        def worth(path, own=own, c=chain, kinds=kinds):
+            return sum(s for s, p in zip(own, path) if p) + sum(c.steps[k, a, b] for k, (a, b) in zip(kinds[1:], itertools.pairwise(path))) + c.ends[0] * path[0] + c.ends[1] * path[-1]
 
         every = list(itertools.product((0, 1), repeat=n))
-        assert abs(math.log(sum(math.exp(worth(p)) for p in every)) - worth(tuple(y)) - chain.loss(x, y, np.array([n]))[0]) < 1e-9
-        assert tuple(crf.viterbi(own.tolist(), chain.steps.tolist(), chain.ends.tolist())) == max(every, key=worth)
+        assert abs(math.log(sum(math.exp(worth(p)) for p in every)) - worth(tuple(y)) - chain.loss(x, y, np.array([n]), 0.0, kinds)[0]) < 1e-9
+        assert tuple(crf.viterbi(own.tolist(), chain.steps.tolist(), chain.ends.tolist(), kinds.tolist())) == max(every, key=worth)
     assert crf.viterbi([], [[0, 0], [0, 0]], [0, 0]) == []
 
 
