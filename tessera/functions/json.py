@@ -39,12 +39,13 @@ def is_json(text: Column) -> Column:
     return F.coalesce((F.size(both) == 2) & (F.get(both, F.lit(1)) == mark), F.lit(False))
 
 
-def is_object(text: Column) -> Column:
-    return is_json(text) & text.rlike(r"^[\t\n\r ]*\{")
+def begins(text: Column, pattern: str) -> Column:
+    """Whether a text's value begins with what a pattern matches; of one JSON value that tells its kind."""
+    return text.rlike(rf"^[\t\n\r ]*{pattern}")
 
 
-def is_null(text: Column) -> Column:
-    return is_json(text) & text.rlike(r"^[\t\n\r ]*null")
+def is_object(text: Column) -> Column:
+    return begins(text, r"\{") & is_json(text)
 
 
 def field(text: Column, name: str, kind: str = "variant") -> Column:
@@ -56,6 +57,11 @@ def field(text: Column, name: str, kind: str = "variant") -> Column:
     return F.from_json(text, f"`{name}` {kind}", _STRICT)[name]
 
 
+def fields(text: Column, names: tuple[str, ...], kind: str = "variant") -> Column:
+    """Several of an object's fields as a struct, as ``field`` gives them, read at once."""
+    return F.from_json(text, ", ".join(f"`{n}` {kind}" for n in names), _STRICT)
+
+
 def is_string(found: Column, raw: Column) -> Column:
     """Whether the last field of a name, found as a variant and as a string, is a string."""
     return F.coalesce((kind(found) == "STRING") & (F.try_variant_get(found, "$", "string") == raw), F.lit(False))
@@ -83,8 +89,10 @@ def number_text(x: Column) -> Column:
             unit = F.pow(F.lit(10), size - k).cast("bigint")
             return _div(whole + _div(unit, F.lit(2)), unit)
 
-        enough = F.filter(F.sequence(F.lit(1), size), lambda k: F.concat(cut(k).cast("string"), F.lit("E"), (point - k).cast("string")).cast("double") == p["size"])
-        return let(F.get(enough, F.lit(0)), lambda k: F.struct(cut(k).cast("string").alias("digits"), (point - k).alias("scale")))
+        enough = lambda k: F.concat(cut(k).cast("string"), F.lit("E"), (point - k).cast("string")).cast("double") == p["size"]
+        # the digits given are nearly always the fewest; if one less doesn't do, fewer don't
+        fewest = F.when((size == 1) | ~enough(size - 1), size).otherwise(F.get(F.filter(F.sequence(F.lit(1), size), enough), F.lit(0)))
+        return let(fewest, lambda k: F.struct(cut(k).cast("string").alias("digits"), (point - k).alias("scale")))
 
     def written(s: Column) -> Column:
         d = F.rtrim(s["digits"], F.lit("0"))
@@ -109,7 +117,8 @@ def number_text(x: Column) -> Column:
 
     sign = F.when(x < 0, "-").otherwise("")
     infinite = F.abs(x) == float("inf")
-    return F.when(x == 0, "0").when(infinite, F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, let(F.abs(x), positive)))
+    whole = (F.abs(x) < float(1 << 53)) & (F.floor(x) == x)
+    return F.when(whole, x.cast("bigint").cast("string")).when(infinite, F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, let(F.abs(x), positive)))
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import json as J
 from tessera.functions.text import js_trim, text
-from tessera.sources.schemas import REQUEST, REQUEST_FIELDS, RESPONSE
+from tessera.sources.schemas import REQUEST_FIELDS, RESPONSE
 
 TRIMMED = ("first_name", "last_name", "email")
 
@@ -28,16 +30,15 @@ def is_bound(body: Column) -> Column:
     Of a key that is given twice the last one counts, and nothing may follow the object.
     """
     text = J.body_text(body)
-    bound = J.is_object(text)
-    for f in REQUEST_FIELDS:
-        bound = bound & J.is_string(J.field(text, f), J.field(text, f, "string"))
-    return F.coalesce(bound, F.lit(False))
+    both = F.struct(J.fields(text, REQUEST_FIELDS).alias("found"), J.fields(text, REQUEST_FIELDS, "string").alias("raw"))
+    strings = J.let(both, lambda b: functools.reduce(Column.__and__, [J.is_string(b["found"][f], b["raw"][f]) for f in REQUEST_FIELDS]))
+    return F.coalesce(J.is_object(text) & strings, F.lit(False))
 
 
 def bind(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Bodies that bind, with their fields as columns."""
-    bound, text = bodies.where(is_bound(F.col(body))), J.body_text(F.col(body))
-    return bound.withColumns({f.name: J.field(text, f.name, f.dataType.simpleString()) for f in REQUEST}).drop(body)
+    got = bodies.where(is_bound(F.col(body))).withColumn(body, J.fields(J.body_text(F.col(body)), REQUEST_FIELDS, "string"))
+    return got.withColumns({f: F.col(body)[f] for f in REQUEST_FIELDS}).drop(body)
 
 
 def response(accepted: DataFrame) -> DataFrame:

@@ -48,16 +48,15 @@ def signup_outcome(status: Column, body: Column) -> Column:
     objects have a message; of several in one the last counts.
     """
 
-    def shown(text: Column) -> Column:
-        return (
-            F.when(status.isNull() | ~F.coalesce(J.is_json(text), F.lit(False)), UNREACHABLE)
-            .when(~status.between(200, 299), FAILED)
-            .when(J.is_null(text), UNREACHABLE)
-            .when(~J.is_object(text), DEFAULT)
-            .otherwise(J.let(F.struct(J.field(text, "message").alias("found"), J.field(text, "message", "string").alias("raw")), lambda m: message_text(J.value(m["found"], m["raw"]), m["raw"])))
-        )
-
-    return J.let(J.body_text(body), shown)
+    text = J.body_text(body)
+    message = F.struct(J.field(text, "message").alias("found"), J.field(text, "message", "string").alias("raw"))
+    return (
+        F.when(status.isNull() | ~F.coalesce(J.is_json(text), F.lit(False)), UNREACHABLE)
+        .when(~status.between(200, 299), FAILED)
+        .when(J.begins(text, "null"), UNREACHABLE)  # one JSON value, as the text is here, is null if it begins so
+        .when(~J.begins(text, r"\{"), DEFAULT)
+        .otherwise(J.let(message, lambda m: message_text(J.value(m["found"], m["raw"]), m["raw"])))
+    )
 
 
 def forgot_password(clicks: DataFrame) -> DataFrame:
