@@ -144,6 +144,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     blocks = store.bucketed(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(_numbered, _BLOCKS), "blocks", n, "block")
     listed = blocks.where("ids is null").select("block", "body").mapInArrow(_listed, "word string, block bigint, place int")
     listed = store.bucketed(listed.repartition(n, "word"), "listed", n, "word")
+    store.release(spark)  # the shuffle's files
 
     def encode(batches):
         tokenizer = encoder(vocabulary)
