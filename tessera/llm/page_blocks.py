@@ -29,8 +29,8 @@ _CLASS = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 _CUE = re.compile(r"©|cookie|copyright|rights reserved|privacy|subscrib|newsletter|sign (?:in|up)|log ?in|password|comment|repl(?:y|ies)|share|advert|sponsor", re.IGNORECASE)
-#: Names that are remembered at once; beyond that they are worked out again.
-REMEMBERED = 50_000
+#: Names that are remembered at once, and the longest attributes; beyond that they are worked out again.
+REMEMBERED, SHORT = 50_000, 200
 
 
 class Block(NamedTuple):
@@ -56,14 +56,15 @@ class Reader:
 
     def _features(self, name: str, attributes: str) -> frozenset[str]:
         key = (name, attributes)
-        got = self.words.get(key)
+        got = self.words.get(key) if len(attributes) <= SHORT else None
         if got is None:
             got = class_words(attributes) if "=" in attributes else frozenset()
             got = got if self.known is None else got & self.known
             got |= {f"<{name}"} if name in NAMED else frozenset()
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
-            self.words[key] = got
+            if len(attributes) <= SHORT:
+                self.words[key] = got
         return got
 
     def _joined(self, around: frozenset, more: frozenset) -> frozenset:
