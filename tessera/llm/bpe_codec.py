@@ -3,7 +3,9 @@
 1. Spark splits texts into words. Blocks of documents, written once, hold their words as
    numbers, and list what each of these places stands for.
 2. The lists, a row for each block and word, become a table that is bucketed by word. Its
-   distinct words are encoded once each by the vocabulary's own library.
+   distinct words are encoded once each by the vocabulary's own library. Rows travel in
+   packets, one for each bucket among some rows of a task, so that there are never more
+   packets than rows; so they do on the way back.
 3. Decoding is a join: each id of a distinct word, with its place in it, meets the
    id-to-piece table, whose size is the vocabulary's, and a word's pieces are put together.
 4. Encoded words are joined with the lists by word, without a shuffle, and their ids go
@@ -30,6 +32,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,10 @@ from . import store
 
 BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
 #: Before an ASCII blank, but not after a blank of any kind, or a control that some engines take for one.
-CUT = r"(?<=[^\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff])(?=[\t-\r ])"
+#: The blank is looked for first: Java tries both at each character, and few are blanks.
+CUT = r"(?=[\t-\r ])(?<=[^\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff])"
+#: Rows and bytes that make packets.
+PACKET_ROWS, PACKET_BYTES = 1 << 18, 16 << 20
 _BLOCKS = "block bigint, ids array<bigint>, body binary"
 _ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())])
 
@@ -115,16 +121,78 @@ def _numbered(batches, limit: int = BLOCK_BYTES, chunk: int = CHUNK_BYTES):
         yield row(None, X.pack([w.encode() for w in own]))
 
 
+def _strings(blob: bytes) -> pa.Array:
+    """What ``X.pack`` was given, without an object for each."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data).slice(4 + 4 * n)])
+
+
 def _listed(batches):
     """(word, block, place) of blocks' words."""
     for b in batches:
         for block, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = X.unpack(body)
+            words = _strings(body)
             for k in range(0, len(words), 50_000):
-                some = pa.array(words[k : k + 50_000], pa.binary()).cast(pa.string())
+                some = words.slice(k, 50_000).cast(pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), block)), pa.array(np.arange(k, k + len(some), dtype=np.int32))], names=["word", "block", "place"])
 
 
+def _packets(batches, limit: int = PACKET_ROWS, most: int = PACKET_BYTES):
+    """(key, blob) of rows of a key, integers and strings: those of a key among ``limit`` rows in one frame, by the last integer."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        if b.num_rows:
+            held, rows, size = [*held, b], rows + b.num_rows, size + b.nbytes
+        if rows >= limit or size >= most:
+            yield from _framed(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield from _framed(held)
+
+
+def _framed(batches: list[pa.RecordBatch]):
+    table = pa.Table.from_batches(batches).combine_chunks()
+    whole = [k for k, t in enumerate(table.schema.types) if pa.types.is_integer(t)]
+    key, *numbers = (table.column(k).to_numpy().astype(np.int64) for k in whole)
+    by = np.lexsort((numbers[-1], key))
+    key, numbers = key[by], [x[by].view(np.uint64) for x in numbers]
+    texts = []
+    for k in range(len(whole), table.num_columns):
+        c = table.column(k).cast(pa.large_binary()).combine_chunks().take(pa.array(by))
+        sizes = pc.fill_null(pc.binary_length(c), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        data = c.buffers()[2]
+        texts.append((sizes, np.concatenate([[0], np.cumsum(np.maximum(sizes, 0), dtype=np.int64)]), memoryview(data) if data else memoryview(b"")))
+    lead = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0])).tolist()
+    blobs = []
+    for i, j in zip(lead, [*lead[1:], len(key)]):
+        blobs.append(X.press(*(X.deltas(x[i:j]) for x in numbers), *(part for sizes, at, data in texts for part in (sizes[i:j], bytes(data[at[i] : at[j]])))))
+    for k in range(0, len(lead), 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(key[lead[k : k + 1000]]), pa.array(blobs[k : k + 1000], pa.binary())], names=["key", "blob"])
+
+
+def _unframed(blob: bytes, numbers: int, texts: int) -> tuple[list[np.ndarray], list[pa.Array]]:
+    """Integers and strings of a packet."""
+    got = X.expand(blob, *[np.uint64] * numbers, *[np.int32, bytes] * texts)
+    columns = []
+    for sizes, data in zip(got[numbers::2], got[numbers + 1 :: 2]):
+        ends = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0), dtype=np.int64)])
+        valid = pa.py_buffer(np.packbits(sizes >= 0, bitorder="little").tobytes()) if (sizes < 0).any() else None
+        columns.append(pa.Array.from_buffers(pa.large_binary(), len(sizes), [valid, pa.py_buffer(ends), pa.py_buffer(data)]))
+    return [np.cumsum(x, dtype=np.uint64).view(np.int64) for x in got[:numbers]], columns
+
+
+def _unlisted(batches):
+    """The rows of ``_listed`` from packets."""
+    for b in batches:
+        for blob in b.column(0).to_pylist():
+            (block, place), (words,) = _unframed(blob, 2, 1)
+            for k in range(0, len(place), 50_000):
+                some = words.slice(k, 50_000).cast(pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([some, pa.array(block[k : k + 50_000]), pa.array(place[k : k + 50_000].astype(np.int32))], names=["word", "block", "place"])
+
+
 def _joined(column: pa.Array, places: np.ndarray, ends: np.ndarray) -> list[memoryview]:
     """The column's values at runs of places, each run put together."""
     _, offsets, data = column.take(pa.array(places)).buffers()
@@ -140,10 +208,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     decoded. A digest is of the decimal ids joined by commas, or of the UTF-8 text.
     """
     spark, n = docs.sparkSession, X.partitions(docs)
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda w: w != "")
+    words = F.when(F.length("text") > 0, F.split("text", CUT, -1)).otherwise(F.array().cast("array<string>"))
     blocks = store.bucketed(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(_numbered, _BLOCKS), "blocks", n, "block")
     listed = blocks.where("ids is null").select("block", "body").mapInArrow(_listed, "word string, block bigint, place int")
-    listed = store.bucketed(listed.repartition(n, "word"), "listed", n, "word")
+    dealt = listed.select(F.expr(f"pmod(hash(word), {n})").cast("bigint").alias("bucket"), "block", "place", "word").mapInArrow(_packets, "bucket bigint, blob binary")  # as a bucketed table has it
+    listed = dealt.repartitionById(n, F.col("bucket").cast("int")).select("blob").mapInArrow(_unlisted, "word string, block bigint, place int")
+    listed = store.bucketed(listed, "listed", n, "word")
     store.release(spark)  # the shuffle's files
 
     def encode(batches):
@@ -165,20 +235,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     packed = together(lambda x: F.unhex(F.lpad(F.hex(x["id"]), 2 * width, "0")))
     back = together(lambda x: x["piece"])
     coded = own.select("word", packed.alias("packed"), F.when(back != F.encode("word", "UTF-8"), back).alias("other"))
-    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("packed", F.lit(b"")).alias("packed"), "other")
+    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("packed", F.lit(b"")).alias("packed"), "other").mapInArrow(_packets, "home bigint, blob binary")
     kind = f">u{width}"
     fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *fields])
 
     def finish(known: pa.Table, rows: pa.Table) -> pa.Table:
-        packed, own = np.empty(known.num_rows, object), []
-        packed[known.column("place").to_numpy()] = known.column("packed").to_pylist()
+        got = [_unframed(blob, 1, 2) for blob in known.column("blob").to_pylist()]
         texts, bodies = rows.column("ids").to_pylist(), rows.column("body").to_pylist()
-        for ids, body in zip(texts, bodies, strict=True):
-            own = X.unpack(body) if ids is None else own
-        for place, other in zip(*(known.filter(pc.is_valid(known.column("other"))).column(c).to_pylist() for c in ("place", "other"))):
-            own[place] = other
-        ids_of, piece_of = pa.array(packed.tolist(), pa.large_binary()), pa.array(own, pa.large_binary())
+        piece_of = next((_strings(body) for ids, body in zip(texts, bodies, strict=True) if ids is None), pa.array([], pa.large_binary()))
+        at = np.empty(len(piece_of), np.int64)
+        if got:
+            at[np.concatenate([places for (places,), _ in got])] = np.arange(len(at))
+        ids_of, others = (pa.concat_arrays([strings[k] for _, strings in got] or [piece_of]) for k in (0, 1))
+        if got and others.null_count < len(others):
+            piece_of = pc.coalesce(others.take(pa.array(at)), piece_of)
         decimal = pa.array([b"%d," % i for i in range(1 << 16)], pa.large_binary()) if kind == ">u2" else None
         done = []
         for doc_ids, body in zip(texts, bodies, strict=True):
@@ -187,7 +258,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             sizes, places = X.expand(body, np.int64, np.uint32)
             ends = np.cumsum(sizes)
             back = [str(x, "utf-8", "replace") for x in _joined(piece_of, places, ends)]
-            ids = [np.frombuffer(x, kind) for x in _joined(ids_of, places, ends)]
+            ids = [np.frombuffer(x, kind) for x in _joined(ids_of, at[places], ends)]
             if not digests:
                 columns = [x.astype(np.int32) for x in ids], back
             elif decimal is None:
