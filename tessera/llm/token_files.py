@@ -1,8 +1,8 @@
 """Operator 2: token ids in binary files, Huffman-coded from global counts.
 
 Texts are encoded by the vocabulary's own library, each new word of a task once (the
-pre-tokenizer drops blanks, so words parted by ASCII blanks are independent), and an
-end id is appended. Documents are dealt to parts by ranges of their ids, found from
+pre-tokenizer drops blanks, so words parted by ASCII blanks are independent; plain words
+are put together from pieces), and an end id is appended. Documents are dealt to parts by ranges of their ids, found from
 the id column alone. One canonical code is made from the counts of all ids (a table
 the size of the vocabulary). Spark sorts the documents of each part by id, and a task
 writes them as they come as independent blocks of whole documents with bit-offset
@@ -20,6 +20,7 @@ ignored; an empty table gives no blocks. A very long text is one block.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -30,41 +31,63 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import store
-from .bpe_codec import encode_words, encoder
+from .bpe_codec import encoder
 from .huffman import Code, code_lengths
 
 BLOCK_IDS = 1 << 18
 REMEMBERED = 1_000_000
 LEAST = -(1 << 63)
 
-#: Ids of words by vocabulary file, kept between the tasks of a worker.
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
-_ENCODERS: dict = {}
+#: How the vocabulary's own pre-tokenizer cuts words. Of ASCII without capitals and apostrophes, PIECES does the same.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN, PIECES = re.compile(rb"[!-&(-@\[-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
+#: Ids of words by vocabulary file and width, kept between the tasks of a worker.
+_KNOWN: dict[tuple[str, str], _Ids] = {}
 
-def _encode(texts: list[bytes], vocabulary: str, wide: str, end: bytes) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian bytes."""
-    known = _KNOWN.setdefault(vocabulary, {})
-    tokenizer = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, encoder(vocabulary))
-    out = []
-    for i, j in _some(texts):
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts[i:j]]
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        ids, counts = encode_words(tokenizer, new)
-        flat, size = ids.astype(wide).tobytes(), np.dtype(wide).itemsize
-        ends = (np.cumsum(counts, dtype=np.int64) * size).tolist()
-        known.update(zip(new, [flat[s:e] for s, e in zip([0, *ends], ends)]))
-        out += [b"".join(map(known.__getitem__, ws)) + end for ws in split]
-    return out
 
+class _Ids(dict):
+    """Ids of words as little-endian bytes, worked out when a word is first asked for.
+
+    Plain words are put together from their pieces, which the library's model encodes
+    without its normalizer and pre-tokenizer; all others go through the whole library.
+    """
+
+    def __init__(self, vocabulary: str, wide: str):
+        super().__init__()
+        self.tokenizer, self.width = encoder(vocabulary), np.dtype(wide).itemsize
+        self.model = self.tokenizer.model if _cuts_plainly(vocabulary) else None
+
+    def __missing__(self, word: bytes) -> bytes:
+        if self.model is None or not PLAIN.fullmatch(word) or b"<|" in word:
+            ids = self.tokenizer.encode([word.decode()], is_pretokenized=True, add_special_tokens=False).ids
+            out = b"".join([i.to_bytes(self.width, "little") for i in ids])
+        elif len(pieces := PIECES.findall(word)) > 1:
+            out = b"".join(map(self.__getitem__, pieces))
+        else:
+            out = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(word.decode())])
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out
+        return out
 
-def _some(texts: list[bytes], limit: int = 4 << 20):
-    from .words import some_at_once
 
-    return some_at_once(texts, limit)
+def _cuts_plainly(vocabulary: str) -> bool:
+    """Whether the vocabulary leaves lower-case ASCII as it is and cuts it as PIECES does."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if not all(n in ({"type": "NFC"}, {"type": "Lowercase"}, blanks) for n in (spec["normalizer"] or {}).get("normalizers", [])):
+        return False
+    split, *more = spec["pre_tokenizer"]["pretokenizers"]
+    own = split == {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True}
+    return own and [(m["type"], m.get("add_prefix_space"), m.get("use_regex")) for m in more] == [("ByteLevel", False, False)]
+
+
+def _encode(texts: list[bytes], vocabulary: str, wide: str, end: bytes) -> list[bytes]:
+    """Ids of each text and the end id, as little-endian bytes."""
+    known = _KNOWN.get((vocabulary, wide)) or _KNOWN.setdefault((vocabulary, wide), _Ids(vocabulary, wide))
+    return [b"".join(map(known.__getitem__, (t if b"<|" in t else t.lower()).split())) + end for t in texts]
 
 
 def _vocabulary_size(vocabulary: str) -> tuple[int, str]:

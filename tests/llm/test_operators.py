@@ -253,6 +253,22 @@ def test_token_files(spark, docs_dir, texts):
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
 
 
+def test_plain_words_are_put_together_from_pieces(texts, monkeypatch):
+    path, rng, t = public_tokenizers.path("word_bpe_49k.json"), random.Random(5), _tokenizer("word_bpe_49k.json")
+    made = ["".join(rng.choices("abcdefst019.,;:!?-_()\"<>|/@#`~^{}[]'\x1c\x7f\u00e9", k=rng.randint(1, 9))) for _ in range(4000)]
+    odd = ["don't", "'s", "a's.", "it'll", "x1y22", "<|endoftext|>", "a<|endoftext|>b", "<|", "ABC,def", "e\u0301!", "\u00c9a", "l\u1e9e"]
+    every = [x for _, x in texts] + made + odd + [" ".join(made[k : k + 40]) for k in range(0, 4000, 40)]
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u2").tobytes() for x in every]
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(token_files, "REMEMBERED", most)
+        monkeypatch.setattr(token_files, "_KNOWN", {})
+        assert token_files._encode([x.encode() for x in every], path, "<u2", b"\2\0") == want
+    monkeypatch.setattr(token_files, "_KNOWN", {})
+    whole = token_files._Ids(path, "<u2")
+    whole.tokenizer = None  # plain words go by their pieces alone, each encoded once
+    assert whole[b"word,"] == whole[b"word"] + whole[b","] and set(whole) == {b"word", b",", b"word,"}
+
+
 def test_token_files_with_one_hot_id(spark, tmp_path):
     docs = spark.createDataFrame([(7, f"text {k}") for k in range(300)] + [(k, "x") for k in range(5)], "doc_id long, text string").repartition(4)
     token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "f"))
