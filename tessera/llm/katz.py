@@ -242,6 +242,13 @@ class Block:
         return value
 
 
+def _paired(code: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of pairs (code, word < n) in their order, of which each can be paired with a word once more."""
+    if not len(code) or (int(code.max()) + 1) * n * n <= 1 << 63:
+        return code * n + word  # no need to sort them to get smaller ones
+    return np.unique(code * n + word, return_inverse=True)[1]
+
+
 class Grams:
     """Distinct n-grams of a block. spot: a token at which each ends; of: the n-gram of each token; by: their order in lists."""
 
@@ -249,7 +256,7 @@ class Grams:
         self.words, n = words, len(b.times)
         code = words[1]
         for w in words[2:]:
-            code = np.unique(code * n + w, return_inverse=True)[1]
+            code = _paired(code, w, n)
         code = code * n + words[0]
         by = np.argsort(code)
         new = np.concatenate([[True], np.diff(code[by]) > 0])
@@ -340,7 +347,7 @@ def _counted(batches, order: int, model: Model):
     lists = [x[0] for x in lists]
     before = words[1]
     for w in words[2:]:
-        before = np.unique(before * len(every) + w, return_inverse=True)[1]
+        before = _paired(before, w, len(every))
     code = before * len(every) + words[0]
     by = np.argsort(code)
     new = np.concatenate([[True], np.diff(code[by]) > 0])

@@ -330,6 +330,20 @@ def test_katz_equals_brute_force(spark, docs_dir, texts, monkeypatch, order, buc
         assert g[:5] == x[:5] and math.isclose(g[5], x[5], abs_tol=1e-6) and math.isclose(g[6], x[6], abs_tol=1e-6)
 
 
+def test_katz_pairs_words_without_sorting_where_numbers_fit(monkeypatch):
+    rng = np.random.default_rng(3)
+    unique, sorts = np.unique, []
+    monkeypatch.setattr(katz.np, "unique", lambda *a, **b: sorts.append(1) or unique(*a, **b))
+    for n, sorted_once in ((1000, 0), (1 << 20, 0), (1 << 22, 1)):
+        words = [rng.integers(max(0, n - 50), n, 4000) for _ in range(3)]
+        sorts.clear()
+        code = katz._paired(words[0], words[1], n)
+        assert len(sorts) == sorted_once and (int(code.max()) + 1) * n <= 1 << 63
+        code = code * n + words[2]
+        assert (unique(code, return_inverse=True)[1] == unique(np.stack(words), axis=1, return_inverse=True)[1].ravel()).all()
+    assert len(katz._paired(np.zeros(0, np.int64), np.zeros(0, np.int64), 5)) == 0
+
+
 def test_katz_survives_another_split_of_its_files(spark, docs_dir):
     want = _rows(katz.score(_docs(spark, docs_dir)), "doc_id", "n_tokens", "n_known")
     later = katz.score(_docs(spark, docs_dir))
