@@ -209,10 +209,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
     spark, n = docs.sparkSession, X.partitions(docs)
     words = F.when(F.length("text") > 0, F.split("text", CUT, -1)).otherwise(F.array().cast("array<string>"))
-    blocks = store.bucketed(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(_numbered, _BLOCKS), "blocks", n, "block")
-    listed = blocks.where("ids is null").select("block", "body").mapInArrow(_listed, "word string, block bigint, place int")
-    dealt = listed.select(F.expr(f"pmod(hash(word), {n})").cast("bigint").alias("bucket"), "block", "place", "word").mapInArrow(_packets, "bucket bigint, blob binary")  # as a bucketed table has it
-    listed = dealt.repartitionById(n, F.col("bucket").cast("int")).select("blob").mapInArrow(_unlisted, "word string, block bigint, place int")
+    blocks = store.bucketed(X.plain(docs, id_col, text_col).select("doc_id", words.alias("words")).mapInArrow(X.tidy(_numbered), _BLOCKS), "blocks", n, "block")
+    listed = blocks.where("ids is null").select("block", "body").mapInArrow(X.tidy(_listed), "word string, block bigint, place int")
+    dealt = listed.select(F.expr(f"pmod(hash(word), {n})").cast("bigint").alias("bucket"), "block", "place", "word").mapInArrow(X.tidy(_packets), "bucket bigint, blob binary")  # as a bucketed table has it
+    listed = dealt.repartitionById(n, F.col("bucket").cast("int")).select("blob").mapInArrow(X.tidy(_unlisted), "word string, block bigint, place int")
     listed = store.bucketed(listed, "listed", n, "word")
     store.release(spark)  # the shuffle's files
 
@@ -224,10 +224,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["word", "ids"])
 
-    encoded = store.bucketed(listed.select("word").distinct().mapInArrow(encode, "word string, ids array<int>"), "encoded", n, "word")
+    encoded = store.bucketed(listed.select("word").distinct().mapInArrow(X.tidy(encode), "word string, ids array<int>"), "encoded", n, "word")
     table = pieces(vocabulary)
     width = 2 if max(table) < 1 << 16 else 4
-    table = spark.createDataFrame([(i, bytearray(p)) for i, p in table.items()], "id int, piece binary")  # as long as the vocabulary
+    table = spark.createDataFrame(pa.table({"id": pa.array(list(table), pa.int32()), "piece": pa.array(list(table.values()), pa.binary())}))  # as long as the vocabulary; from rows, Spark would start workers of a second kind
     met = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
     piece = F.coalesce("piece", F.raise_error(F.lit("an id without a piece")).cast("binary"))
     own = met.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", piece.alias("piece")))).alias("own"))
@@ -235,12 +235,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     packed = together(lambda x: F.unhex(F.lpad(F.hex(x["id"]), 2 * width, "0")))
     back = together(lambda x: x["piece"])
     coded = own.select("word", packed.alias("packed"), F.when(back != F.encode("word", "UTF-8"), back).alias("other"))
-    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("packed", F.lit(b"")).alias("packed"), "other").mapInArrow(_packets, "home bigint, blob binary")
+    answers = listed.join(coded, "word", "left").select(F.col("block").alias("home"), "place", F.coalesce("packed", F.lit(b"")).alias("packed"), "other").mapInArrow(X.tidy(_packets), "home bigint, blob binary")
     kind = f">u{width}"
     fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *fields])
 
     def finish(known: pa.Table, rows: pa.Table) -> pa.Table:
+        try:
+            return whole(known, rows)
+        finally:
+            X.give_back()
+
+    def whole(known: pa.Table, rows: pa.Table) -> pa.Table:
         got = [_unframed(blob, 1, 2) for blob in known.column("blob").to_pylist()]
         texts, bodies = rows.column("ids").to_pylist(), rows.column("body").to_pylist()
         piece_of = next((_strings(body) for ids, body in zip(texts, bodies, strict=True) if ids is None), pa.array([], pa.large_binary()))

@@ -47,7 +47,7 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
                     found = sorted({w.text(j, min(j + size, n)) for j in range(k, min(k + 4096, max(n - size + 1, 1)))})
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.string()), pa.array([f.decode() for f in found])], names=["item_id", "window"])
 
-    return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item_id string, window string").distinct()
+    return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(X.tidy(run), "item_id string, window string").distinct()
 
 
 def _keys(words: np.ndarray, size: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def shingles(wins: DataFrame) -> DataFrame:
                 out += [(t, high - low, size, place, key) for place, key in enumerate(_keys(h[low:high], size).view(np.int64).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return wins.mapInArrow(run, "window string, words int, size int, place int, key bigint")
+    return wins.mapInArrow(X.tidy(run), "window string, words int, size int, place int, key bigint")
 
 
 class Filter:
@@ -103,7 +103,7 @@ def rarity(docs: DataFrame, table: DataFrame) -> DataFrame:
                     found, n = np.unique(keys[chosen.passed(keys)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(X.tidy(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def candidates(docs: DataFrame, prefix: DataFrame, window: int) -> DataFrame:
                 row += j - i
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.mapInArrow(run, "row bigint, doc_id bigint, tag binary, n_words bigint, near array<struct<key:bigint,at:int,low:int,text:string>>")
+    return docs.mapInArrow(X.tidy(run), "row bigint, doc_id bigint, tag binary, n_words bigint, near array<struct<key:bigint,at:int,low:int,text:string>>")
 
 
 def occurrences(found: DataFrame, prefix: DataFrame) -> DataFrame:

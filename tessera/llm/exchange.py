@@ -13,6 +13,8 @@ compressed input.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -68,6 +70,25 @@ def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Return memory that is free to the system. A worker outlives its tasks, and would keep for each what its largest needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of batches for mapInArrow, whose worker gives memory back in the end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def glued_words(text: bytes) -> list[bytes]:
     """Cut before each ASCII blank that follows a non-blank character.
 

@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t or b"", size) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps.view(np.int64))], names=["doc_id", *b.schema.names[2:], "fp"])
 
-    return docs.mapInArrow(run, ", ".join(["doc_id bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "fp bigint"]))
+    return docs.mapInArrow(X.tidy(run), ", ".join(["doc_id bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "fp bigint"]))
 
 
 def _stars(fps: np.ndarray, block: int = 1024) -> list[tuple[int, int]]:
@@ -134,7 +134,7 @@ def _bucket_edges(batches):
 def _compared(keyed: DataFrame) -> DataFrame:
     """Edges within the buckets of (mask, key, fp)."""
     dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return dealt.mapInArrow(_bucket_edges, "u bigint, v bigint")
+    return dealt.mapInArrow(X.tidy(_bucket_edges), "u bigint, v bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:

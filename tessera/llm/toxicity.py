@@ -215,7 +215,7 @@ def calibrate(texts: DataFrame, clean_ids: DataFrame, net: Network) -> dict[str
     """Thresholds by language, and for all rows under None, from the rows of (id, text, lang) in fold ASIDE whose ids are clean."""
     shared = texts.sparkSession.sparkContext.broadcast(net)
     rows = texts.where(fold(F.col("id")) == ASIDE).select(F.lit(0).alias("at"), "text", F.col("id").alias("of"), "lang")
-    scored = rows.mapInArrow(_scorer(shared), "of bigint, lang string, score double")
+    scored = rows.mapInArrow(X.tidy(_scorer(shared)), "of bigint, lang string, score double")
     least = float(np.log(LEAST / (1 - LEAST)))
     odds = F.log(F.col("score") / (1 - F.col("score")))
     bins = F.when(F.col("score") < LEAST, -1).otherwise(F.floor((odds - least) * BINS)).cast("int")
@@ -277,7 +277,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(net)
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.lit(0).alias("at"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("bigint").alias("doc_id"), lang.alias("lang"))
-    scored = rows.mapInArrow(_scorer(shared), "doc_id bigint, lang string, score double")
+    scored = rows.mapInArrow(X.tidy(_scorer(shared)), "doc_id bigint, lang string, score double")
     cuts = net.thresholds if net else {None: 1.0}
     threshold = F.lit(cuts[None])
     if own := [F.lit(x) for lang, cut in cuts.items() if lang is not None for x in (lang, cut)]:
@@ -300,7 +300,7 @@ def clean(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col
             texts = [t or b"" for t in b.column(text_at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(net.scores(texts) < limits, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)  # as ``rejected`` of ``score`` says
+    return docs.mapInArrow(X.tidy(run), docs.schema)  # as ``rejected`` of ``score`` says
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tessera.llm import bpe_codec, bpe_count, decontam, katz, line_dedup, quality, queries, simhash, substrings, token_files, toxicity
+from tessera.llm import bpe_codec, bpe_count, decontam, exchange, katz, line_dedup, quality, queries, simhash, substrings, token_files, toxicity
 from tessera.llm.components import components
 from tessera.llm.huffman import Code, code_lengths
 from tessera.llm.suffixes import Strings, merge_sort
@@ -330,6 +330,28 @@ def test_katz_equals_brute_force(spark, docs_dir, texts, monkeypatch, order, buc
         assert g[:5] == x[:5] and math.isclose(g[5], x[5], abs_tol=1e-6) and math.isclose(g[6], x[6], abs_tol=1e-6)
 
 
+def _resident() -> float:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+
+def test_workers_give_back_what_a_task_needed():
+    def run(batches):
+        for _ in batches:
+            held = [np.ones(12_000) for _ in range(3000)]  # 290 MB in pieces too small for maps of their own
+            yield held[-1]  # the last piece stays, so that the heap's top can't fall by itself
+
+    before = _resident()
+    kept = list(exchange.tidy(run)([0]))
+    assert len(kept[0]) == 12_000 and _resident() - before < 100
+
+
+def test_codec_starts_no_workers_for_its_vocabulary(spark, monkeypatch):
+    docs = spark.sql("select 1L as doc_id, 'a b' as text")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a: pytest.fail("rows went through workers for RDDs"))
+    assert bpe_codec.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=False).first().decoded == "a b"
+
+
 def test_katz_pairs_words_without_sorting_where_numbers_fit(monkeypatch):
     rng = np.random.default_rng(3)
     unique, sorts = np.unique, []
