@@ -47,6 +47,8 @@ from . import words as W
 
 ORDER, FOLDS, REACH, SLIVER = 3, 10, 5, 0.01
 BLOCK_BYTES = 14 << 20
+#: Entries of lists that a bucket counts at once, if no word before the last one has more of them.
+PART = 1 << 19
 START = 0  # its number in a block and in the word table
 #: Kinds of rows: answers to blocks have the order they are about, and come before the block itself.
 BLOCK, WORDS, TABLE, SUMS, HOT = 100, 101, 102, 103, 104
@@ -85,6 +87,11 @@ def discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(r < len(d), d[np.minimum(r, len(d) - 1).astype(np.int64)] * r, r - SLIVER)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in half the space where they fit."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+
+
 def _row(block=None, kind=None, seq=None, ids=None, head=None, body=None, n=None, s=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, kind, seq, ids, head, body, n, s), _ARROW, strict=True)], schema=_ARROW)
 
@@ -187,20 +194,19 @@ class Block:
     """The tokens of a block, and what its answers tell of them. All arrays go by token unless said otherwise."""
 
     def __init__(self, body: bytes, answers: dict[int, list[bytes]], model: Model, buckets: int):
-        self.sizes, word, train = X.expand(body, np.int64, np.int32, bytes)
+        self.sizes, self.word, train = X.expand(body, np.int64, np.int32, bytes)
         self.model, self.buckets, self.answers = model, buckets, answers
-        self.word = word.astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.unpackbits(np.frombuffer(train, np.uint8), count=len(self.sizes)).astype(bool)
         got = [X.expand(a, np.uint64, np.int64) for a in answers[1]]
         self.number = np.concatenate([np.zeros(1, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in got)])  # by word
         self.times = np.concatenate([np.array([model.starts]), *(g[1] for g in got)])  # by word
-        self.count = {1: self.times[self.word]}
+        self.count = {1: _narrow(self.times)[self.word]}
         self.history: dict[int, np.ndarray] = {}
 
     def before(self, values: np.ndarray, start: int) -> np.ndarray:
         """The values of the tokens before; ``start`` for the first of a text."""
-        out = np.empty_like(values)
+        out = np.empty(len(values), np.promote_types(values.dtype, np.min_scalar_type(start)))
         out[1:] = values[:-1]
         out[self.first] = start
         return out
@@ -219,7 +225,7 @@ class Block:
         got = [X.expand(a, np.int64, np.uint32, np.float64) for a in self.answers.get(order, [])]
         times = np.empty(len(g.spot), np.int64)
         times[g.by] = np.concatenate([x[0] for x in got])
-        self.count[order] = times[g.of]
+        self.count[order] = _narrow(times)[g.of]
         return g, [(x[1].reshape(-1, REACH + 1), x[2]) for x in got]
 
     def scores(self, order: int) -> np.ndarray:
@@ -239,6 +245,7 @@ class Block:
                 weight[rest] = m.weight(k, np.array(n), np.array(s), history[rest])
             own = np.where(seen > 0, discounted(seen, m.discounts[k]) / np.maximum(history, 1), 1)
             value = np.where(seen > 0, np.log10(own), weight + shorter)[g.of]
+            del g, sums  # before those of the next order are made
         return value
 
 
@@ -254,15 +261,18 @@ class Grams:
 
     def __init__(self, b: Block, order: int, words: list[np.ndarray]):
         self.words, n = words, len(b.times)
-        code = words[1]
+        code = words[1].astype(np.int64)
         for w in words[2:]:
             code = _paired(code, w, n)
         code = code * n + words[0]
         by = np.argsort(code)
-        new = np.concatenate([[True], np.diff(code[by]) > 0])
-        self.of = np.empty(len(code), np.int64)
+        code = code[by]
+        new = np.concatenate([[True], code[1:] > code[:-1]])
+        del code
+        self.of = np.empty(len(by), np.int32)
         self.of[by] = np.cumsum(new) - 1
         self.spot = by[new]
+        del by, new
         self.history = b.history[order][self.spot]
         key, deeper = W.mix(b.number[words[1][self.spot]]), b.history[2][self.spot] > b.model.limit
         self.told = deeper  # whether n-grams with the same shorter one are dealt to several buckets
@@ -315,7 +325,7 @@ def _listed(batches, order: int, model: Model, buckets: int):
         times = np.bincount(g.of[np.repeat(b.train, b.sizes)], minlength=len(g.spot)).astype(np.uint32)
         lower = under = np.zeros(len(times), np.int64)  # for single words the counts tell
         if order > 2:
-            lower, under = (np.where((times > 0) & g.told, a[g.spot], 0) for a in (b.count[order - 1], b.history[order - 1]))
+            lower, under = (np.where((times > 0) & g.told, a[g.spot], 0).astype(np.int64) for a in (b.count[order - 1], b.history[order - 1]))
         columns = times, lower, under, (g.history > 0) + np.uint8(2) * g.hot + np.uint8(4) * g.told
         place = np.zeros(len(b.times), np.int32)
         for k in np.flatnonzero(np.diff(g.cut)).tolist():
@@ -329,22 +339,54 @@ def _listed(batches, order: int, model: Model, buckets: int):
             yield _asked(k, block, X.press(X.deltas(b.number[at]), b.times[at] if order == 2 else np.zeros(len(at), np.int64), *(c[own] for c in columns), *_steps([place[w] for w in (*words[1:], words[0])])))
 
 
-def _counted(batches, order: int, model: Model):
-    """Answers of kind ``order``, the table of a bucket's n-grams, its sums, and those of hot histories."""
-    lists, bucket = [], None
+@dataclass
+class _List:
+    """A block's list in a bucket. words: numbers of its words, as places of them all once the bucket is read; the first by which lists are sorted."""
+
+    block: int
+    numbers: np.ndarray
+    columns: list[np.ndarray]  # training counts, those of the shorter n-gram and its history, and what is known of the own history
+    words: list[np.ndarray]
+
+
+def _counted(batches, order: int, model: Model, limit: int = PART):
+    """Answers of kind ``order``, the table of a bucket's n-grams, its sums, and those of hot histories.
+
+    Lists are sorted by the word before the last one, and all that is added up is of n-grams
+    with the same one. So a bucket is counted in parts, each of some of these words.
+    """
+    lists, of_words, bucket = [], [], None
     for batch in batches:
         for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            numbers, counts, *columns = X.expand(blob, *_KINDS, *[np.uint32] * order)
-            *before, last = _unsteps(columns[4:])
-            lists.append((block, np.cumsum(numbers, dtype=np.uint64), counts, [*columns[:4], last, *before]))
+            numbers, counts, times, lower, under, history, *words = X.expand(blob, *_KINDS, *[np.uint32] * order)
+            lists.append(_List(block, np.cumsum(numbers, dtype=np.uint64), [times, _narrow(lower), _narrow(under), history], [w.astype(np.uint32) for w in _unsteps(words)]))
+            of_words.append(_narrow(counts) if order == 2 else None)
     if bucket is None:
         return
-    every, at = np.unique(np.concatenate([x[1] for x in lists]), return_index=True)
-    of_word = np.concatenate([x[2] for x in lists])[at]
-    sizes = [len(x[3][0]) for x in lists]
-    times, lower, under, history = (np.concatenate([x[3][k] for x in lists]) for k in range(4))
-    words = [np.concatenate([np.searchsorted(every, x[1])[x[3][4 + k]] for x in lists]) for k in range(order)]
-    lists = [x[0] for x in lists]
+    every, at = np.unique(np.concatenate([x.numbers for x in lists]), return_index=True)
+    of_word = np.concatenate(of_words)[at] if order == 2 else None
+    del of_words, at
+    for x in lists:
+        place = np.searchsorted(every, x.numbers).astype(np.uint32)
+        x.words, x.numbers = [place[w] for w in x.words], None
+    lead = np.sort(np.concatenate([x.words[0] for x in lists]))
+    cuts = np.unique(lead[limit::limit])
+    del lead
+    bounds = [[0, *np.searchsorted(x.words[0], cuts).tolist(), len(x.words[0])] for x in lists]
+    answers = [[] for _ in lists]
+    for part in range(len(cuts) + 1):
+        own = [slice(b[part], b[part + 1]) for b in bounds]
+        columns = [np.concatenate([x.columns[k][o] for x, o in zip(lists, own)]) for k in range(4)]
+        *before, last = (np.concatenate([x.words[k][o] for x, o in zip(lists, own)]).astype(np.int64) for k in range(order))
+        if len(last):
+            yield from _part(order, model, bucket, every, of_word, columns, [last, *before], [o.stop - o.start for o in own], answers)
+    for x, got in zip(lists, answers):
+        yield _row(x.block, order, bucket, body=X.press(*(np.concatenate(a) for a in zip(*got))))
+
+
+def _part(order: int, model: Model, bucket: int, every: np.ndarray, of_word: np.ndarray | None, columns: list[np.ndarray], words: list[np.ndarray], sizes: list[int], answers: list[list]):
+    """Rows about one part of a bucket; what lists, of some sizes in it, are answered is added to ``answers``."""
+    times, lower, under, history = columns
     before = words[1]
     for w in words[2:]:
         before = _paired(before, w, len(every))
@@ -373,13 +415,17 @@ def _counted(batches, order: int, model: Model):
     below = np.bincount(group, np.where(seen, shorter, 0), minlength=groups)
     back = (total[of] == 0) & (history & 3 == 1)
     end = 0
-    for block, size in zip(lists, sizes):
+    for got, size in zip(answers, sizes):
         own = of[end : end + size]
         told = group[own[back[end : end + size]]]
-        yield _row(block, order, bucket, body=X.press(total[own], n[told].astype(np.uint32).ravel(), below[told]))
+        got.append((total[own], n[told].astype(np.uint32).ravel(), below[told]))
         end += size
     known = spot[seen]
-    yield _row(-1, TABLE, bucket, head=X.press(X.deltas(every), *_steps([w[known] for w in (*words[1:], words[0])])), body=X.press(total[seen]))
+    used = np.zeros(len(every), bool)
+    for w in words:
+        used[w[known]] = True
+    place = np.cumsum(used) - 1
+    yield _row(-1, TABLE, bucket, head=X.press(X.deltas(every[used]), *_steps([place[w[known]] for w in (*words[1:], words[0])])), body=X.press(total[seen]))
     yield _row(-1, SUMS, bucket, n=_counts_of(total))
     lead = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
     for k in np.flatnonzero(history[spot[lead]] & 3 == 3).tolist():
@@ -428,10 +474,10 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
         raise ValueError("Katz backoff needs an order of two or more")
     docs = X.plain(docs, id_col, text_col)
     n = X.partitions(docs)
-    both = store.written(docs.mapInArrow(lambda b: _numbered(b, n, block_bytes), X.BLOCK_SCHEMA), "blocks", by=["kind"])
+    both = store.written(docs.mapInArrow(X.tidy(lambda b: _numbered(b, n, block_bytes)), X.BLOCK_SCHEMA), "blocks", by=["kind"])
     blocks, asked = both.where(F.col("kind") == BLOCK), "bucket int, block bigint, blob binary"
-    words = both.where(F.col("kind") == WORDS).select("block", "body").mapInArrow(_listed_words, asked).repartitionById(n, F.col("bucket"))
-    tables = [store.written(words.mapInArrow(_counted_words, _SCHEMA), "words", by=["kind"])]
+    words = both.where(F.col("kind") == WORDS).select("block", "body").mapInArrow(X.tidy(_listed_words), asked).repartitionById(n, F.col("bucket"))
+    tables = [store.written(words.mapInArrow(X.tidy(_counted_words), _SCHEMA), "words", by=["kind"])]
     store.drop(docs.sparkSession, f"{both.stored_at}/kind={WORDS}")
     tokens, types, *times = _sums(tables[0]) or [0] * (REACH + 4)
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0, F.lit(True))
@@ -440,8 +486,8 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     held = ((1 - d[1:]) * r * times[1 : REACH + 1]).sum() + SLIVER * (types - sum(times[1 : REACH + 1]))
     model = Model(tokens, types, docs.where(train).count(), tokens / n, {1: d}, held / tokens if tokens else 1.0, {})
     for k in range(2, order + 1):
-        listed = _met(blocks, tables, n).mapInArrow(lambda b, k=k: _listed(b, k, model, n), asked).repartitionById(n, F.col("bucket"))
-        tables.append(store.written(listed.mapInArrow(lambda b, k=k: _counted(b, k, model), _SCHEMA), f"grams{k}", by=["kind"]))
+        listed = _met(blocks, tables, n).mapInArrow(X.tidy(lambda b, k=k: _listed(b, k, model, n)), asked).repartitionById(n, F.col("bucket"))
+        tables.append(store.written(listed.mapInArrow(X.tidy(lambda b, k=k: _counted(b, k, model)), _SCHEMA), f"grams{k}", by=["kind"]))
         store.release(docs.sparkSession)
         model.discounts[k], model.hot[k] = discounts(_sums(tables[-1]) or [0] * (REACH + 2)), _hot(tables[-1])
 
@@ -456,4 +502,4 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
                 yield whole.slice(k, 4096)
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _met(blocks, tables, n).mapInArrow(finish, schema)
+    return _met(blocks, tables, n).mapInArrow(X.tidy(finish), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tessera.llm import bpe_codec, bpe_count, decontam, exchange, katz, line_dedup, quality, queries, simhash, substrings, token_files, toxicity
+from tessera.llm import bpe_codec, bpe_count, decontam, katz, line_dedup, quality, queries, simhash, substrings, token_files, toxicity
+from tessera.llm import exchange as X
 from tessera.llm.components import components
 from tessera.llm.huffman import Code, code_lengths
 from tessera.llm.suffixes import Strings, merge_sort
@@ -342,7 +344,7 @@ def test_workers_give_back_what_a_task_needed():
             yield held[-1]  # the last piece stays, so that the heap's top can't fall by itself
 
     before = _resident()
-    kept = list(exchange.tidy(run)([0]))
+    kept = list(X.tidy(run)([0]))
     assert len(kept[0]) == 12_000 and _resident() - before < 100
 
 
@@ -366,6 +368,29 @@ def test_katz_pairs_words_without_sorting_where_numbers_fit(monkeypatch):
     assert len(katz._paired(np.zeros(0, np.int64), np.zeros(0, np.int64), 5)) == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_counts_a_bucket_in_parts(order):
+    rng, model = np.random.default_rng(5), katz.Model(10**6, 2000, 50, 10**6, {m: katz.discounts([0, 100, 40, 20, 12, 8, 6]) for m in (1, 2)}, 1e-6, {})
+    rows = []
+    for block in range(8):
+        grams = np.unique(rng.zipf(1.3, (60_000, order)) % 2000, axis=0)  # sorted by the word before the last one, the last is the last
+        numbers, zeros = (np.arange(2000) * 7 + 3).astype(np.uint64), np.zeros(len(grams), np.int64)
+        flags = rng.integers(0, 2, len(grams)).astype(np.uint8)
+        rows.append((4, block, X.press(X.deltas(numbers), np.arange(2000), rng.integers(0, 3, len(grams)).astype(np.uint32), zeros, zeros, flags, *katz._steps(list(grams.T)))))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "block", "blob"])
+
+    def run(limit):
+        tracemalloc.start()
+        out = pa.Table.from_batches(katz._counted([batch], order, model, limit)).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        answers = {r["block"]: [x.tolist() for x in X.expand(r["body"], np.int64, np.uint32, np.float64)] for r in out if r["kind"] == order}
+        return answers, np.sum([r["n"] for r in out if r["kind"] == katz.SUMS], axis=0).tolist(), peak
+
+    (whole, sums, most), (parts, same, less) = run(10**9), run(20_000)
+    assert parts == whole and same == sums and len(whole) == 8 and less < most / 2
+
+
 def test_katz_survives_another_split_of_its_files(spark, docs_dir):
     want = _rows(katz.score(_docs(spark, docs_dir)), "doc_id", "n_tokens", "n_known")
     later = katz.score(_docs(spark, docs_dir))
